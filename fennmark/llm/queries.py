@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, warc
+from . import bpe, chat, quality, secrets, warc
 from .shared import new_folder, table
 
 
@@ -15,6 +15,14 @@ TOKENIZERS = "/opt/tokenizers"
 BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents")).drop("squared_distance")
+
+
 def op3_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"), new_folder(spark, "warc"))
 
@@ -31,6 +39,8 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scans": op1_secret_scans,
+    "op9_quality_rules": op9_quality_rules,
     "op3_warc_normaliser": op3_warc_normaliser,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op10_chat_formatting": op10_chat_formatting,
