@@ -6,7 +6,9 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -77,3 +79,36 @@ def open_file(uri: str):
 
     store, at = fs.FileSystem.from_uri(uri)
     return store.open_input_file(at)
+
+
+#: A set of ids of so many rows at most is broadcast: 8 bytes each, and Spark's hash relation takes about four times that.
+BROADCAST_ROWS = 500_000
+
+
+def filtered_by_ids(df: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:
+    """`df` left semi or anti joined with the distinct, stored `ids` (one column). A set that is counted and found small is
+    broadcast, so that wide rows stay where they are; a larger one is joined through a shuffle."""
+    named = ids.select(ids.columns[0]).withColumnRenamed(ids.columns[0], "__id")
+    side = F.broadcast(named) if ids.count() <= BROADCAST_ROWS else named.hint("merge")
+    return df.join(side, F.col(column) == F.col("__id"), how)
+
+
+def arrow_bytes(column) -> tuple[np.ndarray, np.ndarray]:
+    """An Arrow string column without nulls as one array of bytes and the offsets of its rows; no copy."""
+    import pyarrow as pa
+
+    wide = pa.types.is_large_string(column.type)
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return raw[at[0] : at[-1]], at - at[0]
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit values whose output bits all depend on all input bits."""
+    x = x ^ (x >> np.uint64(32))
+    x = x * np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    return x
