@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, jaccard, quality, secrets, warc
+from . import bpe, chat, jaccard, quality, secrets, suffixes, warc
 from .shared import new_folder, table
 
 
@@ -19,6 +19,10 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
+    "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op9_quality_rules": op9_quality_rules,
     "op3_warc_normaliser": op3_warc_normaliser,
