@@ -98,22 +98,27 @@ class Vocabulary:
         flat, ends = out[order].tolist(), np.cumsum(np.bincount(of, minlength=len(words))).tolist()
         return [tuple(flat[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
-    def _pieces(self, text: str) -> list[str]:
+    def pieces(self, text: str) -> list[str]:
         if self._split_added is None or not any(x in text for x in self.added):
             return self._pre_tokens.findall(text)
         return list(chain.from_iterable([x] if x in self.added else self._pre_tokens.findall(x) for x in self._split_added.split(text)))
 
     def encode_batch(self, texts: list[str]) -> Iterator[list[int]]:
         """The ids of each text."""
+        pieces = [self.pieces(t) for t in texts]
+        kept = self.learnt(set().union(*pieces))
+        for x in pieces:
+            yield list(chain.from_iterable(map(kept.__getitem__, x)))
+
+    def learnt(self, pieces: set[str]) -> dict[str, tuple[int, ...]]:
+        """The tokens of these pre-tokens at least, from what is kept of earlier batches and a merge of the new ones."""
         kept = self._kept
         if len(kept) > MOST_KEPT:
             kept.clear()
         kept.update({x: (i,) for x, i in self.added.items()})
-        pieces = [self._pieces(t) for t in texts]
-        new = [x for x in set().union(*pieces) if x not in kept]
+        new = [x for x in pieces if x not in kept]
         kept.update(zip(new, self.merge([x.encode("utf-8", "surrogatepass") for x in new]), strict=True))
-        for x in pieces:
-            yield list(chain.from_iterable(map(kept.__getitem__, x)))
+        return kept
 
     def decode_bytes(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
