@@ -4,8 +4,7 @@ A CGK embedding walks over a sequence of words: at each step it writes down the
 word or stays, as a random bit of the word and the step says. Words that two walks share bring them together again after
 an insertion or deletion, so a small edit distance becomes a small Hamming distance between the two walks. A key
 is a few steps of a walk, drawn once (bit sampling); WALKS walks with KEYS keys each are the repetitions. Every word of every document begins
-a window. Of an item, STARTS evenly spaced words do, so that an edit at its begin costs some of the windows only; the steps drawn
-for a key reach as far as a size class; an item has the keys of the classes that fit. A document window and an item window that share a key are a candidate, which is
+a window. Of an item, STARTS evenly spaced words do, so that an edit at its begin costs some of the windows only. A document window and an item window that share a key are a candidate, which is
 verified: the least number of edits of characters between the whole item and any stretch of the document around the place.
 
 Documents are never shuffled. The items are sent to the tasks in blocks of bounded size, one pass over the documents for each block.
@@ -31,12 +30,13 @@ from .shared import arrow_bytes, filtered_by_ids, limit_batches, mixed, stored
 
 #: Edits between an item and a passage, as a share of the item's characters, up to which the passage counts.
 RATE = 0.25
-#: (steps of the walk, steps drawn for a key): the size classes of items; a walk of n steps goes over about n / 2 words.
-CLASSES = ((40, 5), (18, 4))
-WALKS, KEYS = 2, 6
+#: Steps of a walk (it goes over about half as many words), and steps drawn for a key.
+STEPS, DRAWN = 20, 4
+WALKS, KEYS = 2, 10
 STARTS = 24
+APART = 4
 #: Windows of a document that are walked together.
-CHUNK = 1 << 16
+CHUNK = 1 << 15
 #: Items and bytes of items that a pass takes at most.
 MOST_ITEMS, MOST_BYTES = 20_000, 16 << 20
 
@@ -45,10 +45,11 @@ _UPPER = {c: c + 32 for c in range(65, 91)}
 _BITS = 22
 
 
-def _draws() -> list[tuple[int, int, list[int]]]:
-    """(walk, its last step, the steps) of each key."""
+def _draws() -> list[tuple[int, list[int]]]:
+    """(walk, steps) of each key. The steps lie APART, as a walk often stays where it is for a step or two."""
     rng = np.random.default_rng(20240229)
-    return [(w, steps, sorted(rng.choice(steps, k, replace=False).tolist())) for w in range(WALKS) for steps, k in CLASSES for _ in range(KEYS)]
+    spaced = lambda: np.sort(rng.choice(STEPS - (DRAWN - 1) * (APART - 1), DRAWN, replace=False)) + np.arange(DRAWN) * (APART - 1)
+    return [(w, spaced().tolist()) for w in range(WALKS) for _ in range(KEYS)]
 
 
 DRAWS = _draws()
@@ -65,17 +66,16 @@ def walk_keys(words: np.ndarray, starts: np.ndarray, whole: bool) -> np.ndarray:
     keys = np.zeros((len(DRAWS), len(starts)), np.uint64)
     beyond = np.zeros(keys.shape, bool) if whole else None
     for walk in range(WALKS):
-        bits = words if walk == 0 else np.where(words == 0, np.uint64(0), mixed(words + np.uint64(walk)))
         place = starts.copy()
-        last = max(steps for w, steps, _ in DRAWS if w == walk)
-        for t in range(last):
-            now = bits[place]
-            for k, (w, _, drawn) in enumerate(DRAWS):
+        for t in range(STEPS):
+            now = words[place]
+            weighed = now * _ODD[t]
+            for k, (w, drawn) in enumerate(DRAWS):
                 if w == walk and t in drawn:
-                    keys[k] += now * _ODD[t]
+                    keys[k] += weighed
                     if whole:
                         beyond[k] |= now == 0
-            place += ((now >> np.uint64(t)) & np.uint64(1)).astype(np.int64)
+            place += ((now >> np.uint64(walk * STEPS + t)) & np.uint64(1)).view(np.int64)
     keys ^= keys >> np.uint64(29)
     keys *= _ODD[:1]
     keys ^= np.arange(1, len(DRAWS) + 1, dtype=np.uint64)[:, None] << np.uint64(50)
