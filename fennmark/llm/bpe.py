@@ -68,6 +68,8 @@ class Vocabulary:
 
     def merge(self, words: list[bytes]) -> list[tuple[int, ...]]:
         """The tokens of each word."""
+        if not words:
+            return []
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         symbol = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
         word = np.repeat(np.arange(len(words)), sizes)

@@ -134,16 +134,16 @@ _SCHEMA = pa.schema([("n_tokens", pa.int64()), ("n_edits", pa.int64()), ("n_toke
 
 
 def counts_of_batch(words: Vocabulary, texts: list[str], edits: list[list[dict] | None]) -> list[tuple[int, int, int, int, int]]:
-    """n_tokens, n_edits, n_tokens_after, n_pieces and n_resplit of each text."""
-    trees = [TokenTree(words.pieces(t)) for t in texts]
-    known = words.learnt({x for t in trees for leaf in t.leaves for x in leaf})
-    before = [t.recount(known) for t in trees]
-    pieces = [sum(map(len, t.leaves)) for t in trees]
-    made = [in_order(e, len(t)) for e, t in zip(edits, texts, strict=True)]
-    resplit = [sum(tree.edit(words, *e) for e in reversed(m)) for tree, m in zip(trees, made, strict=True)]
-    known = words.learnt({x for t in trees for leaf in t.changed for x in t.leaves[leaf]})
-    after = [t.recount(known) for t in trees]
-    return list(zip(before, map(len, made), after, pieces, resplit, strict=True))
+    """n_tokens, n_edits, n_tokens_after, n_pieces and n_resplit of each text. A text without edits needs no tree."""
+    pieces = [words.pieces(t) for t in texts]
+    made = [in_order(e, len(t)) if e else [] for e, t in zip(edits, texts, strict=True)]
+    trees = {k: TokenTree(pieces[k]) for k, m in enumerate(made) if m}
+    known = words.learnt(set().union(*pieces))
+    before = [trees[k].recount(known) if k in trees else sum([len(known[x]) for x in p]) for k, p in enumerate(pieces)]
+    resplit = {k: sum(tree.edit(words, *e) for e in reversed(made[k])) for k, tree in trees.items()}
+    known = words.learnt({x for t in trees.values() for leaf in t.changed for x in t.leaves[leaf]})
+    after = {k: t.recount(known) for k, t in trees.items()}
+    return [(n, len(m), after.get(k, n), len(p), resplit.get(k, 0)) for k, (n, m, p) in enumerate(zip(before, made, pieces, strict=True))]
 
 
 def count_with_edits(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", edits_col: str = "edits") -> DataFrame:
