@@ -14,9 +14,10 @@ What is done for scale:
   as plain rows with map-side combined aggregations, never as a gathered group;
 * candidates are verified in two steps. First every document against the smallest of each of its lists and frequent shingles, which
   links groups of near copies in a number of pairs linear in their size. Components are then found, and only
-  candidates in different components are left for the second step, which is complete: lists give their pairs, pairs of frequent shingles
-  that are in several components give theirs, in blocks of bounded size;
-* texts are only fetched for documents in a candidate pair, compressed.
+  candidates in different components are left for the second step, which is complete: lists give their pairs, combinations of two frequent shingles
+  theirs. The combinations with the same later shingle are handled together, in blocks of bounded size, and a pair only at its first combination;
+* a bit map of each set rules most candidates out (it bounds the intersection from above, so no link is lost);
+* texts are only fetched for documents in a candidate pair that is left, compressed.
 
 Defined cases: a null or blank text has the empty set and links with nothing; fewer than five words are one shingle; a
 null id keeps its row, with no links and a null component; rows that share an id are one node; an empty table gives an empty result; columns besides the
@@ -47,6 +48,10 @@ LISTED = 64
 COMMON_IN_BATCH = 6
 #: Prefix shingles in a bucket, about; a bucket takes 20 bytes for each.
 BUCKET_ROWS = 1_000_000
+#: Documents of one frequent shingle that a task compares with as many others.
+BLOCK = 1024
+#: Members of lists in a bucket, about.
+BUCKET_MEMBERS = 20_000
 #: Bytes of text that are hashed together.
 SLICE = 2 << 20
 #: Frequent shingles that tasks get as a sorted array of 8 bytes each; beyond, the rarer of them count as rare.
@@ -115,17 +120,39 @@ def prefix_length(n: int) -> int:
     return min(n, n - -(-NUM * n // DEN) + 2)
 
 
-_PROFILE = "kind int, id bigint, n bigint, key binary"
+def sketch(s: np.ndarray, width: int) -> bytes:
+    """A bit map of a set with `width` to twice as many bits for each element."""
+    m = width << max(4, (len(s) - 1).bit_length()) if len(s) else 64
+    bits = np.zeros(m, bool)
+    bits[(s & np.uint64(m - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def most_common(x: bytes, y: bytes, nx: int, ny: int) -> int:
+    """An upper bound of the intersection of two sets of nx and ny elements, of their sketches: a bit that one lacks is an element that it lacks."""
+    if len(x) > len(y):
+        x, y, nx, ny = y, x, ny, nx
+    a, b, bits = int.from_bytes(x, "little"), int.from_bytes(y, "little"), 8 * len(y)
+    while bits > 8 * len(x):
+        bits //= 2
+        b = (b >> bits) | (b & ((1 << bits) - 1))
+    both = (a & b).bit_count()
+    return min(nx - a.bit_count() + both, ny - b.bit_count() + both)
+
+
+_PROFILE = "kind int, id bigint, n bigint, key binary, small binary, sketch binary"
 
 
 def profiles(rows: DataFrame) -> DataFrame:
-    """kind 0: id, number of shingles and digest of the set of each row; kind 1: a shingle common in a batch's prefixes (as id) with its count (as n)."""
+    """kind 0: id, number of shingles, digest and sketches of the set of each row; kind 1: a shingle common in a batch's prefixes (as id) with its count (as n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys, prefixes, met = [], [], [], set()
+            sizes, keys, small, sketches, prefixes, met = [], [], [], [], [], set()
             for s in shingle_sets(batch.column(1)):
                 sizes.append(len(s))
+                small.append(sketch(s, 1))
+                sketches.append(sketch(s, 4))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()))
                 if keys[-1] not in met:
                     met.add(keys[-1])
@@ -135,7 +162,7 @@ def profiles(rows: DataFrame) -> DataFrame:
             ids = pa.concat_arrays([batch.column(0).cast(pa.int64()), pa.array(tokens[common].view(np.int64))])
             k = int(common.sum())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([0] * len(sizes) + [1] * k, pa.int32()), ids, pa.array([*sizes, *counts[common].tolist()], pa.int64()), pa.array([*keys, *[None] * k], pa.binary())], names=["kind", "id", "n", "key"]
+                [pa.array([0] * len(sizes) + [1] * k, pa.int32()), ids, pa.array([*sizes, *counts[common].tolist()], pa.int64()), pa.array([*keys, *[None] * k], pa.binary()), *[pa.array([*x, *[None] * k], pa.binary()) for x in (small, sketches)]], names=["kind", "id", "n", "key", "small", "sketch"]
             )
 
     return rows.mapInArrow(run, _PROFILE)
@@ -212,32 +239,85 @@ def star_pairs(lists: DataFrame, flat: DataFrame) -> DataFrame:
     return of_lists.union(of_flat).where((F.col("a") != F.col("b")) & _close("na", "nb")).select("a", "b").distinct()
 
 
-def _pairs_of(groups: DataFrame) -> DataFrame:
-    """The pairs in different components of groups `members` of bounded size: struct<doc, size, root>, ordered by doc."""
-    later = groups.select("members", F.posexplode("members").alias("at", "x")).select("x", F.explode(F.slice("members", F.col("at") + 2, F.size("members"))).alias("y"))
-    apart = later.where(F.col("x.root") != F.col("y.root")).select(F.col("y.doc").alias("a"), F.col("x.doc").alias("b"), F.col("y.size").alias("na"), F.col("x.size").alias("nb"))
-    return apart.where(_close("na", "nb")).select("a", "b").distinct()
-
-
-def remaining_pairs(lists: DataFrame, flat: DataFrame, roots: DataFrame) -> DataFrame:
-    """All candidates whose documents are in different components so far."""
-    with_root = lambda rows: rows.join(roots, rows["doc"] == roots["node"], "left").withColumn("root", F.coalesce("root", "doc")).drop("node")
-    members = F.array_sort(F.collect_list(F.struct("doc", "size", "root"))).alias("members")
-    several = F.min("root") != F.max("root")
-
-    listed = lists.select(F.xxhash64("docs", F.lit(1)).alias("k1"), F.xxhash64("docs", F.lit(2)).alias("k2"), F.explode(F.arrays_zip("docs", "sizes")).alias("x")).select("k1", "k2", F.col("x.docs").alias("doc"), F.col("x.sizes").alias("size"))
-    of_lists = _pairs_of(with_root(listed).groupBy("k1", "k2").agg(members, several.alias("several")).where("several"))
-
-    placed = stored(with_root(flat), "jaccard-frequent")
-    open_tokens = placed.groupBy("token").agg(several.alias("several")).where("several").select("token")
-    by_doc = placed.join(open_tokens, "token", "left_semi").groupBy("doc", "size", "root").agg(F.array_sort(F.collect_set("token")).alias("tokens"))
-    combined = by_doc.select("doc", "size", "root", "tokens", F.posexplode("tokens").alias("at", "t1")).select("doc", "size", "root", "t1", F.explode(F.slice("tokens", F.col("at") + 2, F.size("tokens"))).alias("t2"))
-    combined = stored(combined, "jaccard-combinations")
-    counts = combined.groupBy("t1", "t2").agg(F.count("*").alias("n"), several.alias("several")).where("several").drop("several")
-    blocks = F.ceil(F.col("n") / LISTED).cast("int")
-    dealt = combined.join(counts, ["t1", "t2"]).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+_PAIRS = "a bigint, b bigint"
+
+
+def _table_of(pairs: list[tuple[int, int]]) -> pa.Table:
+    return pa.table([pa.array([max(p) for p in pairs], pa.int64()), pa.array([min(p) for p in pairs], pa.int64())], names=["a", "b"])
+
+
+def _may_link(table: pa.Table, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
+    """The pairs of rows i, j (columns doc, size, sketch) that their sketches don't rule out."""
+    doc, size, sketches = table.column("doc").to_pylist(), table.column("size").to_pylist(), table.column("sketch").to_pylist()
+    out = []
+    for x, y in zip(i.tolist(), j.tolist(), strict=True):
+        c = most_common(sketches[x], sketches[y], size[x], size[y])
+        if DEN * c >= NUM * (size[x] + size[y] - c):
+            out.append((doc[x], doc[y]))
+    return out
+
+
+def _list_pairs(table: pa.Table) -> pa.Table:
+    """The plausible pairs in different components, of a bucket of lists (k1, k2)."""
+    table = table.sort_by([("k1", "ascending"), ("k2", "ascending"), ("doc", "ascending")])
+    k1, k2, root, size = (table.column(c).to_numpy() for c in ("k1", "k2", "root", "size"))
+    size = size.astype(np.int64)
+    cuts = np.flatnonzero(np.r_[True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]), True])
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        if (root[a:b] != root[a]).any():
+            r, n = root[a:b], size[a:b]
+            small, large = np.minimum(n[:, None], n), np.maximum(n[:, None], n)
+            i, j = np.nonzero(np.triu((r[:, None] != r) & (small * DEN >= large * NUM), 1))
+            left.append(i + a)
+            right.append(j + a)
+    i, j = np.concatenate(left), np.concatenate(right)
+    doc = table.column("doc").to_numpy()
+    _, once = np.unique(np.stack([doc[i], doc[j]]), axis=1, return_index=True)
+    return _table_of(_may_link(table, i[once], j[once]))
+
+
+def _frequent_pairs(table: pa.Table) -> pa.Table:
+    """The plausible pairs in different components of a block of one frequent shingle's documents, or of two blocks.
+
+    A pair is taken up at its first combination of two common frequent shingles only, of which this is the later one. If they share no rare one, what
+    they have in common is the frequent ones in both prefixes and at most what lies behind a prefix."""
+    token, low, high = (table.column(c)[0].as_py() for c in ("token", "lo", "hi"))
+    own, root, size = (table.column(c).to_numpy() for c in ("own", "root", "size"))
+    lists = table.column("tokens").combine_chunks()
+    names, which = np.unique(lists.values.to_numpy()[lists.offsets[0].as_py() : lists.offsets[-1].as_py()], return_inverse=True)
+    has = np.zeros((len(own), len(names)), np.float32)
+    has[np.repeat(np.arange(len(own)), np.diff(lists.offsets.to_numpy())), which] = 1
+    earlier = int(np.searchsorted(names, token))
+    x, y = np.flatnonzero(own == low), np.flatnonzero(own == high)
+    common, before = has[x] @ has[y].T, has[x, :earlier] @ has[y, :earlier].T
+    size = size.astype(np.int64)
+    rest = size - np.array([prefix_length(n) for n in size.tolist()])
+    sums = size[x][:, None] + size[y][None, :]
+    most = np.minimum(common.astype(np.int64) + np.maximum(rest[x][:, None], rest[y][None, :]), np.minimum(size[x][:, None], size[y][None, :]))
+    open_pairs = (before == 1) & (root[x][:, None] != root[y][None, :]) & (most * (DEN + NUM) >= NUM * sums)
+    if low == high:
+        open_pairs = np.triu(open_pairs, 1)
+    i, j = np.nonzero(open_pairs)
+    return _table_of(_may_link(table, x[i], y[j]))
+
+
+def remaining_pairs(lists: DataFrame, flat: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """All plausible candidates whose documents are in different components so far."""
+    about = sets.join(roots, F.col("id") == F.col("node"), "left").select(F.col("id").alias("doc"), F.col("n").cast("int").alias("size"), "small", "sketch", F.coalesce("root", "id").alias("root"))
+
+    # a passage gives the same list for each of its shingles, in any bucket
+    listed = lists.dropDuplicates(["docs"]).select(F.xxhash64("docs", F.lit(1)).alias("k1"), F.xxhash64("docs", F.lit(2)).alias("k2"), F.explode(F.arrays_zip("docs", "sizes")).alias("x")).select("k1", "k2", F.col("x.docs").alias("doc"), F.col("x.sizes").alias("size"))
+    buckets = lists.agg(F.coalesce(F.sum(F.size("docs")), F.lit(0))).first()[0] // BUCKET_MEMBERS + 1
+    listed = listed.join(about.drop("sketch").withColumnRenamed("small", "sketch"), ["doc", "size"]).withColumn("bucket", F.pmod("k1", F.lit(buckets)))
+    of_lists = plausible(listed.groupBy("bucket").applyInArrow(_list_pairs, _PAIRS).distinct(), sets)
+
+    tokens = flat.groupBy("doc", "size").agg(F.array_sort(F.collect_set("token")).alias("tokens")).where(F.size("tokens") > 1)
+    placed = stored(tokens.join(about.drop("small"), ["doc", "size"]).select("*", F.explode("tokens").alias("token")), "jaccard-frequent")
+    counts = placed.groupBy("token").agg(F.count("*").alias("n"), (F.min("root") != F.max("root")).alias("several")).where("several")
+    dealt = placed.join(counts.select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "token").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
-    of_flat = _pairs_of(dealt.groupBy("t1", "t2", "lo", "hi").agg(members, several.alias("several")).where("several"))
+    of_flat = dealt.groupBy("token", "lo", "hi").applyInArrow(_frequent_pairs, _PAIRS)
     return of_lists.union(of_flat).distinct()
 
 
@@ -279,6 +359,20 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return stored(joined.mapInArrow(run, "a bigint, b bigint"), "jaccard-links")
 
 
+def plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs a, b that their sketches don't rule out."""
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
+    joined = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = zip(*(batch.column(c).to_pylist() for c in ("sketch_a", "sketch_b", "n_a", "n_b")), strict=True)
+            may = [DEN * (c := most_common(x, y, nx, ny)) >= NUM * (nx + ny - c) for x, y, nx, ny in sides]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(may, pa.bool_()))
+
+    return joined.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
 def _links(pairs: DataFrame, rows: DataFrame, name: str) -> DataFrame:
     pairs = stored(pairs, name)
     ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"{name}-ids")
@@ -307,8 +401,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lists = index.where("token IS NULL").select("docs", "sizes")
     flat = index.where("token IS NOT NULL").select("token", F.col("docs")[0].alias("doc"), F.col("sizes")[0].alias("size"))
 
-    first = _links(star_pairs(lists, flat), rows, "jaccard-star")
-    second = _links(remaining_pairs(lists, flat, components(first)), rows, "jaccard-rest")
+    first = _links(plausible(star_pairs(lists, flat), filled), rows, "jaccard-star")
+    second = _links(remaining_pairs(lists, flat, components(first), filled), rows, "jaccard-rest")
     roots = components(first.union(second).union(same))
     out = sets.join(roots, F.col("id") == F.col("node"), "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id"))
