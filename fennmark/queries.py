@@ -7,17 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import gates, history, policy, search, votes
+from .functions import amounts
+from .operators import gates, history, mutations, policy, search, votes
+from .streaming import seen
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+class Tables:
+    """A reader of the driver's tables by name."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def path(self, name: str) -> str:
+        return f"{self.sf_dir}/{name}.parquet"
+
+    def __call__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(self.path(name))
+
+
 def query(sql: str):
     """Register a function of a table reader under its name, with its SQL."""
 
     def register(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         ORACLE_SQL[f.__name__] = sql
         return f
 
@@ -312,3 +327,23 @@ def party_mask(t):
 @query("""SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) + length(event_type) AS turn FROM events""")
 def interleave_order(t):
     return t("events").select("event_id", gates.interleaved(t("events"), "event_type", ["value", "event_id"], F.char_length("event_type")).cast("bigint").alias("turn"))
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def seen_stream(t):
+    frame = t("events")
+    return seen.seen_keys(frame.sparkSession, t.path("events"), ["user_id", "event_type"])
+
+
+@query("""SELECT doc_id, list_sum(list_transform(list_filter(regexp_split_to_array(text, '[^0-9A-Za-z]+'), lambda w: regexp_full_match(w, '[0-9]{1,9}')), lambda w: w::BIGINT))::BIGINT AS total,
+    len(list_filter(regexp_split_to_array(text, '[^0-9A-Za-z]+'), lambda w: regexp_full_match(w, '[0-9]{1,9}'))) AS n FROM documents WHERE n > 0""")
+def amounts_extract(t):
+    found = t("documents").select("doc_id", amounts.numbers(F.col("text")).alias("x")).where(F.size("x") > 0)
+    return found.select("doc_id", F.aggregate("x", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"), F.size("x").cast("bigint").alias("n"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 AND o_orderstatus <> 'F' AND length(o_orderpriority) * 4 >= 40 THEN 'F' ELSE o_orderstatus END AS o_orderstatus FROM orders""")
+def withdraw_validated(t):
+    orders = t("orders").select("o_orderkey", "o_orderstatus")
+    asked = t("orders").where("o_orderkey % 11 = 0").select("o_orderkey", F.repeat("o_orderpriority", F.lit(4)).alias("reason"))
+    return mutations.withdraw(orders, asked, "o_orderkey", "o_orderstatus", "F")

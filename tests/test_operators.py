@@ -5,8 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import compare
-from fennmark.operators import gates, history, policy, search, votes
+from fennmark.functions import amounts
+from fennmark.operators import gates, history, mutations, policy, search, votes
 from fennmark.queries import ORACLE_SQL, QUERIES
+from fennmark.streaming import seen
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -72,3 +74,24 @@ def test_upsert_is_idempotent(spark):
 def test_capped_postings_are_the_highest_ids(spark):
     pairs = spark.range(1000).select(F.lit("w").alias("t"), F.col("id").alias("d"))
     assert tuple(search.capped_postings(pairs, "t", "d", 3).first()) == ("w", 1000, "999,998,997")
+
+
+def test_claim_numbers(spark):
+    row = spark.range(1).select(amounts.claim_numbers(F.lit("7, 1-3 and 2")).alias("a"), amounts.claim_numbers(F.lit("9-8")).alias("b"), amounts.claim_numbers(F.lit("")).alias("c")).first()
+    assert tuple(row) == ([1, 2, 3, 7], [8, 9], [])
+
+
+def test_requests_that_fail_change_nothing(spark):
+    records = spark.createDataFrame([(1, "active"), (2, "withdrawn"), (3, None)], "id int, status string")
+    long = "x" * mutations.LEAST_REASON
+    asked = spark.createDataFrame([(1, "too short"), (2, long), (3, long), (9, long)], "id int, reason string")
+    assert {r["id"]: r["failures"] for r in mutations.withdrawals(records, asked, "id", "status").collect()} == {1: ["reason"], 2: ["active"], 3: [], 9: ["known"]}
+    assert {r["id"]: r["status"] for r in mutations.withdraw(records, asked, "id", "status").collect()} == {1: "active", 2: "withdrawn", 3: "withdrawn"}
+
+
+def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
+    read = lambda: spark.readStream.schema("k int").parquet(f"{tmp_path}/in")
+    for rows in ([(1,), (1,), (2,)], [(2,), (3,)]):
+        spark.createDataFrame(rows, "k int").write.mode("append").parquet(f"{tmp_path}/in")
+        seen.new_keys(read(), ["k"], f"{tmp_path}/out")
+    assert sorted(r["k"] for r in spark.read.parquet(f"{tmp_path}/out/rows").collect()) == [1, 2, 3]
