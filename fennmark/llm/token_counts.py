@@ -67,8 +67,7 @@ class TokenTree:
         while skip < len(self.leaves[first]) and at + len(self.leaves[first][skip]) + margin <= start:
             at += len(self.leaves[first][skip])
             skip += 1
-        last, last_begin = self.leaf_at(max(start, end - 1))
-        reach = last_begin + self.chars[self.size + last]
+        last, _ = self.leaf_at(max(start, end - 1))
         while True:
             old = self.leaves[first][skip:] + [x for leaf in self.leaves[first + 1 : last + 1] for x in leaf]
             whole = "".join(old)
@@ -88,7 +87,6 @@ class TokenTree:
             if final:
                 return self._replace(first, skip, last, new, [])
             last += 1
-            reach += self.chars[self.size + last]
 
     def _replace(self, first: int, skip: int, last: int, new: list[str], rest: list[str]) -> int:
         """Put `new` behind the first `skip` pre-tokens of leaf `first`, and `rest` behind it, up to leaf `last`."""

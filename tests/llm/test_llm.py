@@ -6,7 +6,6 @@ import re
 from collections import Counter
 
 import numpy as np
-import pyarrow as pa
 import pytest
 
 from fennmark.llm import bpe, chat, decontamination, jaccard, pseudo_likelihood, quality, secrets, suffixes, token_counts, warc
@@ -296,7 +295,6 @@ def test_batches_of_nothing(spark):
     assert bpe.vocabulary(BYTE_BPE).merge([]) == []
     empty = spark.createDataFrame([], "item_id bigint, text string")
     assert decontamination.contaminated(documents(spark, ["a b"]), empty).count() == 0
-    assert pa.table({"a": []}).num_rows == 0
 
 
 def test_every_operator_has_a_query():
