@@ -59,3 +59,42 @@ def html_text(html: Column) -> Column:
     """A page's text without scripts, styles, comments and tags, white space collapsed."""
     bare = F.regexp_replace(html, "(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->", " ")
     return collapsed(F.regexp_replace(bare, "<[^>]*>", " "))
+
+
+def all_classes(text: Column, classes: dict[str, str]) -> Column:
+    """The names of all classes whose pattern is found, in order."""
+    return F.array_compact(F.array(*[F.when(text.rlike(pattern), name) for name, pattern in classes.items()]))
+
+
+def has_facets(facets: dict[str, str]) -> Column:
+    """Every chosen value is one of the space-separated tokens of its attribute."""
+    out = F.lit(True)
+    for attribute, value in facets.items():
+        out = out & F.coalesce(F.array_contains(F.split(attribute, " "), value), F.lit(False))
+    return out
+
+
+def suggestions(df: DataFrame, row: str, text: str, typed: str, most: int = 12) -> DataFrame:
+    """The first rows, by id, that hold every typed word."""
+    holds = [F.contains(F.lower(text), F.lit(w)) for w in typed.lower().split()]
+    return df.where(F.forall(F.array(*holds), lambda x: x) if holds else F.lit(False)).select(row).orderBy(row).limit(most)
+
+
+def owner_of_host(df: DataFrame, row: str, host_name: str, domains: DataFrame) -> DataFrame:
+    """The first owner, in list order, whose domain is the host or ends it after a dot. `domains`: domain, place, owner.
+    A host's endings are exploded, so this is an equality join."""
+    parts = F.split(host_name, "[.]")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.concat_ws(".", F.slice(parts, k, F.size(parts))))
+    met = df.where(F.col(host_name).isNotNull()).select(row, F.explode(ends).alias("domain")).join(domains, "domain")
+    return met.groupBy(row).agg(F.min(F.struct("place", "owner")).alias("o")).select(row, F.col("o.owner").alias("owner"))
+
+
+def passage(text: Column, anchor: str, reach: int = 120) -> Column:
+    """The sentence round the first `anchor`, no further than `reach` characters to either side; null where it does not stand."""
+    at = F.instr(text, F.lit(anchor))
+    end = at + len(anchor)
+    before = F.substring(text, F.greatest(at - reach, F.lit(1)), at - F.greatest(at - reach, F.lit(1)))
+    after = F.substring(text, end, F.lit(reach))
+    cut_before = F.regexp_extract(before, "[^.!?\n]*$", 0)
+    cut_after = F.regexp_extract(after, "^[^.!?\n]*[.!?]?", 0)
+    return F.when(at > 0, F.btrim(F.concat(cut_before, F.lit(anchor), cut_after)))

@@ -46,3 +46,19 @@ def copy_difference(old: DataFrame, new: DataFrame, key: str, columns: list[str]
     both = side(old, "o").join(side(new, "n"), key, "full_outer")
     kind = F.when(F.col("n").isNull(), "missing").when(F.col("o").isNull(), "left_over").when(~F.col("o").eqNullSafe(F.col("n")), "changed")
     return both.select(key, kind.alias("kind")).where("kind IS NOT NULL")
+
+
+def out_of_order(df: DataFrame, cell: str, order: str, time: str) -> DataFrame:
+    """For each cell with any, the statements whose time lies before that of the one before them."""
+    before = F.lag(time).over(Window.partitionBy(cell).orderBy(order))
+    return df.withColumn("__b", before).where(F.col("__b") > F.col(time)).groupBy(cell).agg(F.count("*").alias("n"))
+
+
+def unresolved(queue: DataFrame, published: DataFrame, rejected: DataFrame, title: Column, quote: Column, least: int = 30) -> DataFrame:
+    """Rows of the queue whose title key and quote fingerprint are neither published nor rejected. Fingerprints under `least` characters match
+    nothing, and null keys neither."""
+    out = queue.withColumn("__t", F.md5(title)).withColumn("__q", F.when(F.char_length(quote) >= least, F.md5(quote)))
+    done = published.unionByName(rejected)
+    for column, key in (("__t", F.md5(title)), ("__q", F.when(F.char_length(quote) >= least, F.md5(quote)))):
+        out = out.join(done.select(key.alias(column)).where(F.col(column).isNotNull()).distinct(), column, "left_anti")
+    return out.drop("__t", "__q")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MONEY = "decimal(18,2)"
@@ -57,3 +57,35 @@ def grouped(df: DataFrame, group: str, total: str, member: str, party: str) -> D
     carrier = F.min(F.struct((-F.col(total)).alias("t"), F.col(member).alias("m")))
     out = df.groupBy(group).agg(carrier.alias("c"), F.array_sort(F.collect_set(party)).alias("p"), F.count("*").alias("size"))
     return out.select(group, F.col("c.m").alias("carrier"), (-F.col("c.t")).alias("total"), F.array_join("p", ",").alias("parties"), "size", (F.size("p") > 1).alias("shared"))
+
+
+def coalition_totals(df: DataFrame, coalition: str, group: str, total: str, order: list[str], kind: str, kinds: dict[str, str]) -> DataFrame:
+    """For each coalition the totals by kind and the number of its policies, each shared policy counted once at its largest amount."""
+    one = representatives(df.select(coalition, group, total, *order, kind), [coalition, group], total, order)
+    return one.groupBy(coalition).agg(*[money_sum(F.when(F.col(kind) == v, F.col(total))).alias(k) for k, v in kinds.items()], F.count("*").alias("policies"))
+
+
+def per_vote(total: Column, votes: Column) -> Column:
+    """Thousandths of a total for each vote; 0 where nobody voted."""
+    return F.when(votes > 0, total * 1000 / votes).otherwise(F.lit(0.0))
+
+
+def comparisons(df: DataFrame, row: str, amount: str, ids: str, constants: DataFrame, most: int = 3) -> DataFrame:
+    """A row's amount in the units that it lists, in its order, the first `most` that are known. `constants`: constant, unit; units are positive."""
+    listed = df.select(row, amount, F.posexplode(ids).alias("at", "constant")).join(constants, "constant")
+    place = F.row_number().over(Window.partitionBy(row).orderBy("at"))
+    return listed.withColumn("place", place).where(F.col("place") <= most).select(row, "constant", "place", F.round(F.col(amount) / F.col("unit"), 4).alias("times"))
+
+
+def deviating(df: DataFrame, row: str, group: str, value: str, factor: float = 3.0) -> DataFrame:
+    """Rows whose value is `factor` times the group's median or more, or that part of it or less."""
+    medians = df.groupBy(group).agg(F.median(value).alias("median"))
+    off = (F.col(value) >= factor * F.col("median")) | (F.col(value) * factor <= F.col("median"))
+    return df.join(medians, group).select(row, group, "median", off.alias("off"))
+
+
+def shares_within(df: DataFrame, rank: str, cutoffs: list[int]) -> DataFrame:
+    """For each cutoff how many ranks lie within it, how many beyond, and the share within: one aggregate, whatever the number of ranks."""
+    rows = [F.struct(F.lit(c).alias("cutoff"), F.count_if(F.col(rank) <= c).alias("within"), F.count_if(F.col(rank) > c).alias("beyond")) for c in cutoffs]
+    out = df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
+    return out.withColumn("share", F.round(F.try_divide("within", F.col("within") + F.col("beyond")), 6))

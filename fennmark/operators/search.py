@@ -57,11 +57,28 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(F.lit(0.0))
 
 
-def best_match(left: DataFrame, right: DataFrame, block: list[str], left_id: str, right_id: str, tokens: str, least: float) -> DataFrame:
-    """For each left row the most similar right row of the same block with a token in common; the higher id on ties. Both have `block`, their id and `tokens`.
-    Rows meet on equal tokens, and a pair's shared tokens are counted, so rows without one never meet."""
-    side = lambda df, i, n: df.select(*block, i, F.size(tokens).alias(n), F.explode(tokens).alias("token"))
-    met = side(left, left_id, "n_left").join(side(right, right_id, "n_right"), [*block, "token"]).groupBy(left_id, right_id, "n_left", "n_right").agg(F.count("*").alias("shared"))
-    like = F.col("shared") / (F.col("n_left") + F.col("n_right") - F.col("shared"))
-    scored = met.withColumn("likeness", F.round(like, 6)).where(F.col("likeness") >= least)
-    return scored.groupBy(left_id).agg(F.max(F.struct("likeness", right_id)).alias("m")).select(left_id, F.col(f"m.{right_id}").alias(right_id), F.col("m.likeness").alias("likeness"))
+def best_match(left: DataFrame, right: DataFrame, block: list[str], left_id: str, right_id: str, tokens: str, least: float, apart: str | None = None) -> DataFrame:
+    """For each left row the most similar right row of the same block with a token in common, and with another value of `apart` if that is given; the higher id
+    on ties. Both have `block`, their id, `tokens` and `apart`. Likeness is computed once for each pair of distinct token sets, which meet on equal tokens."""
+    extra = [apart] if apart else []
+    keyed = lambda df: df.withColumn("set", F.array_sort(F.array_distinct(tokens)))
+    lefts = keyed(left).select(*block, *extra, "set").distinct()
+    rights = keyed(right).groupBy(*block, *extra, "set").agg(F.max(right_id).alias(right_id))
+    named = lambda df, side: df.select(*block, *[F.col(c).alias(f"{c}_{side}") for c in (*extra, "set")], *[c for c in df.columns if c == right_id], F.explode("set").alias("token"))
+    sets = lambda df, side: named(df, side).withColumn(f"n_{side}", F.size(f"set_{side}"))
+    met = sets(lefts, "left").join(sets(rights, "right"), [*block, "token"])
+    if apart:
+        met = met.where(F.col(f"{apart}_left") != F.col(f"{apart}_right"))
+    keys = [*block, *[f"{c}_left" for c in (*extra, "set")]]
+    shared = met.groupBy(*keys, right_id, "n_left", "n_right").agg(F.count("*").alias("shared"))
+    like = F.round(F.col("shared") / (F.col("n_left") + F.col("n_right") - F.col("shared")), 6)
+    best = shared.withColumn("likeness", like).where(F.col("likeness") >= least).groupBy(*keys).agg(F.max(F.struct("likeness", right_id)).alias("m"))
+    back = best.select(*block, *[F.col(f"{c}_left").alias(c) for c in (*extra, "set")], F.col(f"m.{right_id}").alias(right_id), F.col("m.likeness").alias("likeness"))
+    return keyed(left).select(left_id, *block, *extra, "set").join(back, [*block, *extra, "set"]).select(left_id, right_id, "likeness")
+
+
+def display_forms(forms: DataFrame, stem: str, form: str) -> DataFrame:
+    """For each stem its most frequent form; the shorter, then the first in binary order, on ties. Counted before it is shuffled by stem."""
+    counts = forms.groupBy(stem, form).agg(F.count("*").alias("n"))
+    best = F.min(F.struct((-F.col("n")).alias("n"), F.char_length(form).alias("size"), F.col(form).alias("form"))).alias("b")
+    return counts.groupBy(stem).agg(best, F.sum("n").alias("n_all")).select(stem, F.col("b.form").alias("form"), "n_all")

@@ -45,3 +45,31 @@ def unpack_roster(df: DataFrame, vote: str, roster: str, members: DataFrame, mem
 def grid(targets: DataFrame, parties: DataFrame, cells: DataFrame, keys: list[str], value: str, empty: str) -> DataFrame:
     """Every target with every party of a small universe, and the cell's value or `empty`."""
     return targets.crossJoin(F.broadcast(parties)).join(cells, keys, "left").select(*keys, F.coalesce(value, F.lit(empty)).alias(value))
+
+
+def deviations(ballots: DataFrame, member: str, party: str, vote: str, outcome: str, kinds: dict[str, str], absent: str) -> DataFrame:
+    """For each member the votes with a party line, and those where the member, present, took another. `kinds` are yes, no and abstained."""
+    lines = tally(ballots, vote, party, outcome, kinds).select(vote, party, strict_line(F.col("yes"), F.col("no"), F.col("abstained")).alias("line"))
+    value = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])
+    own = ballots.groupBy(member, party, vote).agg(F.min(outcome).alias("own")).where(F.col("own") != absent)
+    both = own.join(lines.where("line IS NOT NULL"), [vote, party])
+    return both.groupBy(member).agg(F.count("*").alias("n_votes"), F.count_if(F.col("own") != value[F.col("line")]).alias("n_deviating"))
+
+
+def merits(voted: DataFrame, authored: DataFrame, member: str) -> DataFrame:
+    """Each member's distinct targets by bucket, from votes and from what they wrote; both have the member, target and bucket."""
+    rows = voted.select(member, "target", "bucket", F.lit("v").alias("via")).unionByName(authored.select(member, "target", "bucket", F.lit("a").alias("via"))).distinct()
+    count = lambda c, v: F.count_if(F.col(c) == v)
+    return rows.groupBy(member).agg(count("bucket", "in_line").alias("in_line"), count("bucket", "against").alias("against"), count("via", "v").alias("n_voted"), count("via", "a").alias("n_authored"))
+
+
+def enrich(df: DataFrame, register: DataFrame, member: str, party: str, missing: str = "-") -> DataFrame:
+    """A party that is null, empty or `missing` is taken from the register (member, known_party), and is empty if that has none."""
+    lacking = F.coalesce(F.col(party).isin("", missing), F.lit(True))
+    return df.join(register, member, "left").withColumn(party, F.when(lacking, F.coalesce("known_party", F.lit(""))).otherwise(F.col(party))).drop("known_party")
+
+
+def stances_on(ballots: DataFrame, vote: str, party: str, outcome: str, kinds: dict[str, str]) -> DataFrame:
+    """For each party, in how many votes it stood for what."""
+    shown = tally(ballots, vote, party, outcome, kinds).withColumn("line", shown_line(F.col("yes"), F.col("no"), F.col("abstained")))
+    return shown.groupBy(party).agg(*[F.count_if(F.col("line") == k).alias(k) for k in kinds])

@@ -2,42 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import amounts
 from .operators import gates, history, mutations, policy, search, votes
+from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from .streaming import seen
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-class Tables:
-    """A reader of the driver's tables by name."""
-
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
-
-    def path(self, name: str) -> str:
-        return f"{self.sf_dir}/{name}.parquet"
-
-    def __call__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
-
-
-def query(sql: str):
-    """Register a function of a table reader under its name, with its SQL."""
-
-    def register(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
-        ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
 
 def _orders_by_nation(t) -> DataFrame:
     return t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(t("nation")), F.col("c_nationkey") == F.col("n_nationkey"))
@@ -347,3 +319,6 @@ def withdraw_validated(t):
     orders = t("orders").select("o_orderkey", "o_orderstatus")
     asked = t("orders").where("o_orderkey % 11 = 0").select("o_orderkey", F.repeat("o_orderpriority", F.lit(4)).alias("reason"))
     return mutations.withdraw(orders, asked, "o_orderkey", "o_orderstatus", "F")
+
+
+from . import matching_queries  # noqa: E402, F401  (registers its queries)
