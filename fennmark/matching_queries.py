@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import amounts, stemming
@@ -67,8 +67,6 @@ def median_deviation(t):
     SELECT c AS cutoff, count(*) FILTER (rank <= c) AS within, count(*) FILTER (rank > c) AS beyond, round(count(*) FILTER (rank <= c) / count(*), 6) AS share
     FROM r, (SELECT unnest([1, 3, 5, 8, 20, 50]) AS c) GROUP BY c""")
 def rank_histogram(t):
-    from pyspark.sql import Window
-
     ranks = t("part").select(F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("p_retailprice"), "p_partkey")).alias("rank"))
     return policy.shares_within(ranks, "rank", [1, 3, 5, 8, 20, 50])
 

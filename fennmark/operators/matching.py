@@ -85,8 +85,9 @@ def comparables(df: DataFrame, block: str, row: str, tokens: str, most: int, lea
 def parity(left: DataFrame, right: DataFrame, block: str, apart: str, rare: DataFrame, least: float = 0.25) -> DataFrame:
     """For each left row (id, block, apart, words) the most similar right row of the same block, with another `apart`, that shares a rare word; the lesser id on ties.
     `rare` has the rare words (id, word) of the rows of both sides; how rare bounds the pairs."""
-    side = lambda df, i: df.select(F.col("id").alias(i), block, F.col(apart).alias(f"{i}_apart")).join(rare.withColumnRenamed("id", i), i)
-    pairs = side(left, "left").join(side(right, "right"), [block, "word"]).where("left_apart <> right_apart").select("left", "right").distinct()
+    side = lambda df, i: df.select(F.col("id").alias(i), block, F.col(apart).alias(f"{i}_apart"), F.size("words").alias(f"{i}_n")).join(rare.withColumnRenamed("id", i), i)
+    alike = F.least("left_n", "right_n") >= F.greatest("left_n", "right_n") * least - 1  # sets of very unlike sizes cannot be like; one to spare for rounding
+    pairs = side(left, "left").join(side(right, "right"), [block, "word"]).where("left_apart <> right_apart").where(alike).select("left", "right").distinct()
     texts = lambda df, i: df.select(F.col("id").alias(i), F.col("words").alias(f"{i}_words"))
     shared, n = F.size(F.array_intersect("left_words", "right_words")), F.size("left_words") + F.size("right_words")
     like = F.round(shared / (n - shared), 6)

@@ -48,7 +48,7 @@ def distinctive(counts: DataFrame, group: str, term: str, least: int, most: int)
     every = counts.groupBy(term).agg(F.sum("n").alias("all_n"))
     grand = totals.agg(F.sum("own_total").alias("all_total"))
     lift = (F.col("n") / F.col("own_total")) / ((F.col("all_n") - F.col("n") + 1) / (F.col("all_total") - F.col("own_total") + 1))
-    scored = counts.where(F.col("n") >= least).join(every, term).join(F.broadcast(totals), group).crossJoin(F.broadcast(grand)).withColumn("lift", F.round(lift, 6))
+    scored = counts.where(F.col("n") >= least).join(every, term).join(totals, group).crossJoin(F.broadcast(grand)).withColumn("lift", F.round(lift, 6))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("lift"), term))).where(F.col("rank") <= most).select(group, term, "n", "lift", "rank")
 
 

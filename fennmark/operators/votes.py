@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+MOST_PARTIES = 10_000
+
 
 def tally(df: DataFrame, vote: str, party: str, outcome: str, kinds: dict[str, str]) -> DataFrame:
     """How often each party gave each outcome in each vote; `kinds` maps a column to its outcome."""
@@ -43,8 +45,9 @@ def unpack_roster(df: DataFrame, vote: str, roster: str, members: DataFrame, mem
 
 
 def grid(targets: DataFrame, parties: DataFrame, cells: DataFrame, keys: list[str], value: str, empty: str) -> DataFrame:
-    """Every target with every party of a small universe, and the cell's value or `empty`."""
-    return targets.crossJoin(F.broadcast(parties)).join(cells, keys, "left").select(*keys, F.coalesce(value, F.lit(empty)).alias(value))
+    """Every target with every party, and the cell's value or `empty`. Up to MOST_PARTIES parties go to every task; of more, Spark chooses the way."""
+    few = parties.limit(MOST_PARTIES + 1).count() <= MOST_PARTIES
+    return targets.crossJoin(F.broadcast(parties) if few else parties).join(cells, keys, "left").select(*keys, F.coalesce(value, F.lit(empty)).alias(value))
 
 
 def deviations(ballots: DataFrame, member: str, party: str, vote: str, outcome: str, kinds: dict[str, str], absent: str) -> DataFrame:
