@@ -32,8 +32,9 @@ NAMES = list(GRANTED)
 #: Share of a group in the subset, and what makes its covariance that of the whole under a normal law of five
 #: dimensions: 0.75 / P(chi2(7) <= q) with q the 0.75 quantile of chi2(5), 6.626.
 SUBSET, CONSISTENCY = 0.75, 1.412
-#: Squared distance beyond which a document is rejected: about the 1 - 1e-8 quantile of chi2(5).
-CUT = 46.0
+#: Squared distance beyond which a document is rejected: the 1 - 1e-4 quantile of chi2(5), so one clean document in 10,000 under a
+#: normal law. Every statistic alone can reach it in a group of no spread: (its range / GRANTED) ** 2 is 39 at least.
+CUT = 25.74
 MIN_GROUP = 60
 BIN_PER_E = 64
 

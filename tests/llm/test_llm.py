@@ -154,6 +154,14 @@ def test_quality_rejects_what_lies_far_off(spark):
     assert sum(kept[k] for k in range(150)) >= 149 and not kept[150]
 
 
+def test_quality_rejects_on_repeated_lines_alone(spark):
+    rng = random.Random(13)
+    usual = [prose(rng, rng.randrange(100, 400)) for _ in range(150)]
+    lines = "\n".join(rng.choices([f"w{k}x" for k in range(100, 126)], k=400))
+    row = quality.judged(documents(spark, [*usual, lines])).where("doc_id = 150").first()
+    assert row["n_dup_lines"] > 370 and not row["base_failed"] and not row["kept"]
+
+
 # --- tokens
 
 
