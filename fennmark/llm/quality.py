@@ -3,8 +3,8 @@
 Statistics of whole texts come from array functions, row by row. Documents that pass the fixed limits are described
 by five transformed statistics; for each language and source a minimum-covariance-determinant estimate of their centre
 and scatter is made by concentration steps from a fixed start, all as grouped aggregations over the narrow table
-of statistics, and documents beyond a quantile of the Mahalanobis distance are rejected. Sources of a
-language with too few documents share one estimate; where that too has too few, nothing is rejected.
+of statistics, and documents beyond a quantile of the Mahalanobis distance are rejected. A source with too few documents is
+judged by the estimate of its whole language; where that too has too few, by the estimate of all documents. So every document past the fixed limits gets a distance.
 
 All is DataFrame and SQL functions. Aggregations combine on the map side, so a source with a third of all documents is no hot
 task. What a step learns (a row for each group) is written and read again, so that no plan nests the steps before it.
@@ -132,20 +132,32 @@ def estimate(rows: DataFrame, steps: int = 3) -> DataFrame:
     return model
 
 
+def _levels(sizes: DataFrame) -> DataFrame:
+    """For each (glang, gsource) with n documents: the (lang, grp) of the estimate that judges it, and those of all estimates that it is a member of.
+    The estimate is the source's own, else the language's, else that of all documents, the first two from MIN_GROUP documents on."""
+    sizes.createOrReplaceTempView("fennmark_groups")
+    source = "concat('=', coalesce(source, ''), CASE WHEN source IS NULL THEN '?' ELSE '' END)"
+    return sizes.sparkSession.sql(f"""
+        SELECT lang AS glang, source AS gsource, judged_by,
+            filter(array(CASE WHEN level = 1 THEN judged_by END, CASE WHEN in_lang THEN named_struct('lang', lang, 'grp', 'language') END,
+                CASE WHEN in_all THEN named_struct('lang', CAST(NULL AS STRING), 'grp', 'all') END), x -> x IS NOT NULL) AS member_of
+        FROM (SELECT *, bool_or(level = 2) OVER (PARTITION BY lang) AS in_lang, max(level) OVER () = 3 AS in_all,
+                CASE level WHEN 1 THEN named_struct('lang', lang, 'grp', {source}) WHEN 2 THEN named_struct('lang', lang, 'grp', 'language')
+                    ELSE named_struct('lang', CAST(NULL AS STRING), 'grp', 'all') END AS judged_by
+            FROM (SELECT *, CASE WHEN n >= {MIN_GROUP} THEN 1 WHEN sum(n) OVER (PARTITION BY lang) >= {MIN_GROUP} THEN 2 ELSE 3 END AS level FROM fennmark_groups))""")
+
+
 def judged(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """id, the statistics, base_failed, kept, and the squared distance (null where none was computed)."""
     named = df.select(F.col(id_col), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"))
     rows = word_statistics(named, id_col, "text", ("lang", "source")).withColumn("base_failed", base_failed())
     rows = stored(rows.select(*rows.columns, *[c.alias(k) for k, c in features().items()]), "quality-statistics")
     passed = rows.where(~F.col("base_failed"))
-    sizes = passed.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    groups = sizes.select("lang", "source", F.when(F.col("n") >= MIN_GROUP, F.concat(F.lit("="), F.coalesce("source", F.lit("")), F.when(F.col("source").isNull(), "?").otherwise(""))).otherwise(F.lit("rest")).alias("grp"), "n")
-    groups.createOrReplaceTempView("fennmark_groups")
-    groups = stored(rows.sparkSession.sql("SELECT lang AS glang, source AS gsource, grp, sum(n) OVER (PARTITION BY lang, grp) AS total FROM fennmark_groups"), "quality-groups")
+    groups = stored(_levels(passed.groupBy("lang", "source").agg(F.count("*").alias("n"))), "quality-groups")
     same = F.col("lang").eqNullSafe(F.col("glang")) & F.col("source").eqNullSafe(F.col("gsource"))
-    grouped = passed.join(groups.where(F.col("total") >= MIN_GROUP), same).drop("glang", "gsource", "total", "n")
-    model = estimate(grouped)
-    placed = rows.join(groups.where(F.col("total") >= MIN_GROUP), same, "left").drop("glang", "gsource", "total")
+    members = passed.join(groups, same).select(*passed.columns, F.explode("member_of").alias("__at"))
+    model = estimate(members.withColumn("grp", F.col("__at.grp")).withColumn("lang", F.col("__at.lang")).drop("__at"))
+    placed = rows.join(groups, same, "left").withColumn("lang", F.col("judged_by.lang")).withColumn("grp", F.col("judged_by.grp")).drop("glang", "gsource", "member_of", "judged_by")
     out = _with_distance(placed, model)
     distance = F.when(F.col("base_failed"), F.lit(None)).otherwise(F.col("d2"))
     kept = ~F.col("base_failed") & (F.coalesce(distance, F.lit(0.0)) <= CUT)

@@ -162,6 +162,19 @@ def test_quality_rejects_on_repeated_lines_alone(spark):
     assert row["n_dup_lines"] > 370 and not row["base_failed"] and not row["kept"]
 
 
+def test_quality_judges_small_groups_too(spark):
+    rng = random.Random(14)
+    junk = prose(rng, 200).replace(" ", "#$%| ")
+    rows = [(k, prose(rng, rng.randrange(100, 400)), "en", "large") for k in range(150)]
+    rows += [(200 + k, prose(rng, 200), "en", "small") for k in range(3)] + [(300, junk, "en", "small"), (301, junk, "xx", "x"), (302, junk, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in quality.judged(docs).collect()}
+    assert all(r["squared_distance"] is not None for r in got.values())
+    assert [k for k in got if k >= 200 and not got[k]["kept"]] == [300, 301, 302]
+    few = {r["doc_id"]: r["kept"] for r in quality.judged(docs.where("doc_id < 20 OR doc_id = 300")).collect()}
+    assert all(few[k] for k in range(20)) and not few[300]
+
+
 # --- tokens
 
 
