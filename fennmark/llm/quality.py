@@ -2,7 +2,7 @@
 
 Statistics of whole texts come from array functions, row by row. Documents that pass the fixed limits are described
 by five transformed statistics; for each language and source a minimum-covariance-determinant estimate of their centre
-and scatter is made by concentration steps from a fixed start, all as grouped aggregations over the narrow table
+and scatter is made by concentration steps from several robust starts, of which the smallest determinant is kept, all as grouped aggregations over the narrow table
 of statistics, and documents beyond a quantile of the Mahalanobis distance are rejected. A source with too few documents is
 judged by the estimate of its whole language; where that too has too few, by the estimate of all documents. So every document past the fixed limits gets a distance.
 
@@ -10,13 +10,13 @@ All is DataFrame and SQL functions. Aggregations combine on the map side, so a s
 task. What a step learns (a row for each group) is written and read again, so that no plan nests the steps before it.
 
 Defined cases: a null text has no words; a null language or source is a group of its own; ties at the subset's edge
-are all inside; repeated rows count as often as they occur; an empty table gives an empty result; extra columns are
+are all inside; rows of a source with equal texts count once in its estimate, and each is judged; an empty table gives an empty result; extra columns are
 kept by `kept_documents` and ignored by the rest.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import stored
@@ -37,6 +37,8 @@ SUBSET, CONSISTENCY = 0.75, 1.412
 CUT = 25.74
 MIN_GROUP = 60
 BIN_PER_E = 64
+#: Relative precision of medians, as its inverse; concentration steps after which a start that still gains is left where it is.
+PRECISION, MOST_STEPS = 10_000, 40
 
 
 def word_statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -81,28 +83,41 @@ def features() -> dict[str, Column]:
     }
 
 
-def _moments(rows: DataFrame, name: str) -> DataFrame:
-    """Centre and regularised covariance of each group's rows, as columns m_i and the lower Cholesky factor l_i_j."""
-    d = len(NAMES)
-    sums = [F.avg(x).alias(f"m_{i}") for i, x in enumerate(NAMES)]
-    sums += [F.covar_pop(NAMES[i], NAMES[j]).alias(f"c_{i}_{j}") for i in range(d) for j in range(i + 1)]
-    out = rows.groupBy("lang", "grp").agg(*sums)
+KEYS = ("lang", "grp", "start")
+
+
+def _moments(rows: DataFrame, keys: tuple[str, ...], columns: list[str], floors: list[float], scale: float) -> DataFrame:
+    """Centre and regularised covariance of each group's `columns`, as m_i and the lower Cholesky factor l_i_j, with the logarithm of its determinant."""
+    d = len(columns)
+    sums = [F.avg(x).alias(f"m_{i}") for i, x in enumerate(columns)]
+    sums += [F.covar_pop(columns[i], columns[j]).alias(f"c_{i}_{j}") for i in range(d) for j in range(i + 1)]
+    out = rows.groupBy(*keys).agg(*sums)
     for i in range(d):
         for j in range(i + 1):
-            c = F.col(f"c_{i}_{j}") * CONSISTENCY
+            c = F.col(f"c_{i}_{j}") * scale
             rest = sum((F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}") for k in range(j)), F.lit(0.0))
-            if i == j:
-                factor = F.sqrt(F.greatest(c + GRANTED[NAMES[i]] ** 2 - rest, F.lit(1e-6)))
-            else:
-                factor = (c - rest) / F.col(f"l_{j}_{j}")
+            factor = F.sqrt(F.greatest(c + floors[i] ** 2 - rest, F.lit(1e-6))) if i == j else (c - rest) / F.col(f"l_{j}_{j}")
             out = out.withColumn(f"l_{i}_{j}", factor)
-    return stored(out.drop(*[f"c_{i}_{j}" for i in range(d) for j in range(i + 1)]), name)
+    out = out.withColumn("logdet", F.round(2 * sum((F.log(f"l_{i}_{i}") for i in range(d)), F.lit(0.0)), 9))
+    return out.drop(*[f"c_{i}_{j}" for i in range(d) for j in range(i + 1)])
+
+
+def _matched(rows: DataFrame, other: DataFrame, keys: tuple[str, ...], how: str = "inner") -> DataFrame:
+    """`rows` joined with `other`, whose keys bear a leading __."""
+    return rows.join(other.withColumnsRenamed({k: f"__{k}" for k in keys}), [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], how).drop(*[f"__{k}" for k in keys])
 
 
-def _with_distance(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """`rows` with the squared Mahalanobis distance d2, by forward substitution with the Cholesky factor."""
-    same = F.col("lang").eqNullSafe(F.col("__lang")) & F.col("grp").eqNullSafe(F.col("__grp"))
-    out = rows.join(model.withColumnsRenamed({"lang": "__lang", "grp": "__grp"}), same, "left")
+def _distance(columns: list) -> Column:
+    """The squared Mahalanobis distance of `columns` less their centre, by forward substitution with the Cholesky factor; needs a row joined with its model."""
+    y: list[Column] = []
+    for i, x in enumerate(columns):
+        y.append((x - sum((F.col(f"l_{i}_{k}") * y[k] for k in range(i)), F.lit(0.0))) / F.col(f"l_{i}_{i}"))
+    return sum((v * v for v in y), F.lit(0.0))
+
+
+def _with_distance(rows: DataFrame, model: DataFrame, keys: tuple[str, ...] = KEYS[:2]) -> DataFrame:
+    """`rows` with the squared Mahalanobis distance d2 from the model of its group."""
+    out = _matched(rows, model, keys, "left")
     for i, x in enumerate(NAMES):
         rest = sum((F.col(f"l_{i}_{k}") * F.col(f"y_{k}") for k in range(i)), F.lit(0.0))
         out = out.withColumn(f"y_{i}", (F.col(x) - F.col(f"m_{i}") - rest) / F.col(f"l_{i}_{i}"))
@@ -110,26 +125,68 @@ def _with_distance(rows: DataFrame, model: DataFrame) -> DataFrame:
 
 
 def _closest(rows: DataFrame) -> DataFrame:
-    """The SUBSET of each group's rows with the smallest d2. Distances are counted in fine bins, which combine on the map side; a group's edge is a bin."""
+    """The SUBSET of the rows of each group and start with the smallest d2. Distances are counted in fine bins, which combine on the map side; a group's edge is a bin."""
     binned = rows.withColumn("bin", F.floor(F.log(F.col("d2") + 1e-6) * BIN_PER_E))
-    binned.groupBy("lang", "grp", "bin").count().createOrReplaceTempView("fennmark_distance_bins")
+    binned.groupBy(*KEYS, "bin").count().createOrReplaceTempView("fennmark_distance_bins")
     edges = rows.sparkSession.sql(f"""
-        SELECT lang AS elang, grp AS egrp, min(bin) AS edge FROM (
-            SELECT lang, grp, bin, sum(count) OVER (PARTITION BY lang, grp ORDER BY bin) AS upto, sum(count) OVER (PARTITION BY lang, grp) AS total
+        SELECT lang, grp, start, min(bin) AS edge FROM (
+            SELECT lang, grp, start, bin, sum(count) OVER (PARTITION BY lang, grp, start ORDER BY bin) AS upto, sum(count) OVER (PARTITION BY lang, grp, start) AS total
             FROM fennmark_distance_bins)
-        WHERE upto >= {SUBSET} * total GROUP BY lang, grp""")
-    edges = stored(edges, "quality-edges")
-    return binned.join(edges, F.col("lang").eqNullSafe(F.col("elang")) & F.col("grp").eqNullSafe(F.col("egrp"))).where("bin <= edge").select(*rows.columns)
-
-
-def estimate(rows: DataFrame, steps: int = 3) -> DataFrame:
-    """The estimate of each (lang, grp): from all rows, then from those that lie in the middle of every statistic, then by concentration steps."""
-    start = _moments(rows, "quality-start")
-    near = _with_distance(rows, start)
-    model = _moments(_closest(near), "quality-model")
-    for _ in range(steps - 1):
-        model = _moments(_closest(_with_distance(rows, model)), "quality-model")
-    return model
+        WHERE upto >= {SUBSET} * total GROUP BY lang, grp, start""")
+    return _matched(binned, stored(edges, "quality-edges"), KEYS).where("bin <= edge").select(*rows.columns)
+
+
+def _started(rows: DataFrame) -> DataFrame:
+    """A copy of `rows` for each of three starts, with d2 from a robust centre and scatter. All statistics are centred at their medians and
+    divided by their scales (from the median absolute deviation and what is granted). Start 0 takes the plain distance of these; starts 1 and 2 the
+    Mahalanobis distance under the correlations of their hyperbolic tangents and of their spatial signs, both of which a far-off row moves by a bounded amount."""
+    keys = KEYS[:2]
+    middle = stored(rows.groupBy(*keys).agg(*[F.percentile_approx(x, 0.5, F.lit(PRECISION)).alias(f"mid_{x}") for x in NAMES]), "quality-middle")
+    near = _matched(rows, middle, keys)
+    spread = near.groupBy(*keys).agg(*[F.percentile_approx(F.abs(F.col(x) - F.col(f"mid_{x}")), 0.5, F.lit(PRECISION)).alias(f"mad_{x}") for x in NAMES])
+    scaled = _matched(near, stored(spread, "quality-spread"), keys)
+    z = [(F.col(x) - F.col(f"mid_{x}")) / F.sqrt((1.4826 * F.col(f"mad_{x}")) ** 2 + GRANTED[x] ** 2) for x in NAMES]
+    names = [f"z_{i}" for i in range(len(NAMES))]
+    scaled = scaled.select(*rows.columns, *[v.alias(k) for v, k in zip(z, names, strict=True)])
+    length = F.greatest(F.sqrt(sum((F.col(k) * F.col(k) for k in names), F.lit(0.0))), F.lit(1e-9))
+    shapes = [[F.tanh(k) for k in names], [F.col(k) / length for k in names]]
+    bounded = [f"b_{i}" for i in range(len(NAMES))]
+    turned = None
+    for k, shape in enumerate(shapes, 1):
+        part = scaled.select(*keys, F.lit(k).alias("start"), *[v.alias(b) for v, b in zip(shape, bounded, strict=True)])
+        turned = part if turned is None else turned.unionByName(part)
+    deviations = turned.groupBy(*KEYS).agg(*[F.sqrt(F.var_pop(b) + 1e-4).alias(f"s_{i}") for i, b in enumerate(bounded)])
+    ones = _matched(turned, stored(deviations, "quality-deviations"), KEYS).select(*KEYS, *[(F.col(b) / F.col(f"s_{i}")).alias(b) for i, b in enumerate(bounded)])
+    shape = stored(_moments(ones, KEYS, bounded, [0.1] * len(bounded), 1.0), "quality-shapes")
+    copies = scaled.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    d2 = F.when(F.col("start") == 0, sum((F.col(k) * F.col(k) for k in names), F.lit(0.0))).otherwise(_distance([F.col(k) for k in names]))
+    return _matched(copies, shape, KEYS, "left").select(*rows.columns, "start", d2.alias("d2"))
+
+
+def estimate(rows: DataFrame) -> DataFrame:
+    """The estimate of each (lang, grp) of rows that are told apart by text_hash: of the robust starts, each followed by concentration steps until no determinant falls
+    any more, the one with the smallest determinant. Rows of a group with equal texts count once."""
+    single = stored(rows.select("lang", "grp", "text_hash", *NAMES).groupBy("lang", "grp", "text_hash").agg(*[F.first(x).alias(x) for x in NAMES]).drop("text_hash"), "quality-single")
+    floors = [GRANTED[x] for x in NAMES]
+    begun = _started(single)
+    copies = single.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    best = stored(_moments(_closest(begun), KEYS, NAMES, floors, CONSISTENCY), "quality-model")
+    for _ in range(MOST_STEPS):
+        after = stored(_moments(_closest(_with_distance(copies, best, KEYS)), KEYS, NAMES, floors, CONSISTENCY), "quality-model")
+        fell = _matched(after, best.select(*KEYS, F.col("logdet").alias("before")), KEYS).where(F.col("logdet") < F.col("before") - 1e-6)
+        better = stored(_lower(after, best), "quality-model")
+        done, best = not fell.limit(1).count(), better
+        if done:
+            break
+    order = Window.partitionBy("lang", "grp").orderBy("logdet", "start")
+    return stored(best.withColumn("__k", F.row_number().over(order)).where("__k = 1").drop("__k", "start", "logdet"), "quality-best")
+
+
+def _lower(after: DataFrame, before: DataFrame) -> DataFrame:
+    """For each group and start, the one of two models with the smaller determinant (a step over binned distances may also rise by a trifle)."""
+    order = Window.partitionBy(*KEYS).orderBy("logdet", "__age")
+    both = after.withColumn("__age", F.lit(1)).unionByName(before.withColumn("__age", F.lit(0)))
+    return both.withColumn("__k", F.row_number().over(order)).where("__k = 1").drop("__k", "__age")
 
 
 def _levels(sizes: DataFrame) -> DataFrame:
@@ -150,7 +207,8 @@ def _levels(sizes: DataFrame) -> DataFrame:
 def judged(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """id, the statistics, base_failed, kept, and the squared distance (null where none was computed)."""
     named = df.select(F.col(id_col), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"))
-    rows = word_statistics(named, id_col, "text", ("lang", "source")).withColumn("base_failed", base_failed())
+    named = named.withColumn("text_hash", F.concat(F.hex(F.xxhash64("text")), F.hex(F.xxhash64(F.lit(1), "text"))))
+    rows = word_statistics(named, id_col, "text", ("lang", "source", "text_hash")).withColumn("base_failed", base_failed())
     rows = stored(rows.select(*rows.columns, *[c.alias(k) for k, c in features().items()]), "quality-statistics")
     passed = rows.where(~F.col("base_failed"))
     groups = stored(_levels(passed.groupBy("lang", "source").agg(F.count("*").alias("n"))), "quality-groups")

@@ -175,6 +175,17 @@ def test_quality_judges_small_groups_too(spark):
     assert all(few[k] for k in range(20)) and not few[300]
 
 
+@pytest.mark.parametrize("share, equal", [(0.22, False), (0.5, True)])
+def test_quality_clumps_of_junk_do_not_pull_the_estimate(spark, share, equal):
+    rng = random.Random(15)
+    body = [w + "#$%|" for w in prose(rng, 200).split()]
+    texts = [prose(rng, rng.randrange(100, 400)) for _ in range(round(200 * (1 - share)))]
+    n = len(texts)
+    texts += [" ".join(body if equal else rng.sample(body, len(body))) for _ in range(200 - n)]
+    kept = {r["doc_id"]: r["kept"] for r in quality.judged(documents(spark, texts)).collect()}
+    assert sum(kept[k] for k in range(n)) >= n - 1 and not any(kept[k] for k in range(n, 200))
+
+
 # --- tokens
 
 
