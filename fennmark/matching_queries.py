@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import amounts, stemming
 from .operators import gates, history, matching, policy, search, votes
-from .registry import query
+from .registry import ORACLE_SQL, query
 
 _KINDS = {"yes": "A", "no": "N", "abstained": "R"}
 _NATION_ORDERS = "orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"
@@ -178,18 +178,22 @@ _TOKENS_SQL = """(SELECT DISTINCT doc_id, lang, kind, token FROM (SELECT doc_id,
     UNION ALL SELECT doc_id, lang, 'number', unnest(regexp_extract_all(lower(text), '[0-9]+ [a-z]{3,6}')) FROM documents))"""
 
 
-@query(f"""WITH t AS {_TOKENS_SQL}, e AS (SELECT *, count(*) OVER (PARTITION BY kind, token) AS df FROM t WHERE doc_id % 2 = 0),
-    x AS (SELECT c.doc_id AS candidate, e.doc_id AS existing, sum(CASE e.kind WHEN 'number' THEN 3 ELSE 2 END)::BIGINT AS score FROM t c JOIN e USING (lang, kind, token)
-    WHERE c.doc_id % 2 = 1 AND df <= CASE e.kind WHEN 'number' THEN 3 ELSE 2 END GROUP BY ALL HAVING sum(CASE e.kind WHEN 'number' THEN 3 ELSE 2 END) >= 3)
-    SELECT candidate, arg_max(existing, (score, -existing)) AS existing, max(score) AS score FROM x GROUP BY candidate""")
-def policy_dup(t):
+def _policy_tokens(t) -> DataFrame:
     docs = t("documents").select("doc_id", "lang", "text")
     long_words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.char_length(w) >= 4)
     both = F.concat(
         F.transform(matching.bigrams(long_words), lambda x: F.struct(F.lit("pair").alias("kind"), x.alias("token"))),
         F.transform(F.regexp_extract_all(F.lower("text"), F.lit("([0-9]+ [a-z]{3,6})"), 1), lambda x: F.struct(F.lit("number").alias("kind"), x.alias("token"))),
     )
-    tokens = docs.select("doc_id", "lang", F.inline(both))
+    return docs.select("doc_id", "lang", F.inline(both))
+
+
+@query(f"""WITH t AS {_TOKENS_SQL}, e AS (SELECT *, count(*) OVER (PARTITION BY kind, token) AS df FROM t WHERE doc_id % 2 = 0),
+    x AS (SELECT c.doc_id AS candidate, e.doc_id AS existing, sum(CASE e.kind WHEN 'number' THEN 3 ELSE 2 END)::BIGINT AS score FROM t c JOIN e USING (lang, kind, token)
+    WHERE c.doc_id % 2 = 1 AND df <= CASE e.kind WHEN 'number' THEN 3 ELSE 2 END GROUP BY ALL HAVING sum(CASE e.kind WHEN 'number' THEN 3 ELSE 2 END) >= 3)
+    SELECT candidate, arg_max(existing, (score, -existing)) AS existing, max(score) AS score FROM x GROUP BY candidate""")
+def policy_dup(t):
+    tokens = _policy_tokens(t)
     candidates = tokens.where("doc_id % 2 = 1").withColumnRenamed("doc_id", "candidate")
     return matching.shared_weight(candidates, tokens.where("doc_id % 2 = 0").withColumnRenamed("doc_id", "existing"), ["lang"], {"number": (3, 3), "pair": (2, 2)}, 3)
 
@@ -304,3 +308,53 @@ def display_form(t):
 def stems_sv(t):
     words = t("documents").select("doc_id", F.explode(F.array_distinct(stemming.lower_words(F.col("text")))).alias("word"))
     return stemming.with_stems(words, "word").groupBy("stem").agg(F.count_distinct("doc_id").alias("n_docs"), F.count_distinct("word").alias("n_forms"))
+
+
+# Likeness over all rows
+
+
+@query(ORACLE_SQL["cross_party_dup"].replace(" WHERE p_partkey % 2 = 0", "").replace(" WHERE p_partkey % 2 = 1", ""))
+def cross_party_dup_all(t):
+    part = t("part").select("p_partkey", "p_type", "p_brand", F.split("p_name", " ").alias("w"))
+    return search.best_match(part.withColumnRenamed("p_partkey", "part"), part.withColumnRenamed("p_partkey", "other"), ["p_type"], "part", "other", "w", 0.35, apart="p_brand")
+
+
+@query("""WITH p AS (SELECT p_partkey, p_brand, list_distinct(string_split(p_name, ' ')) AS w FROM part),
+    x AS (SELECT a.p_partkey AS part, b.p_partkey AS other, round(len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(a.w || b.w)), 6) AS likeness
+    FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey)
+    SELECT part, arg_max(other, (likeness, other)) AS other, max(likeness) AS likeness FROM x WHERE likeness >= 0.3 GROUP BY part""")
+def title_dup_all(t):
+    part = t("part").select("p_partkey", "p_brand", F.array_sort(F.array_distinct(F.split("p_name", " "))).alias("w"))
+    named = part.withColumn("title", F.concat_ws(" ", "w"))
+    sizes = named.groupBy("p_brand", "title").agg(F.count("*").alias("n"), F.max("p_partkey").alias("last"))
+    kept = named.join(sizes, ["p_brand", "title"])
+    before = kept.where(F.col("p_partkey") < F.col("last")).groupBy("p_brand", "title").agg(F.max("p_partkey").alias("before"))
+    equal = kept.where("n > 1").join(before, ["p_brand", "title"])
+    equal = equal.select(F.col("p_partkey").alias("part"), F.when(F.col("p_partkey") == F.col("last"), F.col("before")).otherwise(F.col("last")).alias("other"), F.lit(1.0).alias("likeness"))
+    alone = kept.where("n = 1").select(F.col("p_partkey").alias("part"), "p_brand", "w", "title")
+    unlike = search.best_match(alone, named.withColumnRenamed("p_partkey", "other"), ["p_brand"], "part", "other", "w", 0.3, apart="title")
+    return equal.unionByName(unlike.select("part", "other", "likeness"))
+
+
+@query("""WITH a AS (SELECT doc_id, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS f FROM documents), b AS (SELECT item_id, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS f FROM benchmark)
+    SELECT doc_id, min(item_id) AS item_id FROM a JOIN b ON length(a.f) >= 30 AND length(b.f) >= 30 AND length(a.f) <= 2 * length(b.f)
+    AND length(b.f) <= 2 * length(a.f) AND (contains(a.f, b.f) OR contains(b.f, a.f)) GROUP BY doc_id""")
+def quote_dup_all(t):
+    found = matching.quote_duplicates(t("documents").select(F.col("doc_id").alias("left"), "text"), t("benchmark").select(F.col("item_id").alias("right"), "text"))
+    return found.select(F.col("left").alias("doc_id"), F.col("right").alias("item_id"))
+
+
+@query(f"""WITH t AS {_TOKENS_SQL}, e AS (SELECT *, count(*) OVER (PARTITION BY kind, token) AS df FROM t),
+    x AS (SELECT c.doc_id AS candidate, e.doc_id AS existing, sum(CASE e.kind WHEN 'number' THEN 3 ELSE 2 END)::BIGINT AS score FROM t c JOIN e USING (lang, kind, token)
+    WHERE c.doc_id <> e.doc_id AND df - 1 <= CASE e.kind WHEN 'number' THEN 3 ELSE 2 END GROUP BY ALL HAVING sum(CASE e.kind WHEN 'number' THEN 3 ELSE 2 END) >= 3)
+    SELECT candidate, arg_max(existing, (score, -existing)) AS existing, max(score) AS score FROM x GROUP BY candidate""")
+def policy_dup_all(t):
+    tokens = _policy_tokens(t)
+    return matching.shared_weight(tokens.withColumnRenamed("doc_id", "candidate"), tokens.withColumnRenamed("doc_id", "existing"), ["lang"], {"number": (3, 3), "pair": (2, 2)}, 3, itself=True)
+
+
+@query(ORACLE_SQL["parity_best_match"].replace("a.id % 10 = 0 AND b.id % 10 <> 0 AND ", ""))
+def parity_best_match_all(t):
+    docs = t("documents").select(F.col("doc_id").alias("id"), "lang", "source", search.words(F.col("text")).alias("words"))
+    rare = matching.rare_tokens(docs.select("id", F.explode(F.filter("words", lambda w: F.char_length(w) >= 7)).alias("word")), "id", "word", _RARE)
+    return matching.parity(docs, docs, "lang", "source", rare)

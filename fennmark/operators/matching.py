@@ -22,16 +22,18 @@ def rare_tokens(df: DataFrame, row: str, token: str, most: int) -> DataFrame:
     return pairs.join(pairs.groupBy(token).agg(F.count("*").alias("df")).where(F.col("df") <= most).select(token), token)
 
 
-def shared_weight(candidates: DataFrame, existing: DataFrame, block: list[str], weights: dict[str, tuple[int, int]], least: int) -> DataFrame:
+def shared_weight(candidates: DataFrame, existing: DataFrame, block: list[str], weights: dict[str, tuple[int, int]], least: int, itself: bool = False) -> DataFrame:
     """For each candidate the existing row of its block with the largest weight of rare tokens in common, the lesser id on ties.
 
     `candidates` has `block`, candidate, kind, token; `existing` has `block`, existing, kind, token; `weights` maps a kind to its weight and
-    to the number of existing rows up to which a token is rare. A token meets so many rows at most, so the join is linear."""
-    limit = F.create_map(*[F.lit(x) for k, (_, most) in weights.items() for x in (k, most)])
+    to the number of existing rows up to which a token is rare. A token meets so many rows at most, so the join is linear.
+    With `itself` both sides are the same rows: none meets itself, and a token's own row does not count towards how rare it is."""
+    limit = F.create_map(*[F.lit(x) for k, (_, most) in weights.items() for x in (k, most + itself)])
     weight = F.create_map(*[F.lit(x) for k, (w, _) in weights.items() for x in (k, w)])
     there = existing.distinct()
     rare = there.groupBy("kind", "token").agg(F.count("*").alias("df")).where(F.col("df") <= limit[F.col("kind")]).select("kind", "token")
     met = candidates.distinct().join(there.join(rare, ["kind", "token"]), [*block, "kind", "token"])
+    met = met.where("candidate <> existing") if itself else met
     scored = met.groupBy("candidate", "existing").agg(F.sum(weight[F.col("kind")]).alias("score")).where(F.col("score") >= least)
     best = scored.groupBy("candidate").agg(F.max(F.struct("score", (-F.col("existing")).alias("id"))).alias("b"))
     return best.select("candidate", (-F.col("b.id")).alias("existing"), F.col("b.score").cast("bigint").alias("score"))

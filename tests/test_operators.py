@@ -165,3 +165,16 @@ def test_a_reject_or_a_published_row_leaves_the_queue(spark):
     queue = rows((1, "a", "x" * 30), (2, "b", "y" * 30), (3, "c", "short"), (4, None, None))
     got = history.unresolved(queue, rows((5, "a", "")), rows((6, "z", "y" * 30), (7, "k", "short"), (8, None, None)), F.col("t"), F.col("q"))
     assert sorted(r["id"] for r in got.collect()) == [3, 4]
+
+
+def test_rows_of_one_kind_meet_each_other_but_not_themselves(spark):
+    rows = [(1, "sv", "pair", "a b"), (1, "sv", "pair", "b c"), (3, "sv", "pair", "a b"), (3, "sv", "pair", "b c"), (4, "sv", "pair", "c d"), (4, "sv", "pair", "d e")]
+    tokens = spark.createDataFrame(rows, "id int, lang string, kind string, token string")
+    got = matching.shared_weight(tokens.withColumnRenamed("id", "candidate"), tokens.withColumnRenamed("id", "existing"), ["lang"], {"pair": (2, 2)}, 3, itself=True)
+    assert sorted(map(tuple, got.collect())) == [(1, 3, 4), (3, 1, 4)]
+
+
+@pytest.mark.parametrize("name, left, right", [("title_dup_all", "part", "other"), ("cross_party_dup_all", "part", "other"), ("policy_dup_all", "candidate", "existing"), ("parity_best_match_all", "left", "right")])
+def test_likeness_over_all_rows_joins_ids_of_like_parity(spark, name, left, right):
+    rows = QUERIES[name](spark, SF_DIR).collect()
+    assert {(r[left] % 2, r[right] % 2) for r in rows} == {(0, 0), (0, 1), (1, 0), (1, 1)} and all(r[left] != r[right] for r in rows)
