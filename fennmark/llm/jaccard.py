@@ -9,13 +9,15 @@ What is done for scale:
 
 * equal sets are folded into one first, by a digest, so copies cost one row each;
 * the prefixes leave a task as packed arrays, one for each of a number of buckets that grows with the input; a bucket is sorted in
-  numpy and gives the distinct lists of documents that share a rare shingle (LISTED at most each);
-* a shingle that is common within some batch of documents, or in more documents than LISTED, is frequent. It is handled
+  numpy and gives the distinct lists of documents that share a rare shingle (`listed` at most each);
+* a shingle that is common within some batch of documents, or in more documents than `listed`, is frequent. It is handled
   as plain rows with map-side combined aggregations, never as a gathered group;
-* candidates are verified in two steps. First every document against the smallest of each of its lists and frequent shingles, which
+* candidates are verified in steps. First every document against one centre of each of its lists and frequent shingles, which
   links groups of near copies in a number of pairs linear in their size. Components are then found, and only
-  candidates in different components are left for the second step, which is complete: lists give their pairs, combinations of two frequent shingles
-  theirs. The combinations with the same later shingle are handled together, in blocks of bounded size, and a pair only at its first combination;
+  candidates in different components are left. Of those that share frequent shingles only, a document stays open if one of another component with the same shingle can have
+  enough in common with it, told by counts for each size. While more than `block` documents of a shingle are open, further centres are tried, again linear. The last step
+  is complete: lists give their pairs, combinations of two frequent shingles theirs. The combinations with the same later shingle are handled
+  together, in blocks of bounded size, and a pair only at its first combination;
 * a bit map of each set rules most candidates out (it bounds the intersection from above, so no link is lost);
 * texts are only fetched for documents in a candidate pair that is left, compressed.
 
@@ -29,33 +31,45 @@ from __future__ import annotations
 import zlib
 from collections import OrderedDict
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import arrow_bytes, filtered_by_ids, limit_batches, mixed, stored
+from .shared import BROADCAST_ROWS, arrow_bytes, filtered_by_ids, limit_batches, mixed, stored
 
 WORDS = 5
 #: Similarity as a fraction of whole numbers: linked if DEN * intersection >= NUM * union.
 NUM, DEN = 75, 100
-#: A rare shingle is in so many sets at most.
-LISTED = 64
-#: A shingle is frequent if so many different sets of one batch have it in their prefix.
-COMMON_IN_BATCH = 6
-#: Prefix shingles in a bucket, about; a bucket takes 20 bytes for each.
-BUCKET_ROWS = 1_000_000
-#: Documents of one frequent shingle that a task compares with as many others.
-BLOCK = 1024
-#: Members of lists in a bucket, about.
-BUCKET_MEMBERS = 20_000
 #: Bytes of text that are hashed together.
-SLICE = 2 << 20
-#: Frequent shingles that tasks get as a sorted array of 8 bytes each; beyond, the rarer of them count as rare.
-MOST_FREQUENT = 1_000_000
+SLICE = 1 << 20
+
+
+@dataclass(frozen=True)
+class Limits:
+    """What bounds a task. None of these changes a result."""
+
+    #: A rare shingle is in so many sets at most.
+    listed: int = 64
+    #: A shingle is frequent if so many different sets of one batch have it in their prefix.
+    common_in_batch: int = 6
+    #: Frequent shingles that tasks get as a sorted array of 8 bytes each; beyond, the rarer of them count as rare.
+    most_frequent: int = 1_000_000
+    #: Prefix shingles in a bucket, about; a bucket takes 20 bytes for each.
+    bucket_rows: int = 1_000_000
+    #: Members of lists in a bucket, about.
+    bucket_members: int = 20_000
+    #: Documents of one frequent shingle that a task compares with as many others, and the shingles that it looks at together.
+    block: int = 1024
+    columns: int = 4096
+    #: Rounds that join large groups around further centres before pairs are compared.
+    peels: int = 6
+
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -72,23 +86,49 @@ def _powers(n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
+def _cuts(data: np.ndarray, offsets: np.ndarray) -> list[int]:
+    """Places about SLICE bytes apart that split no word."""
+    cuts = [0]
+    while cuts[-1] + SLICE < len(data):
+        at = cuts[-1] + SLICE
+        row = int(offsets[np.searchsorted(offsets, at)])
+        while at < row:
+            space = np.flatnonzero(_SPACE[data[at : min(at + 4096, row)]])
+            if len(space):
+                row = at + int(space[0])
+            at += 4096
+        cuts.append(row)
+    return [*cuts, len(data)] if cuts[-1] < len(data) else cuts
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash for each word of the rows, and where each row's words begin and end among them."""
+    """A hash for each word of the rows, and where each row's words begin and end among them. A slice of the bytes is looked at at a time."""
+    cuts, hashes, starts = _cuts(data, offsets), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        rows = offsets[np.searchsorted(offsets, a) : np.searchsorted(offsets, b)] - a
+        found, places = _slice_hashes(data[a:b], rows)
+        hashes.append(found)
+        starts.append(places + a)
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), offsets)
+
+
+def _slice_hashes(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash and the place of each word; a word also begins where a row does."""
     word = ~_SPACE[data]
     begins = word.copy()
-    begins[1:] &= _SPACE[data[:-1]]
-    firsts = offsets[:-1][(offsets[:-1] < offsets[1:])]
-    begins[firsts] |= word[firsts]
+    begins[1:] &= ~word[:-1]
+    begins[rows] |= word[rows]
     starts = np.flatnonzero(begins)
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    place = np.arange(starts[0], len(data)) - np.repeat(starts, np.diff(np.r_[starts, len(data)]))
-    place[~word[starts[0] :]] = 0
-    terms = (_LOWER[data[starts[0] :]] + np.uint64(1)) * _powers(int(place.max()) + 1)[place]
-    terms[~word[starts[0] :]] = 0
+        return np.zeros(0, np.uint64), starts
+    data, word = data[starts[0] :], word[starts[0] :]
+    place = np.arange(len(data)) - np.repeat(starts - starts[0], np.diff(np.r_[starts - starts[0], len(data)]))
+    place[~word] = 0
+    terms = (_LOWER[data] + np.uint64(1)) * _powers(int(place.max()) + 1)[place]
+    terms[~word] = 0
     sums = np.add.reduceat(terms, starts - starts[0])
-    sizes = np.add.reduceat(word[starts[0] :].astype(np.uint64), starts - starts[0])
-    return mixed(sums ^ (sizes << np.uint64(56))), np.searchsorted(starts, offsets)
+    sizes = np.add.reduceat(word.astype(np.uint64), starts - starts[0])
+    return mixed(sums ^ (sizes << np.uint64(56))), starts
 
 
 def shingle_sets(column) -> Iterator[np.ndarray]:
@@ -143,7 +183,7 @@ def most_common(x: bytes, y: bytes, nx: int, ny: int) -> int:
 _PROFILE = "kind int, id bigint, n bigint, key binary, small binary, sketch binary"
 
 
-def profiles(rows: DataFrame) -> DataFrame:
+def profiles(rows: DataFrame, common_in_batch: int) -> DataFrame:
     """kind 0: id, number of shingles, digest and sketches of the set of each row; kind 1: a shingle common in a batch's prefixes (as id) with its count (as n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +198,7 @@ def profiles(rows: DataFrame) -> DataFrame:
                     met.add(keys[-1])
                     prefixes.append(s[: prefix_length(len(s))])
             tokens, counts = np.unique(np.concatenate(prefixes), return_counts=True) if prefixes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            common = counts >= COMMON_IN_BATCH
+            common = counts >= common_in_batch
             ids = pa.concat_arrays([batch.column(0).cast(pa.int64()), pa.array(tokens[common].view(np.int64))])
             k = int(common.sum())
             yield pa.RecordBatch.from_arrays(
@@ -206,7 +246,7 @@ def packed_prefixes(rows: DataFrame, frequent, buckets: int) -> DataFrame:
     return rows.mapInArrow(run, _PACKED)
 
 
-def _lists(table: pa.Table) -> pa.Table:
+def _lists(table: pa.Table, listed: int) -> pa.Table:
     """A bucket's distinct lists of documents with a rare shingle in common (token null), and the rows of frequent ones (a document each)."""
     token, doc, size = (np.concatenate([np.frombuffer(x.as_py(), t) for x in table.column(c)]) for c, t in (("tokens", np.uint64), ("docs", np.int64), ("sizes", np.int32)))
     order = np.lexsort((doc, token))
@@ -215,9 +255,9 @@ def _lists(table: pa.Table) -> pa.Table:
     token, doc, size = token[~again], doc[~again], size[~again]
     starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
     counts = np.diff(np.r_[starts, len(token)])
-    flat = np.repeat((counts > LISTED) | (table.column("bucket")[0].as_py() < 0), counts)
+    flat = np.repeat((counts > listed) | (table.column("bucket")[0].as_py() < 0), counts)
     lists: dict[bytes, tuple[list, list]] = {}
-    short = (counts > 1) & (counts <= LISTED) & ~flat[starts]
+    short = (counts > 1) & (counts <= listed) & ~flat[starts]
     for a, n in zip(starts[short].tolist(), counts[short].tolist(), strict=True):
         lists.setdefault(doc[a : a + n].tobytes(), (doc[a : a + n].tolist(), size[a : a + n].tolist()))
     tokens = [None] * len(lists) + token[flat].view(np.int64).tolist()
@@ -231,12 +271,49 @@ def _close(a: str, b: str):
     return (F.col(a) * DEN >= F.col(b) * NUM) & (F.col(b) * DEN >= F.col(a) * NUM)
 
 
-def star_pairs(lists: DataFrame, flat: DataFrame) -> DataFrame:
-    """Each document with the smallest of each of its lists and frequent shingles."""
+def _plausible_sizes(a: str, b: str, fa: str, fb: str):
+    """Whether two documents can be linked that share no rare shingle of their prefixes: then they have at most the frequent ones of either prefix in
+    common, and what lies behind a prefix."""
+    rest = lambda n: F.col(n) - _prefix_length(n)
+    most = F.least(F.least(fa, fb) + F.greatest(rest(a), rest(b)), a, b)
+    return _close(a, b) & (most * (DEN + NUM) >= (F.col(a) + F.col(b)) * NUM)
+
+
+def _prefix_length(n: str):
+    return F.least(F.col(n), F.col(n) - F.ceil(F.col(n) * NUM / DEN) + 2)
+
+
+def _joined(rows: DataFrame, side: DataFrame, on, how: str = "inner") -> DataFrame:
+    """`rows` joined with a stored table that is sent to all tasks if it is counted and found small, so that rows of a hot key stay where they are."""
+    return rows.join(F.broadcast(side) if side.count() <= BROADCAST_ROWS else side.hint("merge"), on, how)
+
+
+def list_stars(lists: DataFrame) -> DataFrame:
+    """Each document with the smallest of each of its lists."""
     of_lists = lists.select(F.explode(F.arrays_zip("docs", "sizes")).alias("x"), F.col("docs")[0].alias("b"), F.col("sizes")[0].alias("nb")).select(F.col("x.docs").alias("a"), F.col("x.sizes").alias("na"), "b", "nb")
-    centres = flat.groupBy("token").agg(F.min(F.struct("doc", "size")).alias("c"))
-    of_flat = flat.join(centres, "token").select(F.col("doc").alias("a"), F.col("size").alias("na"), F.col("c.doc").alias("b"), F.col("c.size").alias("nb"))
-    return of_lists.union(of_flat).where((F.col("a") != F.col("b")) & _close("na", "nb")).select("a", "b").distinct()
+    return of_lists.where((F.col("a") != F.col("b")) & _close("na", "nb")).select("a", "b").distinct()
+
+
+def frequent_rows(flat: DataFrame) -> DataFrame:
+    """token, doc, size, and `f`: how many frequent shingles the document's prefix has. One alone brings no two documents together."""
+    tokens = flat.groupBy("doc", "size").agg(F.collect_set("token").alias("tokens")).where(F.size("tokens") > 1)
+    return stored(tokens.select("doc", "size", F.size("tokens").alias("f"), F.explode("tokens").alias("token")), "jaccard-frequent")
+
+
+def frequent_stars(rows: DataFrame, by: tuple[str, ...] = ("token",)) -> DataFrame:
+    """Each document with one of those that share a frequent shingle with it: that which has the fewest rare shingles in its prefix, so the likeliest to be what the others are copies of.
+    With a root in `rows`, the centres are those of the two likeliest roots, and no pair is of one root."""
+    rare = _prefix_length("size") - F.col("f")
+    c = F.struct(rare.alias("rare"), F.col("doc").alias("b"), F.col("size").alias("nb"), F.col("f").alias("fb"))
+    centres = rows.groupBy(*by).agg(F.min(c).alias("c"))
+    apart = F.lit(True)
+    if "root" in by:
+        order = Window.partitionBy("token").orderBy("c")
+        centres = centres.withColumn("k", F.row_number().over(order)).where("k <= 2").withColumnRenamed("root", "root_b")
+        apart = F.col("root") != F.col("root_b")
+    centres = stored(centres.select("token", "c.*", *["root_b"] * ("root" in by)), "jaccard-centres")
+    pairs = _joined(rows, centres, "token").where((F.col("doc") != F.col("b")) & apart & _plausible_sizes("size", "nb", "f", "fb"))
+    return pairs.select(F.col("doc").alias("a"), "b").distinct()
 
 
 _PAIRS = "a bigint, b bigint"
@@ -277,7 +354,22 @@ def _list_pairs(table: pa.Table) -> pa.Table:
     return _table_of(_may_link(table, i[once], j[once]))
 
 
-def _frequent_pairs(table: pa.Table) -> pa.Table:
+def _in_common(lists: pa.ListArray, x: np.ndarray, y: np.ndarray, names: np.ndarray, below: int, columns: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many names each row of x has in common with each of y, and how many of those lie before `below`. `columns` names are taken at a time."""
+    at = np.searchsorted(names, lists.values.to_numpy()[lists.offsets[0].as_py() : lists.offsets[-1].as_py()])
+    row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    common, before = (np.zeros((len(x), len(y)), np.float32) for _ in range(2))
+    for first in range(0, len(names), columns):
+        inside = (at >= first) & (at < first + columns)
+        has = np.zeros((len(lists), min(columns, len(names) - first)), np.float32)
+        has[row[inside], at[inside] - first] = 1
+        common += has[x] @ has[y].T
+        if below > first:
+            before += has[x, : below - first] @ has[y, : below - first].T
+    return common, before
+
+
+def _frequent_pairs(table: pa.Table, columns: int) -> pa.Table:
     """The plausible pairs in different components of a block of one frequent shingle's documents, or of two blocks.
 
     A pair is taken up at its first combination of two common frequent shingles only, of which this is the later one. If they share no rare one, what
@@ -285,40 +377,56 @@ def _frequent_pairs(table: pa.Table) -> pa.Table:
     token, low, high = (table.column(c)[0].as_py() for c in ("token", "lo", "hi"))
     own, root, size = (table.column(c).to_numpy() for c in ("own", "root", "size"))
     lists = table.column("tokens").combine_chunks()
-    names, which = np.unique(lists.values.to_numpy()[lists.offsets[0].as_py() : lists.offsets[-1].as_py()], return_inverse=True)
-    has = np.zeros((len(own), len(names)), np.float32)
-    has[np.repeat(np.arange(len(own)), np.diff(lists.offsets.to_numpy())), which] = 1
-    earlier = int(np.searchsorted(names, token))
+    names = np.unique(lists.values.to_numpy()[lists.offsets[0].as_py() : lists.offsets[-1].as_py()])
     x, y = np.flatnonzero(own == low), np.flatnonzero(own == high)
-    common, before = has[x] @ has[y].T, has[x, :earlier] @ has[y, :earlier].T
-    size = size.astype(np.int64)
-    rest = size - np.array([prefix_length(n) for n in size.tolist()])
+    common, before = _in_common(lists, x, y, names, int(np.searchsorted(names, token)), columns)
+    size = size.astype(np.int32)
+    rest = size - np.array([prefix_length(n) for n in size.tolist()], np.int32)
     sums = size[x][:, None] + size[y][None, :]
-    most = np.minimum(common.astype(np.int64) + np.maximum(rest[x][:, None], rest[y][None, :]), np.minimum(size[x][:, None], size[y][None, :]))
-    open_pairs = (before == 1) & (root[x][:, None] != root[y][None, :]) & (most * (DEN + NUM) >= NUM * sums)
+    most = np.minimum(common.astype(np.int32) + np.maximum(rest[x][:, None], rest[y][None, :]), np.minimum(size[x][:, None], size[y][None, :]))
+    open_pairs = (before == 1) & (root[x][:, None] != root[y][None, :]) & (most.astype(np.int64) * (DEN + NUM) >= NUM * sums.astype(np.int64))
     if low == high:
         open_pairs = np.triu(open_pairs, 1)
     i, j = np.nonzero(open_pairs)
     return _table_of(_may_link(table, x[i], y[j]))
 
 
-def remaining_pairs(lists: DataFrame, flat: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
-    """All plausible candidates whose documents are in different components so far."""
-    about = sets.join(roots, F.col("id") == F.col("node"), "left").select(F.col("id").alias("doc"), F.col("n").cast("int").alias("size"), "small", "sketch", F.coalesce("root", "id").alias("root"))
+def open_rows(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """The frequent rows, with their roots, that may have a partner under another root at the same shingle: for each size of a shingle's
+    documents, the two roots with the most frequent shingles in a prefix say whether there can be one."""
+    rooted = stored(rows.join(roots, F.col("doc") == F.col("node"), "left").select(*rows.columns, F.coalesce("root", "doc").alias("root")), "jaccard-rooted")
+    most = rooted.groupBy("token", "size", "root").agg(F.max("f").alias("f"))
+    first = Window.partitionBy("token", "size").orderBy(F.desc("f"), "root")
+    tops = most.withColumn("k", F.row_number().over(first)).where("k <= 2")
+    tops = stored(tops.select(F.col("token").alias("t"), F.col("size").alias("nb"), F.col("f").alias("fb"), F.col("root").alias("root_b")), "jaccard-tops")
+    on = (F.col("token") == F.col("t")) & (F.col("root") != F.col("root_b")) & _plausible_sizes("size", "nb", "f", "fb")
+    return stored(_joined(rooted, tops, on, "left_semi"), "jaccard-open")
+
 
+def list_pairs(lists: DataFrame, roots: DataFrame, sets: DataFrame, bucket_members: int) -> DataFrame:
+    """The plausible candidates of the lists whose documents are in different components so far."""
+    about = _about(roots, sets)
     # a passage gives the same list for each of its shingles, in any bucket
     listed = lists.dropDuplicates(["docs"]).select(F.xxhash64("docs", F.lit(1)).alias("k1"), F.xxhash64("docs", F.lit(2)).alias("k2"), F.explode(F.arrays_zip("docs", "sizes")).alias("x")).select("k1", "k2", F.col("x.docs").alias("doc"), F.col("x.sizes").alias("size"))
-    buckets = lists.agg(F.coalesce(F.sum(F.size("docs")), F.lit(0))).first()[0] // BUCKET_MEMBERS + 1
+    buckets = lists.agg(F.coalesce(F.sum(F.size("docs")), F.lit(0))).first()[0] // bucket_members + 1
     listed = listed.join(about.drop("sketch").withColumnRenamed("small", "sketch"), ["doc", "size"]).withColumn("bucket", F.pmod("k1", F.lit(buckets)))
-    of_lists = plausible(listed.groupBy("bucket").applyInArrow(_list_pairs, _PAIRS).distinct(), sets)
+    return plausible(listed.groupBy("bucket").applyInArrow(_list_pairs, _PAIRS).distinct(), sets)
+
+
+def _about(roots: DataFrame, sets: DataFrame) -> DataFrame:
+    return sets.join(roots, F.col("id") == F.col("node"), "left").select(F.col("id").alias("doc"), F.col("n").cast("int").alias("size"), "small", "sketch", F.coalesce("root", "id").alias("root"))
+
 
-    tokens = flat.groupBy("doc", "size").agg(F.array_sort(F.collect_set("token")).alias("tokens")).where(F.size("tokens") > 1)
-    placed = stored(tokens.join(about.drop("small"), ["doc", "size"]).select("*", F.explode("tokens").alias("token")), "jaccard-frequent")
+def frequent_pairs(still: DataFrame, sets: DataFrame, limits: Limits) -> DataFrame:
+    """The plausible candidates among the rows of `open_rows`: pairs at combinations of two frequent shingles."""
+    tokens = still.groupBy("doc", "size", "root").agg(F.array_sort(F.collect_set("token")).alias("tokens")).where(F.size("tokens") > 1)
+    about = sets.select(F.col("id").alias("doc"), "sketch")
+    placed = stored(tokens.join(about, "doc").select("*", F.explode("tokens").alias("token")), "jaccard-placed")
     counts = placed.groupBy("token").agg(F.count("*").alias("n"), (F.min("root") != F.max("root")).alias("several")).where("several")
-    dealt = placed.join(counts.select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "token").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    counts = stored(counts.select("token", F.ceil(F.col("n") / limits.block).cast("int").alias("blocks")), "jaccard-counts")
+    dealt = _joined(placed, counts, "token").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
-    of_flat = dealt.groupBy("token", "lo", "hi").applyInArrow(_frequent_pairs, _PAIRS)
-    return of_lists.union(of_flat).distinct()
+    return dealt.groupBy("token", "lo", "hi").applyInArrow(lambda t: _frequent_pairs(t, limits.columns), _PAIRS).distinct()
 
 
 def compressed_texts(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -379,12 +487,12 @@ def _links(pairs: DataFrame, rows: DataFrame, name: str) -> DataFrame:
     return verified(pairs, compressed_texts(rows, ids))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits()) -> DataFrame:
     """id, n_shingles and component_id (the smallest id that links lead to) of each row."""
     spark = df.sparkSession
     limit_batches(spark, 8)
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    found = stored(profiles(rows), "jaccard-profiles")
+    found = stored(profiles(rows, limits.common_in_batch), "jaccard-profiles")
     sets = found.where("kind = 0")
     filled = sets.where("n > 0 AND id IS NOT NULL")
     firsts = stored(filled.groupBy("key").agg(F.min("id").alias("first")), "jaccard-sets")
@@ -392,18 +500,30 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     copies = stored(same.select("a").distinct().join(firsts.select(F.col("first").alias("a")), "a", "left_anti"), "jaccard-copies")
     distinct = filtered_by_ids(rows.where("id IS NOT NULL"), copies, "id", "left_anti")
 
-    common = found.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").limit(MOST_FREQUENT)
+    common = found.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").limit(limits.most_frequent)
     known = np.sort(common.select("id").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
     total = filled.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    buckets = max(4, int(total * (DEN - NUM) // DEN // BUCKET_ROWS) + 1)
+    buckets = max(4, int(total * (DEN - NUM) // DEN // limits.bucket_rows) + 1)
     packed = packed_prefixes(distinct, spark.sparkContext.broadcast(known.tobytes()), buckets)
-    index = stored(packed.groupBy("bucket").applyInArrow(_lists, _INDEX), "jaccard-index")
+    index = stored(packed.groupBy("bucket").applyInArrow(lambda t: _lists(t, limits.listed), _INDEX), "jaccard-index")
     lists = index.where("token IS NULL").select("docs", "sizes")
     flat = index.where("token IS NOT NULL").select("token", F.col("docs")[0].alias("doc"), F.col("sizes")[0].alias("size"))
 
-    first = _links(plausible(star_pairs(lists, flat), filled), rows, "jaccard-star")
-    second = _links(remaining_pairs(lists, flat, components(first), filled), rows, "jaccard-rest")
-    roots = components(first.union(second).union(same))
+    rows_of = frequent_rows(flat)
+    links = [_links(plausible(list_stars(lists).union(frequent_stars(rows_of)).distinct(), filled), rows, "jaccard-star")]
+    roots = components(links[0])
+    still = open_rows(rows_of, roots)
+    for _ in range(limits.peels):
+        largest = still.groupBy("token").count().agg(F.max("count")).first()[0] or 0
+        if largest <= limits.block:
+            break
+        links.append(_links(plausible(frequent_stars(still, ("token", "root")), filled), rows, "jaccard-peel"))
+        if not links[-1].limit(1).count():
+            break
+        roots = components(reduce(DataFrame.union, links))
+        still = open_rows(rows_of, roots)
+    links.append(_links(list_pairs(lists, roots, filled, limits.bucket_members).union(frequent_pairs(still, filled, limits)).distinct(), rows, "jaccard-rest"))
+    roots = components(reduce(DataFrame.union, [*links, same]))
     out = sets.join(roots, F.col("id") == F.col("node"), "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id"))
 

@@ -6,11 +6,12 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from fennmark.llm import bpe, chat, decontamination, jaccard, pseudo_likelihood, quality, secrets, suffixes, token_counts, warc
 from fennmark.llm.queries import BYTE_BPE, QUERIES
-from fennmark.llm.shared import new_folder
+from fennmark.llm.shared import arrow_bytes, new_folder
 
 DOCS = "doc_id bigint, text string, lang string, source string, extra string, id string, key string"
 WORDS = ["the", "of", "and", "to", "in", "is", *(f"w{k}x" for k in range(400))]
@@ -87,10 +88,9 @@ def links_by_hand(texts):
     return [(k, len(s), find(k)) for k, s in enumerate(sets)]
 
 
-@pytest.mark.parametrize("common", [6, 2])
-def test_jaccard_against_all_pairs(spark, monkeypatch, common):
-    monkeypatch.setattr(jaccard, "LISTED", 3)
-    rng = random.Random(common)
+@pytest.mark.parametrize("limits", [jaccard.Limits(), jaccard.Limits(listed=3, common_in_batch=2, block=4, columns=5, peels=0, bucket_rows=500), jaccard.Limits(listed=3, block=4, peels=2, most_frequent=5)])
+def test_jaccard_against_all_pairs(spark, limits):
+    rng = random.Random(limits.listed)
     base = [prose(rng, n) for n in (12, 40, 90, 200)]
     texts = [None, "", " \n", "one", "ONE", "a b c d", "a b c d e", "a b c d e"]
     for t in base:
@@ -100,10 +100,21 @@ def test_jaccard_against_all_pairs(spark, monkeypatch, common):
                 w[rng.randrange(len(w))] = rng.choice(WORDS)
             texts.append(" ".join(w[rng.randrange(0, 2) :]))
     texts += [prose(rng, 30) + " " + base[1] + " " + prose(rng, 40) for _ in range(12)]
-    got = jaccard.near_duplicates(documents(spark, texts)).orderBy("doc_id").collect()
+    passage = prose(rng, 64)
+    texts += [prose(rng, k % 23) + " " + passage for k in range(60)]  # linked or not by their own words
+    chain = prose(rng, 160).split()
+    texts += [" ".join(chain[k : k + 100]) for k in range(0, 60, 2)]  # each linked with its neighbours only
+    got = jaccard.near_duplicates(documents(spark, texts), limits=limits).orderBy("doc_id").collect()
     assert [tuple(r) for r in got] == links_by_hand(texts)
 
 
+def test_words_do_not_depend_on_the_slices(monkeypatch):
+    column = arrow_bytes(pa.array(["Ab cd  ef", "", " x", "y", "longwordlongword a b c", "\n", "end"]))
+    whole = jaccard.word_hashes(*column)
+    monkeypatch.setattr(jaccard, "SLICE", 7)
+    assert all((x == y).all() for x, y in zip(whole, jaccard.word_hashes(*column), strict=True)) and whole[1].tolist() == [0, 3, 3, 4, 5, 9, 9, 10]
+
+
 def test_sketches_bound_from_above():
     rng = np.random.default_rng(1)
     for n, m, k in ((10, 10, 5), (300, 500, 200), (1000, 90, 90)):
