@@ -15,7 +15,7 @@ What is done for scale:
 * candidates are verified in steps. First every document against one centre of each of its lists and frequent shingles, which
   links groups of near copies in a number of pairs linear in their size. Components are then found, and only
   candidates in different components are left. Of those that share frequent shingles only, a document stays open if one of another component with the same shingle can have
-  enough in common with it, told by counts for each size. While more than `block` documents of a shingle are open, further centres are tried, again linear. The last step
+  enough in common with it, told by counts for each size. While a shingle has more than `block` open documents outside its largest component, further centres are tried, again linear. The last step
   is complete: lists give their pairs, combinations of two frequent shingles theirs. The combinations with the same later shingle are handled
   together, in blocks of bounded size, and a pair only at its first combination;
 * a bit map of each set rules most candidates out (it bounds the intersection from above, so no link is lost);
@@ -422,13 +422,25 @@ def frequent_pairs(still: DataFrame, sets: DataFrame, limits: Limits) -> DataFra
     tokens = still.groupBy("doc", "size", "root").agg(F.array_sort(F.collect_set("token")).alias("tokens")).where(F.size("tokens") > 1)
     about = sets.select(F.col("id").alias("doc"), "sketch")
     placed = stored(tokens.join(about, "doc").select("*", F.explode("tokens").alias("token")), "jaccard-placed")
-    counts = placed.groupBy("token").agg(F.count("*").alias("n"), (F.min("root") != F.max("root")).alias("several")).where("several")
-    counts = stored(counts.select("token", F.ceil(F.col("n") / limits.block).cast("int").alias("blocks")), "jaccard-counts")
-    dealt = _joined(placed, counts, "token").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
+    dealt = _joined(placed, stored(_sides(placed, limits.block), "jaccard-sides"), "token")
+    large = F.col("root") == F.col("main")
+    block = F.pmod(F.xxhash64("doc"), F.when(large, F.col("mains")).otherwise(F.col("others"))).cast("int")
+    dealt = dealt.withColumn("own", F.when(large, -1 - block).otherwise(block))
+    others, mains = (F.sequence(F.lit(0), F.col(c) - 1) for c in ("others", "mains"))
+    meets = F.when(large, others).otherwise(F.concat(others, F.transform(mains, lambda j: -1 - j)))
+    dealt = dealt.withColumn("other", F.explode(meets)).withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
     return dealt.groupBy("token", "lo", "hi").applyInArrow(lambda t: _frequent_pairs(t, limits.columns), _PAIRS).distinct()
 
 
+def _sides(rows: DataFrame, block: int) -> DataFrame:
+    """For each shingle whose documents have several roots, its main root (that of most documents) and in how many blocks its documents and the others are dealt. Documents of the main
+    root meet the others only, so that the rows are as many as the documents, and the others once more for each block of them."""
+    of_root = rows.groupBy("token", "root").agg(F.count("*").alias("n"))
+    sides = of_root.groupBy("token").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("all")).where("all > m.n")
+    blocks = lambda n: F.ceil(n / block).cast("int")
+    return sides.select("token", F.col("m.root").alias("main"), blocks(F.col("m.n")).alias("mains"), blocks(F.col("all") - F.col("m.n")).alias("others"), (F.col("all") - F.col("m.n")).alias("n_others"))
+
+
 def compressed_texts(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """The texts of some documents, compressed; one for each id."""
 
@@ -514,8 +526,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     roots = components(links[0])
     still = open_rows(rows_of, roots)
     for _ in range(limits.peels):
-        largest = still.groupBy("token").count().agg(F.max("count")).first()[0] or 0
-        if largest <= limits.block:
+        if (_sides(still, limits.block).agg(F.max("n_others")).first()[0] or 0) <= limits.block:
             break
         links.append(_links(plausible(frequent_stars(still, ("token", "root")), filled), rows, "jaccard-peel"))
         if not links[-1].limit(1).count():
