@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from fennmark.llm import bpe, chat, decontamination, jaccard, pseudo_likelihood, quality, secrets, suffixes, token_counts, warc
 from fennmark.llm.queries import BYTE_BPE, QUERIES
@@ -137,6 +138,61 @@ def test_secrets_against_patterns(spark):
         assert (row["n_assign"], row["n_access"], row["n_hex"]) == tuple(sum(x[3] == k for x in spans) for k in ("assign", "access", "hex"))
 
 
+def random_strings(rng, alphabet, n, count):
+    return ["".join(rng.choices(alphabet, k=n)) for _ in range(count)]
+
+
+def test_random_strings_are_found_and_words_are_not(spark):
+    rng = random.Random(18)
+    b32, b64, b36 = (secrets.ENCODINGS[k][1] for k in ("base32", "base64", "base36"))
+    kinds = {"base32": random_strings(rng, b32, 32, 50), "hex": random_strings(rng, "0123456789ABCDEF", 40, 50), "base64": random_strings(rng, b64, 40, 50), "base36": random_strings(rng, b36, 40, 50)}
+    planted = [(k, x) for k, xs in kinds.items() for x in xs]
+    syllables = ["ta", "re", "men", "li", "on", "er", "sta", "ge", "ni", "tion", "o", "a", "es", "pro", "con"]
+    word = lambda n: "".join(rng.choices(syllables, k=n))
+    page = lambda: " ".join(word(rng.randrange(1, 5)) for _ in range(60)) + f". {word(2).title()} {rng.randrange(1900, 2100)}"
+    odd = lambda k: [word(9) + str(k), f"{word(3)}/{word(3)}/{word(4)}-{k}.html", word(3).title() + word(4).title() + word(3).title() + str(k), f"{word(4)}_{word(4)}_2024".upper(), "=" * 30, secrets.ENCODINGS["base64"][1], "Ab1" * 12][k % 7]
+    texts = [f"{page()} {x} {page()}" for _, x in planted] + [f"{page()} {odd(k)} {page()}" for k in range(700)]
+    rows = secrets.scan(documents(spark, texts)).orderBy("doc_id").collect()
+    found = Counter(kind for (kind, x), row, text in zip(planted, rows, texts, strict=False) if f"random:{text.index(x)}:{text.index(x) + len(x)}" in row["spans"].split(","))
+    assert all(found[k] >= 45 for k in kinds), found
+    false = [row["spans"] for row in rows[len(planted) :] if "random" in row["spans"]]
+    assert len(false) <= 0.05 * sum(found.values()), false
+
+
+def test_counts_of_ordinary_text_against_loops(spark):
+    texts = ["Ab-c 12aa  XY_z", None, "é9=zz/Q"]
+    got = secrets.ordinary(documents(spark, texts))
+    of = {c: k for k, v in (*secrets.CLASSES.items(), ("m", "-")) for c in v}
+    pairs = Counter(of[a] + of[b] for t in texts for a, b in zip(t or "", (t or "")[1:], strict=False) if a in of and b in of)
+    low = Counter(c.replace("-", "_") for t in texts for c in (t or "").lower())
+    for a in secrets.CLASSES:
+        for b in secrets.CLASSES:
+            share = (pairs[a + b] + 1) / sum(pairs[a + x] + 1 for x in secrets.CLASSES)
+            assert got[a + b] == pytest.approx(-np.log(max(share, secrets.STAYS) if a == b else share))
+    assert got["z"] == pytest.approx(-np.log((low["z"] + 1) / sum(low[c] + 1 for c in secrets.CLASSES["l"])))
+
+
+def test_randomness_tests_against_loops(spark):
+    rng = random.Random(19)
+    alphabet = secrets.ENCODINGS["base32"][1]
+    tokens = random_strings(rng, alphabet, 32, 300) + ["".join(rng.choices("ABCDEFGH234", k=40)) for _ in range(20)] + [alphabet, "A2B3" * 8]
+    got = [r[0] for r in documents(spark, tokens).orderBy("doc_id").select(secrets.is_random(F.col("text"), "base32")).collect()]
+
+    def by_hand(t):
+        x, k, n = [alphabet.index(c) for c in t], 32, len(t)
+        chi = (sum(v * v for v in Counter(x).values()) * k / n - n) / (k - 1)
+        uneven = (chi ** (1 / 3) - (1 - 2 / (9 * (k - 1)))) / (2 / (9 * (k - 1))) ** 0.5
+        high = [v >= k / 2 for v in x]
+        expected = 1 + 2 * sum(high) * (n - sum(high)) / n
+        runs = (1 + sum(a != b for a, b in zip(high, high[1:], strict=False)) - expected) / max((expected - 1) * (expected - 2) / (n - 1), 0.01) ** 0.5
+        mean = sum(x) / n
+        serial = (sum((a - mean) * (b - mean) for a, b in zip(x, x[1:], strict=False)) / sum((a - mean) ** 2 for a in x) + 1 / n) * n**0.5
+        return uneven <= secrets.ONE_TAIL and abs(runs) <= secrets.TWO_TAILS and abs(serial) <= secrets.TWO_TAILS
+
+    assert got == [by_hand(t) for t in tokens]
+    assert sum(got[:300]) >= 285 and not any(got[300:])
+
+
 def test_redaction_keeps_the_rest(spark):
     docs = documents(spark, [None, "plain", "x password=abc123abc123 y"])
     out = secrets.redact(docs).orderBy("doc_id")
@@ -249,12 +305,32 @@ def distance_by_table(p, t):
 
 def test_edit_distance_against_the_table():
     rng = random.Random(9)
-    for _ in range(200):
-        p, t = ("".join(rng.choices("abc ", k=rng.randrange(0, n))) for n in (15, 40))
-        assert decontamination.edits(p, t) == distance_by_table(p, t)
+    pairs = [["".join(rng.choices("abé ", k=rng.randrange(0, n))) for n in (15, 40)] for _ in range(100)] + [["".join(rng.choices("ab", k=rng.randrange(60, 140))) for _ in range(2)] for _ in range(30)]
+    assert decontamination.edits([p for p, _ in pairs], [t for _, t in pairs]).tolist() == [distance_by_table(p, t) for p, t in pairs]
+
+
+def edited(rng, text, n):
+    out = list(text)
+    for _ in range(n):
+        k = rng.randrange(len(out))
+        out[k : k + rng.randrange(2)] = rng.choice(["", *"abcdefgh "])
+    return "".join(out)
+
 
+@pytest.mark.parametrize("rate", [0.05, 0.1, 0.15, 0.2, 0.25])
+def test_recall_of_edited_passages(rate):
+    rng = random.Random(16)
+    letters = "etaoinshrdlu"
+    words = ["".join(rng.choices(letters, k=rng.randrange(2, 9))) for _ in range(3000)]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(12, 60))) for _ in range(150)]
+    items = decontamination.Items(list(range(len(texts))), texts)
+    rows = [" ".join(rng.choices(words, k=60)) + "\n" + edited(rng, t, int(rate * len(t))) + " " + " ".join(rng.choices(words, k=60)) for t in texts]
+    got = {(r, k): d for r, k, d, *_ in decontamination.pairs_in_rows(items, pa.array(rows), 0.25)}
+    assert set(got) <= {(k, k) for k in range(len(texts))} and len(got) >= 0.9 * len(texts)
+    assert all(d == distance_by_table(texts[k], " ".join(decontamination.normalised(rows[k]))) for (k, _), d in list(got.items())[:20])
 
-def test_passages_are_found_and_nothing_else(spark):
+
+def test_passages_are_found_and_nothing_else(spark, monkeypatch):
     rng = random.Random(10)
     items = [prose(rng, rng.randrange(14, 60)) for _ in range(30)] + ["", "two words", "a seven word item is short indeed"]
     texts, want = [None, ""], set()
@@ -266,29 +342,53 @@ def test_passages_are_found_and_nothing_else(spark):
             if item:
                 want.add((len(texts), k))
             texts.append(prose(rng, 80) + "\n" + body + "  " + prose(rng, 80))
-    texts += [prose(rng, 200) for _ in range(50)]
+    texts += [prose(rng, 200) for _ in range(50)] + [prose(rng, 30_000) + " " + items[3] + " " + prose(rng, 30_000), "two words", "x two words", "two"]
+    want |= {(len(texts) - 4, 3), (len(texts) - 3, 31), (len(texts) - 2, 31)}
     bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
     found = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(documents(spark, texts), bench).collect()}
     assert found - want == set()
     assert len(found & want) >= 0.97 * len(want)
     clean = decontamination.clean_documents(documents(spark, texts), bench)
+    assert clean.columns == documents(spark, []).columns
     assert {r["doc_id"] for r in clean.collect()} == set(range(len(texts))) - {d for d, _ in found}
+    monkeypatch.setattr(decontamination, "MOST_ITEMS", 7)
+    blocks = decontamination.contaminated(documents(spark, texts), bench)
+    assert {(r["doc_id"], r["item_id"]) for r in blocks.collect()} == found
+
+
+def test_rows_without_an_id_are_judged_by_their_text(spark):
+    item = prose(random.Random(17), 40)
+    docs = documents(spark, ["x " + item, "clean", item, "clean too"], [None, None, 7, 7])
+    bench = spark.createDataFrame([(1, item), (1, item), (None, None), (2, "")], "item_id bigint, text string")
+    assert sorted(r["text"] for r in decontamination.clean_documents(docs, bench).collect()) == ["clean", "clean too"]
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs, bench).collect()} == {(None, 1), (7, 1)}
 
 
 # --- language model
 
 
-def test_gradient_against_differences():
+def test_gradient_and_probabilities_of_the_network():
     rng = np.random.default_rng(11)
-    net = pseudo_likelihood.Network.fresh()
-    context, counts = np.array([0, 5, 700, 16000]), rng.integers(0, 4, (4, pseudo_likelihood.TOKENS)).astype(np.float32)
-    net.flat = net.flat.astype(np.float64)
-    _, g = net.loss_and_gradient(context, counts)
-    for k in np.argsort(-np.abs(g))[:20]:
-        step = np.zeros_like(net.flat)
-        step[k] = 1e-4
-        up, down = (pseudo_likelihood.Network(net.flat + s).loss_and_gradient(context, counts)[0] for s in (step, -step))
-        assert abs((up - down) / 2e-4 - g[k]) < 1e-4
+    shape = pseudo_likelihood.Shape(7, 6)
+    net = pseudo_likelihood.Network(shape, pseudo_likelihood.Network.fresh(shape).flat.astype(np.float64))
+    around, token = rng.integers(0, 14, (4, 40)), rng.integers(0, 13, 40)
+    loss = lambda flat: -pseudo_likelihood.Network(shape, flat).log_probabilities(around, token).mean()
+    g = net.gradient(around, token)
+    for k in [*np.argsort(-np.abs(g))[:10].tolist(), *rng.integers(0, len(g), 10).tolist()]:
+        step = np.zeros(len(g))
+        step[k] = 1e-5
+        assert abs((loss(net.flat + step) - loss(net.flat - step)) / 2e-5 - g[k]) < 1e-6
+    assert sum(np.exp(net.log_probabilities(around[:, :1], np.array([t])))[0] for t in range(13)) == pytest.approx(1)
+
+
+def test_windows_against_loops():
+    texts = ["a b c d", "", "x", "a  a\nb"]
+    shape = pseudo_likelihood.Shape(0, 50)
+    around, token, _, bounds = pseudo_likelihood.windows(pa.array(texts), np.zeros(0, np.uint64), shape)
+    t = {w: int(pseudo_likelihood.windows(pa.array([w]), np.zeros(0, np.uint64), shape)[1][0]) for w in "abcdx"} | {None: 50}
+    at = lambda w, k: t[w[k]] if 0 <= k < len(w) else 50
+    assert bounds.tolist() == [0, 4, 4, 5, 8] and token.tolist() == [t[w] for x in texts for w in x.split()]
+    assert around.T.tolist() == [[at(w, k - 1), at(w, k + 1), at(w, k - 2), at(w, k + 2)] for w in map(str.split, texts) for k in range(len(w))]
 
 
 def test_pseudo_likelihood_learns_order(spark):
@@ -296,10 +396,35 @@ def test_pseudo_likelihood_learns_order(spark):
     chain = " ".join(["red green blue"] * 40)
     texts = [chain] * 30 + [" ".join(rng.sample(chain.split(), 120)) for _ in range(3)] + [None, ""]
     got = pseudo_likelihood.score(documents(spark, texts)).orderBy("doc_id").collect()
-    assert got[0]["mean_log_likelihood"] > -0.2 and got[0]["mean_log_likelihood"] > got[30]["mean_log_likelihood"] + 0.5
+    assert got[0]["mean_log_likelihood"] > -0.3 and got[0]["mean_log_likelihood"] > got[30]["mean_log_likelihood"] + 0.5
     assert tuple(got[-1])[1:] == tuple(got[-2])[1:] == (0, 0.0, None)
 
 
+def test_scores_against_the_network_and_the_table_of_counts(spark, monkeypatch):
+    rng = random.Random(20)
+    vocabulary = [f"w{k}" for k in range(40)]
+    texts = [" ".join(rng.choices(vocabulary, weights=range(40, 0, -1), k=rng.randrange(1, 60))) for _ in range(40)]
+    texts += texts[:3] + [prose(rng, 3000)]
+    docs = documents(spark, texts, [None, *range(1, 43), 1])
+    kept = {}
+    trained = pseudo_likelihood.trained
+    monkeypatch.setattr(pseudo_likelihood, "trained", lambda rows, words, shape: kept.setdefault("net", (words, trained(rows, words, shape)))[1])
+    got = Counter(map(tuple, pseudo_likelihood.score(docs).select("doc_id", "n_tokens", "log_likelihood").collect()))
+    words, net = kept["net"]
+    each = [pseudo_likelihood.windows(pa.array([t]), words, net.shape) for t in texts]
+    chosen = lambda near: int(near) % pseudo_likelihood.MEMORY == 0
+    pairs = Counter((int(n), int(t)) for _, token, near, _ in each for n, t in zip(near, token, strict=True) if chosen(n))
+    alone = Counter(n for n, _ in pairs.elements())
+    want = []
+    for i, (around, token, near, _) in zip([None, *range(1, 43), 1], each, strict=True):
+        logp = net.log_probabilities(around, token).astype(float)
+        total = sum(np.log((pairs[int(n), int(t)] - 1 + np.exp(p)) / (alone[int(n)] - 1 + 1)) if chosen(n) else p for p, n, t in zip(logp, near, token, strict=True))
+        want.append((i, len(token), total))
+    assert len(want) == sum(got.values())
+    for a, b in zip(sorted(got.elements(), key=lambda r: (r[1], r[2])), sorted(want, key=lambda r: (r[1], r[2])), strict=True):
+        assert a[1] == b[1] and a[2] == pytest.approx(b[2], abs=0.01)
+
+
 # --- chat and archives
 
 
