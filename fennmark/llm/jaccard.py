@@ -10,7 +10,7 @@ What is done for scale:
 * equal sets are folded into one first, by a digest, so copies cost one row each;
 * the prefixes leave a task as packed arrays, one for each of a number of buckets that grows with the input; a bucket is sorted in
   numpy and gives the distinct lists of documents that share a rare shingle (`listed` at most each);
-* a shingle that is common within some batch of documents, or in more documents than `listed`, is frequent. It is handled
+* a shingle in more prefixes than `listed` is frequent. It is handled
   as plain rows with map-side combined aggregations, never as a gathered group;
 * candidates are verified in steps. First every document against one centre of each of its lists and frequent shingles, which
   links groups of near copies in a number of pairs linear in their size. Components are then found, and only
@@ -56,9 +56,7 @@ class Limits:
 
     #: A rare shingle is in so many sets at most.
     listed: int = 64
-    #: A shingle is frequent if so many different sets of one batch have it in their prefix.
-    common_in_batch: int = 6
-    #: Frequent shingles that tasks get as a sorted array of 8 bytes each; beyond, the rarer of them count as rare.
+    #: Frequent shingles that tasks get as a sorted array of 8 bytes each; the rarer ones beyond are found from their lists.
     most_frequent: int = 1_000_000
     #: Prefix shingles in a bucket, about; a bucket takes 20 bytes for each.
     bucket_rows: int = 1_000_000
@@ -180,36 +178,69 @@ def most_common(x: bytes, y: bytes, nx: int, ny: int) -> int:
     return min(nx - a.bit_count() + both, ny - b.bit_count() + both)
 
 
-_PROFILE = "kind int, id bigint, n bigint, key binary, small binary, sketch binary"
+_PROFILE = "id bigint, n bigint, key binary, small binary, sketch binary, prefix binary"
 
 
-def profiles(rows: DataFrame, common_in_batch: int) -> DataFrame:
-    """kind 0: id, number of shingles, digest and sketches of the set of each row; kind 1: a shingle common in a batch's prefixes (as id) with its count (as n)."""
+def profiles(rows: DataFrame) -> DataFrame:
+    """id, number of shingles, digest and sketches of the set of each row, and its prefix if all shingles were ordered by their hashes alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys, small, sketches, prefixes, met = [], [], [], [], [], set()
-            for s in shingle_sets(batch.column(1)):
-                sizes.append(len(s))
-                small.append(sketch(s, 1))
-                sketches.append(sketch(s, 4))
-                keys.append(xxhash.xxh3_128_digest(s.tobytes()))
-                if keys[-1] not in met:
-                    met.add(keys[-1])
-                    prefixes.append(s[: prefix_length(len(s))])
-            tokens, counts = np.unique(np.concatenate(prefixes), return_counts=True) if prefixes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            common = counts >= common_in_batch
-            ids = pa.concat_arrays([batch.column(0).cast(pa.int64()), pa.array(tokens[common].view(np.int64))])
-            k = int(common.sum())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([0] * len(sizes) + [1] * k, pa.int32()), ids, pa.array([*sizes, *counts[common].tolist()], pa.int64()), pa.array([*keys, *[None] * k], pa.binary()), *[pa.array([*x, *[None] * k], pa.binary()) for x in (small, sketches)]], names=["kind", "id", "n", "key", "small", "sketch"]
-            )
+            out = [(len(s), xxhash.xxh3_128_digest(s.tobytes()), sketch(s, 1), sketch(s, 4), s[: prefix_length(len(s))].tobytes()) for s in shingle_sets(batch.column(1))]
+            columns = zip(zip(*out, strict=True), (pa.int64(), *[pa.binary()] * 4), strict=True) if out else []
+            if out:
+                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in columns]], names=["id", "n", "key", "small", "sketch", "prefix"])
 
     return rows.mapInArrow(run, _PROFILE)
 
 
+_COUNTS = "token bigint, n bigint"
+
+
+def _counted(tokens: np.ndarray) -> pa.RecordBatch:
+    tokens, n = np.unique(tokens, return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(n, pa.int64())], names=["token", "n"])
+
+
+def _most_frequent(counts: DataFrame, listed: int, most: int) -> np.ndarray:
+    """The sorted shingles with more than `listed` documents; if those are more than `most`, the most frequent of them."""
+    some = counts.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > listed).orderBy(F.desc("n"), "token").limit(most)
+    return np.sort(some.select("token").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
+
+
+def frequent_shingles(rows: DataFrame, sets: DataFrame, listed: int, most: int) -> np.ndarray:
+    """The frequent shingles of documents that matter: those with a shingle that is frequent among prefixes by hashes alone. Of these documents all shingles are
+    counted, as what lies behind a prefix now is in it once the frequent shingles come last."""
+    spark = rows.sparkSession
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _counted(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64))
+
+    first = _most_frequent(sets.select("prefix").mapInArrow(prefixes, _COUNTS), listed, most)
+    if not len(first):
+        return first
+    sent = spark.sparkContext.broadcast(first)
+
+    def concerned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prefix = batch.column(1).to_pylist()
+            has = np.r_[0, np.cumsum(np.isin(np.frombuffer(b"".join(prefix), np.uint64), sent.value))]
+            ends = np.cumsum([0, *(len(x) // 8 for x in prefix)])
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(has[ends[1:]] > has[ends[:-1]]))], names=["id"])
+
+    ids = stored(sets.select("id", "prefix").mapInArrow(concerned, "id bigint").distinct(), "jaccard-concerned")
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _counted(np.concatenate([np.zeros(0, np.uint64), *shingle_sets(batch.column(1))]))
+
+    every = _most_frequent(filtered_by_ids(rows, ids, "id", "left_semi").mapInArrow(whole, _COUNTS), listed, most)
+    return np.union1d(first, every)
+
+
 _PACKED = "bucket bigint, tokens binary, docs binary, sizes binary"
-_INDEX = "token bigint, docs array<bigint>, sizes array<int>"
+_INDEX = "token bigint, known boolean, docs array<bigint>, sizes array<int>"
 
 
 def packed_prefixes(rows: DataFrame, frequent, buckets: int) -> DataFrame:
@@ -255,7 +286,8 @@ def _lists(table: pa.Table, listed: int) -> pa.Table:
     token, doc, size = token[~again], doc[~again], size[~again]
     starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
     counts = np.diff(np.r_[starts, len(token)])
-    flat = np.repeat((counts > listed) | (table.column("bucket")[0].as_py() < 0), counts)
+    known = table.column("bucket")[0].as_py() < 0
+    flat = np.repeat((counts > listed) | known, counts)
     lists: dict[bytes, tuple[list, list]] = {}
     short = (counts > 1) & (counts <= listed) & ~flat[starts]
     for a, n in zip(starts[short].tolist(), counts[short].tolist(), strict=True):
@@ -263,7 +295,7 @@ def _lists(table: pa.Table, listed: int) -> pa.Table:
     tokens = [None] * len(lists) + token[flat].view(np.int64).tolist()
     docs = [x for x, _ in lists.values()] + [[x] for x in doc[flat].tolist()]
     sizes = [x for _, x in lists.values()] + [[x] for x in size[flat].tolist()]
-    return pa.table([pa.array(tokens, pa.int64()), pa.array(docs, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))], names=["token", "docs", "sizes"])
+    return pa.table([pa.array(tokens, pa.int64()), pa.array([known] * len(tokens)), pa.array(docs, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))], names=["token", "known", "docs", "sizes"])
 
 
 def _close(a: str, b: str):
@@ -271,11 +303,8 @@ def _close(a: str, b: str):
     return (F.col(a) * DEN >= F.col(b) * NUM) & (F.col(b) * DEN >= F.col(a) * NUM)
 
 
-def _plausible_sizes(a: str, b: str, fa: str, fb: str):
-    """Whether two documents can be linked that share no rare shingle of their prefixes: then they have at most the frequent ones of either prefix in
-    common, and what lies behind a prefix."""
-    rest = lambda n: F.col(n) - _prefix_length(n)
-    most = F.least(F.least(fa, fb) + F.greatest(rest(a), rest(b)), a, b)
+def _enough(most, a: str, b: str):
+    """Whether sizes a, b allow a link, and `most` elements in common do."""
     return _close(a, b) & (most * (DEN + NUM) >= (F.col(a) + F.col(b)) * NUM)
 
 
@@ -295,24 +324,26 @@ def list_stars(lists: DataFrame) -> DataFrame:
 
 
 def frequent_rows(flat: DataFrame) -> DataFrame:
-    """token, doc, size, and `f`: how many frequent shingles the document's prefix has. One alone brings no two documents together."""
-    tokens = flat.groupBy("doc", "size").agg(F.collect_set("token").alias("tokens")).where(F.size("tokens") > 1)
-    return stored(tokens.select("doc", "size", F.size("tokens").alias("f"), F.explode("tokens").alias("token")), "jaccard-frequent")
+    """token, doc, size, `rare`: the rare shingles in the document's prefix, and `most`: what it can have in common at most with a document that shares none of those.
+    If a shingle that all tasks know as frequent is in the prefix, all rare ones are, as they come first. One frequent shingle alone brings no two documents together."""
+    tokens = flat.groupBy("doc", "size").agg(F.collect_set("token").alias("tokens"), F.max("known").alias("known")).where(F.size("tokens") > 1)
+    rare = (_prefix_length("size") - F.size("tokens")).cast("int")
+    most = F.when(F.col("known"), F.col("size") - rare).otherwise(F.col("size"))
+    return stored(tokens.select("doc", "size", rare.alias("rare"), most.alias("most"), F.explode("tokens").alias("token")), "jaccard-frequent")
 
 
 def frequent_stars(rows: DataFrame, by: tuple[str, ...] = ("token",)) -> DataFrame:
     """Each document with one of those that share a frequent shingle with it: that which has the fewest rare shingles in its prefix, so the likeliest to be what the others are copies of.
     With a root in `rows`, the centres are those of the two likeliest roots, and no pair is of one root."""
-    rare = _prefix_length("size") - F.col("f")
-    c = F.struct(rare.alias("rare"), F.col("doc").alias("b"), F.col("size").alias("nb"), F.col("f").alias("fb"))
+    c = F.struct("rare", F.col("doc").alias("b"), F.col("size").alias("nb"), F.col("most").alias("most_b"))
     centres = rows.groupBy(*by).agg(F.min(c).alias("c"))
     apart = F.lit(True)
     if "root" in by:
         order = Window.partitionBy("token").orderBy("c")
         centres = centres.withColumn("k", F.row_number().over(order)).where("k <= 2").withColumnRenamed("root", "root_b")
         apart = F.col("root") != F.col("root_b")
-    centres = stored(centres.select("token", "c.*", *["root_b"] * ("root" in by)), "jaccard-centres")
-    pairs = _joined(rows, centres, "token").where((F.col("doc") != F.col("b")) & apart & _plausible_sizes("size", "nb", "f", "fb"))
+    centres = stored(centres.select("token", "c.b", "c.nb", "c.most_b", *["root_b"] * ("root" in by)), "jaccard-centres")
+    pairs = _joined(rows, centres, "token").where((F.col("doc") != F.col("b")) & apart & _enough(F.least("most", "most_b"), "size", "nb"))
     return pairs.select(F.col("doc").alias("a"), "b").distinct()
 
 
@@ -375,7 +406,7 @@ def _frequent_pairs(table: pa.Table, columns: int) -> pa.Table:
     A pair is taken up at its first combination of two common frequent shingles only, of which this is the later one. If they share no rare one, what
     they have in common is the frequent ones in both prefixes and at most what lies behind a prefix."""
     token, low, high = (table.column(c)[0].as_py() for c in ("token", "lo", "hi"))
-    own, root, size = (table.column(c).to_numpy() for c in ("own", "root", "size"))
+    own, root, size, limit = (table.column(c).to_numpy() for c in ("own", "root", "size", "most"))
     lists = table.column("tokens").combine_chunks()
     names = np.unique(lists.values.to_numpy()[lists.offsets[0].as_py() : lists.offsets[-1].as_py()])
     x, y = np.flatnonzero(own == low), np.flatnonzero(own == high)
@@ -383,7 +414,7 @@ def _frequent_pairs(table: pa.Table, columns: int) -> pa.Table:
     size = size.astype(np.int32)
     rest = size - np.array([prefix_length(n) for n in size.tolist()], np.int32)
     sums = size[x][:, None] + size[y][None, :]
-    most = np.minimum(common.astype(np.int32) + np.maximum(rest[x][:, None], rest[y][None, :]), np.minimum(size[x][:, None], size[y][None, :]))
+    most = np.minimum(common.astype(np.int32) + np.maximum(rest[x][:, None], rest[y][None, :]), np.minimum(limit[x][:, None], limit[y][None, :]))
     open_pairs = (before == 1) & (root[x][:, None] != root[y][None, :]) & (most.astype(np.int64) * (DEN + NUM) >= NUM * sums.astype(np.int64))
     if low == high:
         open_pairs = np.triu(open_pairs, 1)
@@ -393,13 +424,13 @@ def _frequent_pairs(table: pa.Table, columns: int) -> pa.Table:
 
 def open_rows(rows: DataFrame, roots: DataFrame) -> DataFrame:
     """The frequent rows, with their roots, that may have a partner under another root at the same shingle: for each size of a shingle's
-    documents, the two roots with the most frequent shingles in a prefix say whether there can be one."""
+    documents, the two roots whose documents can have most in common with others say whether there can be one."""
     rooted = stored(rows.join(roots, F.col("doc") == F.col("node"), "left").select(*rows.columns, F.coalesce("root", "doc").alias("root")), "jaccard-rooted")
-    most = rooted.groupBy("token", "size", "root").agg(F.max("f").alias("f"))
-    first = Window.partitionBy("token", "size").orderBy(F.desc("f"), "root")
-    tops = most.withColumn("k", F.row_number().over(first)).where("k <= 2")
-    tops = stored(tops.select(F.col("token").alias("t"), F.col("size").alias("nb"), F.col("f").alias("fb"), F.col("root").alias("root_b")), "jaccard-tops")
-    on = (F.col("token") == F.col("t")) & (F.col("root") != F.col("root_b")) & _plausible_sizes("size", "nb", "f", "fb")
+    of_root = rooted.groupBy("token", "size", "root").agg(F.max("most").alias("most"))
+    order = Window.partitionBy("token", "size").orderBy(F.desc("most"), "root")
+    tops = of_root.withColumn("k", F.row_number().over(order)).where("k <= 2")
+    tops = stored(tops.select(F.col("token").alias("t"), F.col("size").alias("nb"), F.col("most").alias("most_b"), F.col("root").alias("root_b")), "jaccard-tops")
+    on = (F.col("token") == F.col("t")) & (F.col("root") != F.col("root_b")) & _enough(F.least("most", "most_b"), "size", "nb")
     return stored(_joined(rooted, tops, on, "left_semi"), "jaccard-open")
 
 
@@ -419,7 +450,7 @@ def _about(roots: DataFrame, sets: DataFrame) -> DataFrame:
 
 def frequent_pairs(still: DataFrame, sets: DataFrame, limits: Limits) -> DataFrame:
     """The plausible candidates among the rows of `open_rows`: pairs at combinations of two frequent shingles."""
-    tokens = still.groupBy("doc", "size", "root").agg(F.array_sort(F.collect_set("token")).alias("tokens")).where(F.size("tokens") > 1)
+    tokens = still.groupBy("doc", "size", "most", "root").agg(F.array_sort(F.collect_set("token")).alias("tokens")).where(F.size("tokens") > 1)
     about = sets.select(F.col("id").alias("doc"), "sketch")
     placed = stored(tokens.join(about, "doc").select("*", F.explode("tokens").alias("token")), "jaccard-placed")
     dealt = _joined(placed, stored(_sides(placed, limits.block), "jaccard-sides"), "token")
@@ -504,22 +535,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = df.sparkSession
     limit_batches(spark, 8)
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    found = stored(profiles(rows, limits.common_in_batch), "jaccard-profiles")
-    sets = found.where("kind = 0")
+    sets = stored(profiles(rows), "jaccard-profiles")
     filled = sets.where("n > 0 AND id IS NOT NULL")
     firsts = stored(filled.groupBy("key").agg(F.min("id").alias("first")), "jaccard-sets")
     same = filled.join(firsts, "key").where("id != first").select(F.col("id").alias("a"), F.col("first").alias("b"))
     copies = stored(same.select("a").distinct().join(firsts.select(F.col("first").alias("a")), "a", "left_anti"), "jaccard-copies")
     distinct = filtered_by_ids(rows.where("id IS NOT NULL"), copies, "id", "left_anti")
 
-    common = found.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").limit(limits.most_frequent)
-    known = np.sort(common.select("id").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
+    known = frequent_shingles(distinct, filtered_by_ids(filled, copies, "id", "left_anti"), limits.listed, limits.most_frequent)
     total = filled.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(4, int(total * (DEN - NUM) // DEN // limits.bucket_rows) + 1)
     packed = packed_prefixes(distinct, spark.sparkContext.broadcast(known.tobytes()), buckets)
     index = stored(packed.groupBy("bucket").applyInArrow(lambda t: _lists(t, limits.listed), _INDEX), "jaccard-index")
     lists = index.where("token IS NULL").select("docs", "sizes")
-    flat = index.where("token IS NOT NULL").select("token", F.col("docs")[0].alias("doc"), F.col("sizes")[0].alias("size"))
+    flat = index.where("token IS NOT NULL").select("token", "known", F.col("docs")[0].alias("doc"), F.col("sizes")[0].alias("size"))
 
     rows_of = frequent_rows(flat)
     links = [_links(plausible(list_stars(lists).union(frequent_stars(rows_of)).distinct(), filled), rows, "jaccard-star")]

@@ -89,7 +89,7 @@ def links_by_hand(texts):
     return [(k, len(s), find(k)) for k, s in enumerate(sets)]
 
 
-@pytest.mark.parametrize("limits", [jaccard.Limits(), jaccard.Limits(listed=3, common_in_batch=2, block=4, columns=5, peels=0, bucket_rows=500), jaccard.Limits(listed=3, block=4, peels=2, most_frequent=5)])
+@pytest.mark.parametrize("limits", [jaccard.Limits(), jaccard.Limits(listed=3, block=4, columns=5, peels=0, bucket_rows=500), jaccard.Limits(listed=3, block=4, peels=2, most_frequent=5)])
 def test_jaccard_against_all_pairs(spark, limits):
     rng = random.Random(limits.listed)
     base = [prose(rng, n) for n in (12, 40, 90, 200)]
