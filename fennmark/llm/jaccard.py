@@ -295,7 +295,7 @@ def _lists(table: pa.Table, listed: int) -> pa.Table:
     tokens = [None] * len(lists) + token[flat].view(np.int64).tolist()
     docs = [x for x, _ in lists.values()] + [[x] for x in doc[flat].tolist()]
     sizes = [x for _, x in lists.values()] + [[x] for x in size[flat].tolist()]
-    return pa.table([pa.array(tokens, pa.int64()), pa.array([known] * len(tokens)), pa.array(docs, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))], names=["token", "known", "docs", "sizes"])
+    return pa.table([pa.array(tokens, pa.int64()), pa.array([known] * len(tokens), pa.bool_()), pa.array(docs, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))], names=["token", "known", "docs", "sizes"])
 
 
 def _close(a: str, b: str):
