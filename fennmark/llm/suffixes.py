@@ -384,7 +384,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _those(rows: DataFrame, keys: DataFrame) -> DataFrame:
     """The rows with one of the stored, distinct keys; a set that is counted and found small is broadcast, so that other texts stay where they are."""
-    return rows.join(F.broadcast(keys), "key", "left_semi") if keys.count() <= BROADCAST_ROWS else rows
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys.hint("merge"), "key", "left_semi")
 
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -397,9 +397,9 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     counts = stored(profile.where(f"n_bytes >= {WINDOW}").groupBy("key").agg(F.count("*").alias("copies"), F.min("id").alias("first"), F.max("n_bytes").alias("n")), "suffix-texts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(4, int(total * 2 // SPAN // BUCKET_ROWS) + 1)
-    spare = stored(profile.join(counts.where("copies > 1"), "key").where("id != first").select("id").distinct(), "suffix-copies")
+    spare = stored(profile.join(counts.where("copies > 1"), "key").where("id != first").select("id", "key").distinct(), "suffix-copies")
     few = spare.count() <= BROADCAST_ROWS
-    distinct = rows.where(F.octet_length("text") >= WINDOW).join(F.broadcast(spare) if few else spare.hint("merge"), "id", "left_anti").select("key", "text")
+    distinct = rows.where(F.octet_length("text") >= WINDOW).join(F.broadcast(spare) if few else spare.hint("merge"), ["id", "key"], "left_anti").select("key", "text")
 
     cores = repeated_cores(distinct, buckets)
     flags = stored(cores.groupBy(F.col("owner").alias("key")).agg(F.collect_list("high").alias("cores")), "suffix-flags")
