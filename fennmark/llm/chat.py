@@ -8,7 +8,7 @@ The template of a turn is `<s>` role, newline, content, `</s>`. Every control st
 every escape character, gets an escape character before it, so the output can be read back without loss.
 
 Defined cases: a null text or null content is empty; a null role is the empty role; an unknown part type is `file`
-with no expanded tokens; null conversation ids form one conversation; turns that tie are ordered by role and content;
+with no expanded tokens; a size that is null, negative, infinite or no number expands to no tokens, a broken one is rounded up; null conversation ids form one conversation; turns that tie are ordered by role and content;
 repeated rows are turns of their own; an empty table gives an empty result; columns other than the four named ones
 are ignored, whatever their names.
 """
@@ -54,6 +54,12 @@ class Expansion:
     document_page: int = 1024
 
 
+def _size(part: dict, name: str) -> float:
+    """A size; nought where it is missing, negative, or no finite number."""
+    size = part.get(name)
+    return size if size is not None and math.isfinite(size) and size > 0 else 0
+
+
 class PartVisitor:
     """Flattens the parts of one turn; a method for each type, `visit_other` for the rest."""
 
@@ -70,13 +76,13 @@ class PartVisitor:
 
     def visit_image(self, part: dict) -> None:
         side = self.expansion.patch
-        self._place("image", part, math.ceil((part.get("width") or 0) / side) * math.ceil((part.get("height") or 0) / side))
+        self._place("image", part, math.ceil(_size(part, "width") / side) * math.ceil(_size(part, "height") / side))
 
     def visit_audio(self, part: dict) -> None:
-        self._place("audio", part, math.ceil((part.get("seconds") or 0) * self.expansion.audio_per_second))
+        self._place("audio", part, math.ceil(_size(part, "seconds") * self.expansion.audio_per_second))
 
     def visit_document(self, part: dict) -> None:
-        self._place("document", part, (part.get("pages") or 0) * self.expansion.document_page)
+        self._place("document", part, math.ceil(_size(part, "pages")) * self.expansion.document_page)
 
     def visit_other(self, part: dict) -> None:
         self._place("file", part, 0)
