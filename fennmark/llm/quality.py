@@ -45,8 +45,7 @@ def word_statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """id, `keep`, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words.
 
     A repeated three-word window is found by sorting 64-bit values of a window's hash and, in the lowest bits, its
-    place: equal hashes end up side by side with their places. The hash keeps at least 44 bits for a million words and
-    54 for a thousand."""
+    place: equal hashes end up side by side with their places. The windows of equal hashes, few as a rule, are then sorted by their words."""
     rows = df.select(id_col, *keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
     trimmed = F.btrim("__text", F.lit(SPACE_CHARS))
     rows = rows.withColumn("__words", F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_CLASS)))
@@ -54,7 +53,10 @@ def word_statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = rows.withColumn("__keys", F.expr("transform(slice(__words, 1, greatest(size(__words) - 2, 0)), (w, i) -> shiftleft(shiftright(xxhash64(w, get(__words, i + 1), get(__words, i + 2)), __bits), __bits) | i)"))
     rows = rows.withColumn("__sorted", F.sort_array("__keys"))
     rows = rows.withColumn("__twice", F.expr("filter(__sorted, (x, k) -> shiftright(x, __bits) = shiftright(get(__sorted, k + 1), __bits) OR shiftright(x, __bits) = shiftright(get(__sorted, k - 1), __bits))"))
-    covered = F.expr("size(array_distinct(flatten(transform(__twice, x -> array(x & (shiftleft(1L, __bits) - 1), (x & (shiftleft(1L, __bits) - 1)) + 1, (x & (shiftleft(1L, __bits) - 1)) + 2)))))")
+    # equal hashes are only candidates: their words say which windows are equal
+    rows = rows.withColumn("__named", F.expr("sort_array(transform(transform(__twice, x -> CAST(x & (shiftleft(1L, __bits) - 1) AS INT)), i -> struct(concat_ws(' ', get(__words, i), get(__words, i + 1), get(__words, i + 2)) AS w, i AS i)))"))
+    rows = rows.withColumn("__equal", F.expr("filter(__named, (x, k) -> x.w = get(__named, k + 1).w OR x.w = get(__named, k - 1).w)"))
+    covered = F.expr("size(array_distinct(flatten(transform(__equal, x -> array(x.i, x.i + 1, x.i + 2)))))")
     rows = rows.withColumn("__lines", F.filter(F.split("__text", "\n", -1), lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != ""))
     counts = {
         "n_words": F.size("__words"),
@@ -62,7 +64,7 @@ def word_statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "n_symbols": F.regexp_count("__text", F.lit(SYMBOLS)),
         "n_lines": F.size("__lines"),
         "n_dup_lines": F.size("__lines") - F.size(F.array_distinct("__lines")),
-        "n_repeat_words": F.when(F.size("__twice") == 0, 0).otherwise(covered),
+        "n_repeat_words": F.when(F.size("__equal") == 0, 0).otherwise(covered),
     }
     return rows.select(id_col, *keep, *[c.cast("bigint").alias(k) for k, c in counts.items()])
 
@@ -127,12 +129,9 @@ def _with_distance(rows: DataFrame, model: DataFrame, keys: tuple[str, ...] = KE
 def _closest(rows: DataFrame) -> DataFrame:
     """The SUBSET of the rows of each group and start with the smallest d2. Distances are counted in fine bins, which combine on the map side; a group's edge is a bin."""
     binned = rows.withColumn("bin", F.floor(F.log(F.col("d2") + 1e-6) * BIN_PER_E))
-    binned.groupBy(*KEYS, "bin").count().createOrReplaceTempView("fennmark_distance_bins")
-    edges = rows.sparkSession.sql(f"""
-        SELECT lang, grp, start, min(bin) AS edge FROM (
-            SELECT lang, grp, start, bin, sum(count) OVER (PARTITION BY lang, grp, start ORDER BY bin) AS upto, sum(count) OVER (PARTITION BY lang, grp, start) AS total
-            FROM fennmark_distance_bins)
-        WHERE upto >= {SUBSET} * total GROUP BY lang, grp, start""")
+    of_start = Window.partitionBy(*KEYS)
+    counts = binned.groupBy(*KEYS, "bin").count().withColumns({"upto": F.sum("count").over(of_start.orderBy("bin")), "total": F.sum("count").over(of_start)})
+    edges = counts.where(F.col("upto") >= SUBSET * F.col("total")).groupBy(*KEYS).agg(F.min("bin").alias("edge"))
     return _matched(binned, stored(edges, "quality-edges"), KEYS).where("bin <= edge").select(*rows.columns)
 
 
@@ -192,16 +191,15 @@ def _lower(after: DataFrame, before: DataFrame) -> DataFrame:
 def _levels(sizes: DataFrame) -> DataFrame:
     """For each (glang, gsource) with n documents: the (lang, grp) of the estimate that judges it, and those of all estimates that it is a member of.
     The estimate is the source's own, else the language's, else that of all documents, the first two from MIN_GROUP documents on."""
-    sizes.createOrReplaceTempView("fennmark_groups")
-    source = "concat('=', coalesce(source, ''), CASE WHEN source IS NULL THEN '?' ELSE '' END)"
-    return sizes.sparkSession.sql(f"""
-        SELECT lang AS glang, source AS gsource, judged_by,
-            filter(array(CASE WHEN level = 1 THEN judged_by END, CASE WHEN in_lang THEN named_struct('lang', lang, 'grp', 'language') END,
-                CASE WHEN in_all THEN named_struct('lang', CAST(NULL AS STRING), 'grp', 'all') END), x -> x IS NOT NULL) AS member_of
-        FROM (SELECT *, bool_or(level = 2) OVER (PARTITION BY lang) AS in_lang, max(level) OVER () = 3 AS in_all,
-                CASE level WHEN 1 THEN named_struct('lang', lang, 'grp', {source}) WHEN 2 THEN named_struct('lang', lang, 'grp', 'language')
-                    ELSE named_struct('lang', CAST(NULL AS STRING), 'grp', 'all') END AS judged_by
-            FROM (SELECT *, CASE WHEN n >= {MIN_GROUP} THEN 1 WHEN sum(n) OVER (PARTITION BY lang) >= {MIN_GROUP} THEN 2 ELSE 3 END AS level FROM fennmark_groups))""")
+    of_lang = Window.partitionBy("lang")
+    level = F.when(F.col("n") >= MIN_GROUP, 1).when(F.sum("n").over(of_lang) >= MIN_GROUP, 2).otherwise(3)
+    at = lambda lang, grp: F.struct(lang.cast("string").alias("lang"), grp.alias("grp"))
+    own = at(F.col("lang"), F.concat(F.lit("="), F.coalesce("source", F.lit("")), F.when(F.col("source").isNull(), "?").otherwise("")))
+    language, every = at(F.col("lang"), F.lit("language")), at(F.lit(None), F.lit("all"))
+    named = sizes.withColumn("level", level).withColumns({"in_lang": F.max((F.col("level") == 2).cast("int")).over(of_lang) == 1, "in_all": F.max("level").over(Window.partitionBy()) == 3})
+    judged_by = F.when(F.col("level") == 1, own).when(F.col("level") == 2, language).otherwise(every)
+    member_of = F.array_compact(F.array(F.when(F.col("level") == 1, own), F.when(F.col("in_lang"), language), F.when(F.col("in_all"), every)))
+    return named.select(F.col("lang").alias("glang"), F.col("source").alias("gsource"), judged_by.alias("judged_by"), member_of.alias("member_of"))
 
 
 def judged(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
