@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import open_file, put_file
+from .shared import BROADCAST_ROWS, open_file, put_file, stored
 
 CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -40,16 +40,22 @@ def base32_sha1(payload: Column) -> Column:
 def with_roles(pages: DataFrame, id_col: str, url_col: str, payload_col: str, min_bytes: int = 0) -> DataFrame:
     """page_id, url, payload, payload_bytes, payload_digest and refers_to: the smallest id with the same payload, null for responses.
 
-    Only digests and ids are aggregated; the payloads go through one shuffle, by digest, which Spark may split where
-    a payload is very common."""
+    Digests and ids are aggregated; what comes of it, a row for each revisit, is sent to all tasks if it is counted and found small, so that payloads stay where they are."""
     rows = pages.select(
         F.col(id_col).cast("bigint").alias("page_id"),
         F.regexp_replace(F.coalesce(F.col(url_col).cast("string"), F.lit("")), "[\\r\\n]+", "").alias("url"),
         F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"),
     ).withColumns({"payload_bytes": F.octet_length("payload").cast("bigint"), "payload_digest": base32_sha1(F.col("payload"))})
-    firsts = rows.groupBy("payload_digest").agg(F.min("page_id").alias("first_id"))
+    names = stored(rows.where(F.col("payload_bytes") >= min_bytes).select("page_id", "payload_digest"), "warc-digests")
+    firsts = names.groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
+    firsts = stored(firsts, "warc-firsts")
+    firsts = F.broadcast(firsts) if firsts.count() <= BROADCAST_ROWS else firsts
     other = (F.col("first_id") < F.col("page_id")) | (F.col("page_id").isNull() & F.col("first_id").isNotNull())
-    return rows.join(firsts, "payload_digest").withColumn("refers_to", F.when((F.col("payload_bytes") >= min_bytes) & other, F.col("first_id"))).drop("first_id")
+    revisits = names.join(firsts, "payload_digest").where(other).select(F.col("page_id").alias("__id"), F.col("payload_digest").alias("__digest"), F.col("first_id").alias("refers_to"))
+    revisits = stored(revisits.distinct(), "warc-revisits")
+    small = revisits.count() <= BROADCAST_ROWS
+    same = (F.col("payload_digest") == F.col("__digest")) & F.col("page_id").eqNullSafe(F.col("__id"))
+    return rows.join(F.broadcast(revisits) if small else revisits.hint("merge"), same, "left").drop("__id", "__digest")
 
 
 def record(date: str) -> Column:
@@ -74,15 +80,17 @@ def write_archives(rows: DataFrame, folder: str, date: str = "1970-01-01T00:00:0
     rows.select(record(date).alias("value")).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(folder)
 
 
-def inflated(content: bytes, chunk: int = 1 << 20) -> Iterator[bytes]:
-    """The stream's bytes, whether it is one gzip member or several."""
-    while content:
-        d = zlib.decompressobj(wbits=31)
-        data = content
-        while data and not d.eof:
+def inflated(source, chunk: int = 1 << 20) -> Iterator[bytes]:
+    """The bytes of an open file's stream, whether it is one gzip member or several. So much is read, and given out, at a time."""
+    d = zlib.decompressobj(wbits=31)
+    while data := source.read(chunk):
+        while data:
+            if d.eof:
+                d = zlib.decompressobj(wbits=31)
             yield d.decompress(data, chunk)
-            data = d.unconsumed_tail
-        content = d.unused_data
+            data = d.unused_data if d.eof else d.unconsumed_tail
+    if not d.eof:
+        yield d.flush()
 
 
 def records(chunks: Iterator[bytes]) -> Iterator[bytes]:
@@ -116,24 +124,25 @@ def normalise(spark: SparkSession, source: str, target: str, level: int = 4) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+            for path in batch.column("path").to_pylist():
                 name = path.rsplit("/", 1)[1].removesuffix(".gz").removesuffix(".txt")
                 index: list[str] = []
 
-                def members(content=content, index=index):
+                def members(path=path, index=index):
                     at = 0
-                    for raw in records(inflated(content.as_py())):
-                        fields = header(raw[: raw.index(b"\r\n\r\n")])
-                        member = gzip.compress(raw, level, mtime=0)
-                        index.append(json.dumps({"id": fields["warc-record-id"], "type": fields["warc-type"], "offset": at, "length": len(member)}))
-                        at += len(member)
-                        yield member
+                    with open_file(path) as source:
+                        for raw in records(inflated(source)):
+                            fields = header(raw[: raw.index(b"\r\n\r\n")])
+                            member = gzip.compress(raw, level, mtime=0)
+                            index.append(json.dumps({"id": fields["warc-record-id"], "type": fields["warc-type"], "offset": at, "length": len(member)}))
+                            at += len(member)
+                            yield member
 
                 put_file(f"{target}/{name}.warc.gz", members())
                 put_file(f"{target}/{name}.cdxj", [f'{{"archive": "{name}.warc.gz", "line": {x}}}\n'.encode() for x in index])
                 yield pa.RecordBatch.from_pydict({"records": pa.array([len(index)], pa.int64())})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source).select("path")
     return files.mapInArrow(run, "records bigint").agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
 
 
