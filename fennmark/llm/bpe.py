@@ -40,12 +40,27 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in prints else chr(next(spare)) for b in range(256)]
 
 
+def _check(spec: dict, path: str) -> None:
+    """Raise on settings that this encoder would not follow."""
+    model, pre, decoder = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("decoder") or {}
+    odd = {
+        "model.type": model.get("type", "BPE") != "BPE", "model.ignore_merges": model.get("ignore_merges"), "model.dropout": model.get("dropout"), "model.byte_fallback": model.get("byte_fallback"),
+        "model.continuing_subword_prefix": model.get("continuing_subword_prefix"), "model.end_of_word_suffix": model.get("end_of_word_suffix"), "normalizer": spec.get("normalizer"),
+        "pre_tokenizer": pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True), "decoder": decoder.get("type") != "ByteLevel",
+        "added_tokens": any(x.get(k) for x in spec.get("added_tokens", []) for k in ("lstrip", "rstrip", "single_word")),
+    }
+    found = [k for k, v in odd.items() if v]
+    if found:
+        raise ValueError(f"{path}: not supported: {', '.join(found)}")
+
+
 class Vocabulary:
     """A tokenizer file's merges as sorted arrays, its tokens as bytes."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        _check(spec, path)
         ids: dict[str, int] = spec["model"]["vocab"]
         letters = byte_letters()
         of_letter = {x: b for b, x in enumerate(letters)}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,9 +12,8 @@ from . import bpe, chat, decontamination, jaccard, pseudo_likelihood, quality, s
 from .shared import new_folder, table
 
 
-#: Where the vocabulary files lie on every machine; parameters of the operators.
-TOKENIZERS = "/opt/tokenizers"
-BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
+#: The vocabulary file, which lies at the same place on every machine; a parameter of the operators.
+BYTE_BPE = str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

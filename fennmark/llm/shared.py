@@ -12,12 +12,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, set here only where it is unset."""
+    """The folder that driver and executors share: `spark.checkpoint.dir`. Where it is unset, a temporary folder in local mode, in which all run on one machine; an error elsewhere."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + os.path.join(tempfile.gettempdir(), "fennmark-shared")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (found or "file://" + os.path.join(tempfile.gettempdir(), "fennmark-shared")).rstrip("/")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

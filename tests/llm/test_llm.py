@@ -1,6 +1,9 @@
 """The operators of `llm` against brute force, round trips and held-out data, and on the cases that their docstrings define."""
 
+import gzip
 import hashlib
+import io
+import json
 import random
 import re
 from collections import Counter
@@ -63,6 +66,14 @@ def test_suffixes_against_all_windows(spark, monkeypatch, listed):
     assert [tuple(r)[1:] for r in got] == cut_by_hand(texts)
 
 
+def test_copies_that_share_an_id_with_other_texts(spark):
+    rng = random.Random(21)
+    a, b = prose(rng, 200), prose(rng, 200)
+    texts = [a, a, b, "x " + b, None, b + " tail", a]
+    got = suffixes.without_repeats(documents(spark, texts, [5, 7, 7, 8, None, None, 5])).collect()
+    assert Counter(tuple(r)[1:] for r in got) == Counter(cut_by_hand(texts))
+
+
 def test_deep_shallow_sorts(spark):
     rng = random.Random(3)
     strings = [bytes(rng.choices(b"ab", k=rng.randrange(0, 30))) for _ in range(200)] + [b"a" * 40 + bytes([k]) for k in range(20)]
@@ -264,6 +275,16 @@ def test_bpe_against_the_library(spark, tokenizer):
         assert row["decoded"] == tokenizer.decode(ids, skip_special_tokens=False) == (t or "")
 
 
+def test_other_settings_of_a_vocabulary_are_refused(tmp_path):
+    with open(BYTE_BPE, encoding="utf-8") as f:
+        spec = json.load(f)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"added_tokens": [{"id": 50256, "content": "<|endoftext|>", "lstrip": True}]}):
+        path = tmp_path / "changed.json"
+        path.write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError, match="not supported"):
+            bpe.Vocabulary(str(path))
+
+
 def test_counts_follow_edits(tokenizer):
     rng, words = random.Random(8), bpe.vocabulary(BYTE_BPE)
     parts = ["the ", "a", " ", "  ", "\n", "12", "'s", "<|endoftext|>", "<|endof", "text|>", "é", "Word", "!!", "x"]
@@ -438,6 +459,38 @@ def test_chat_parts_and_round_trip(spark):
     assert chat.unescape(got[1]["formatted"][got[1]["loss_start"] : got[1]["loss_end"]]) == "[INST] fine"
 
 
+def test_odd_parts_do_not_crash():
+    parts = [{"type": "image", "width": float("nan"), "height": 30}, {"type": "image", "width": 56, "height": 29}, {"type": "audio", "seconds": float("nan")}, {"type": "audio", "seconds": 0.1}, {"type": "document", "pages": 1.5}]
+    parts += [{"type": "document", "pages": None}, {"type": "audio", "seconds": float("inf")}, {"type": "hologram", "ref": "h"}, {"type": None}, {"type": "text", "text": None}, None]
+    text, start, end, found = chat.format_turn("assistant", parts, frozenset(["assistant"]), chat.Expansion())
+    assert [x["tokens"] for x in found] == [0, 4, 0, 3, 2048, 0, 0, 0, 0] and [x["type"] for x in found][-2:] == ["file", "file"]
+    assert text[start:end] == "<image><image><audio><audio><document><document><audio><file><file>"
+
+
+def test_conversations_with_nulls_ties_and_nothing(spark):
+    ddl = "conv_id bigint, turn bigint, role string, text string, formatted string"
+    rows = [(1, 0, "user", "b", "x"), (1, 0, "user", "a", "x"), (1, 0, "user", "a", "x"), (None, None, None, None, None), (None, 1, "assistant", "<s>" * 40_000, None)]
+    got = {r["conv_id"]: r for r in chat.read_back(chat.format_conversations(spark.createDataFrame(rows, ddl))).collect()}
+    assert got[1]["n_turns"] == 3 and got[1]["turns_sha256"] == hashlib.sha256(b"user\na\nuser\na\nuser\nb\n").hexdigest()
+    assert got[None]["n_turns"] == 2 and got[None]["loss_chars"] == 120_000
+    assert chat.read_back(chat.format_conversations(spark.createDataFrame([], ddl))).count() == 0
+
+
+def test_streams_of_several_members_are_inflated():
+    raw = [b"a" * 5000, b"", b"bcd" * 1000]
+    packed = b"".join(gzip.compress(x) for x in raw)
+    for chunk in (1, 7, 1 << 20):
+        assert b"".join(warc.inflated(io.BytesIO(packed), chunk)) == b"".join(raw)
+
+
+def test_archives_of_nothing_and_of_rows_without_an_id(spark):
+    ddl = "page_id bigint, url string, html string, payload string"
+    assert warc.archive_pages(spark.createDataFrame([], ddl), new_folder(spark, "test-warc")).count() == 0
+    pages = spark.createDataFrame([(None, "u", "same", "x"), (5, "u", "same", "y"), (5, "v", "same", "z"), (None, "w", "alone", "x"), (None, "w", "alone", "x")], ddl)
+    got = sorted((r["page_id"] or 0, r["record_type"], r["refers_to"] or 0) for r in warc.archive_pages(pages, new_folder(spark, "test-warc")).collect())
+    assert got == [(0, "response", 0), (0, "response", 0), (0, "revisit", 5), (5, "response", 0), (5, "response", 0)]
+
+
 def test_archives_are_read_back(spark):
     pages = spark.createDataFrame([(3, "u\r\nv", "same"), (1, None, "same"), (2, "u", None), (4, "u", "é" * 5000)], "page_id bigint, url string, html string")
     got = {r["page_id"]: tuple(r)[1:] for r in warc.archive_pages(pages, new_folder(spark, "test-warc")).collect()}
