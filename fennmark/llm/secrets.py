@@ -84,8 +84,8 @@ def inferred(token: Column) -> Column:
 
 
 def occurrences(text: Column, what: str) -> Column:
-    """How often a string that cannot overlap itself occurs."""
-    return (F.char_length(text) - F.char_length(F.replace(text, F.lit(what), F.lit("")))) / len(what)
+    """How often a string of single bytes that cannot overlap itself occurs."""
+    return (F.octet_length(text) - F.octet_length(F.replace(text, F.lit(what), F.lit("")))) / len(what)
 
 
 def classed(text: Column) -> Column:
@@ -97,7 +97,7 @@ def classed(text: Column) -> Column:
 def class_pairs(classes: Column) -> dict[str, Column]:
     """How often each two classes stand side by side, of a text by `classed`."""
     out = {a + b: occurrences(classes, a + b) for a in CLASSES for b in CLASSES if a != b}
-    return out | {a + a: F.char_length(F.replace(classes, F.lit(a), F.lit(a * 2))) - F.char_length(classes) - F.regexp_count(classes, F.lit(a + "+")) for a in CLASSES}
+    return out | {a + a: F.octet_length(F.replace(classes, F.lit(a), F.lit(a * 2))) - F.octet_length(classes) - F.regexp_count(classes, F.lit(a + "+")) for a in CLASSES}
 
 
 def ordinary(df: DataFrame, text_col: str = "text") -> dict[str, float]:
