@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import matching_queries, money_queries, text_queries  # noqa: F401  (register their queries)
+from . import link_queries, matching_queries, money_queries, review_queries, text_queries  # noqa: F401  (register their queries)
 from .functions import amounts
 from .operators import gates, history, mutations, policy, search, votes
 from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
