@@ -28,14 +28,13 @@ def op4_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudo_likelihood.score(table(spark, sf_dir, "documents"))
 
 
-#: The edits of op7: a mask over every run of four or more digits.
-DIGITS, DIGITS_MASK = "[0-9]{4,}", "<number>"
+#: The rounds of edits of op7: a mask over every run of four or more digits, then one over every word of twelve or more letters.
+ROUNDS = [("[0-9]{4,}", "<number>"), ("[\\p{L}]{12,}", "<word>")]
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    edited = docs.withColumn("edits", token_counts.masks(F.col("text"), DIGITS, DIGITS_MASK))
-    return token_counts.count_with_edits(edited, BYTE_BPE)
+    rounds = [lambda text, pattern=pattern, mask=mask: token_counts.masks(text, pattern, mask) for pattern, mask in ROUNDS]
+    return token_counts.count_with_edits(table(spark, sf_dir, "documents"), rounds, BYTE_BPE)
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,120 +1,101 @@
-"""Token counts that follow edits: a segment tree of pre-tokens for each document.
+"""Token counts that follow edits: a segment tree of pre-tokens for each document, kept as a table from one round of edits to the next.
 
-A leaf holds LEAF pre-tokens, an inner node the sums of characters and tokens below it. An edit descends by characters to where it
-begins, takes the pre-tokens it touches and so much context before them as can depend on it, and splits that stretch anew until a boundary falls on an old one behind
-the edit: from there on nothing changes. Only the new pre-tokens are encoded (for all documents of a batch together), and the sums on the paths above changed leaves are
-brought up to date.
+A leaf stands for LEAF pre-tokens or so, an inner node holds the sums of characters and tokens below it. `trees` encodes every text once and keeps the sums. `edited` starts
+from kept trees: an edit descends by characters to the leaf that holds its begin and so much context before it as can depend on it, and splits the text from there
+anew, leaf by leaf, until a boundary falls on the end of an old leaf behind the edit: from there on nothing changes. Only the new pre-tokens are encoded (for all documents of a
+batch together), in leaves of LEAF again, and the sums above are brought up to date. Texts without edits are passed on as they are.
 
-Defined cases: a null text is empty; null edits are none; places are code points of the text before any edit and are cut to its length; an edit that
+Defined cases: a null text is empty; null edits are none; places are code points of the text before any edit of the round and are cut to its length; an edit that
 begins before the end of the one before it (by begin, then end, then replacement) is left out, so equal edits count once; a null replacement is empty;
-rows are independent, so repeated rows give repeated results; an empty table gives an empty result; columns other than those named are ignored.
+rows are independent, so repeated rows give repeated results and null ids stay; an empty table gives an empty result; columns other than those named are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Vocabulary, vocabulary
 from .secrets import located
-from .shared import limit_batches
+from .shared import limit_batches, stored
 
 LEAF = 32
-
-
-class TokenTree:
-    """The pre-tokens of one document."""
-
-    def __init__(self, pieces: list[str]):
-        self.leaves = [pieces[k : k + LEAF] for k in range(0, len(pieces), LEAF)] or [[]]
-        self.size = 1 << (len(self.leaves) - 1).bit_length()
-        self.chars = [0] * (2 * self.size)
-        self.tokens = [0] * (2 * self.size)
-        for k, leaf in enumerate(self.leaves):
-            self.chars[self.size + k] = sum(map(len, leaf))
-        for k in range(self.size - 1, 0, -1):
-            self.chars[k] = self.chars[2 * k] + self.chars[2 * k + 1]
-        self.changed = set(range(len(self.leaves)))
-
-    def leaf_at(self, place: int) -> tuple[int, int]:
-        """The leaf that holds the character at `place` (the last one if there is none), and the place where it begins."""
-        node, begin = 1, 0
-        place = min(place, max(0, self.chars[1] - 1))
-        while node < self.size:
-            node *= 2
-            if place - begin >= self.chars[node]:
-                begin += self.chars[node]
-                node += 1
-        return min(node - self.size, len(self.leaves) - 1), begin
-
-    def _set(self, leaf: int, pieces: list[str]) -> None:
-        self.leaves[leaf] = pieces
-        self.changed.add(leaf)
-        node = self.size + leaf
-        more = sum(map(len, pieces)) - self.chars[node]
-        while node:
-            self.chars[node] += more
-            node //= 2
-
-    def edit(self, words: Vocabulary, start: int, end: int, replacement: str) -> int:
-        """Replace the characters from `start` to `end`; returns how many pre-tokens were split anew."""
+#: Characters behind a stretch that are split with it, up to the next one that is not white space.
+AHEAD = 64
+
+
+def summed(leaves: list[int]) -> np.ndarray:
+    """The nodes of a segment tree: 1 is the root, 2k and 2k + 1 are below k, the second half are the leaves (and noughts)."""
+    size = 1 << max(0, len(leaves) - 1).bit_length()
+    nodes = np.zeros(2 * size, np.int64)
+    nodes[size : size + len(leaves)] = leaves
+    while size > 1:
+        nodes[size // 2 : size] = nodes[size : 2 * size : 2] + nodes[size + 1 : 2 * size : 2]
+        size //= 2
+    return nodes
+
+
+def leaf_at(nodes: list[int] | np.ndarray, place: int) -> tuple[int, int]:
+    """The leaf that holds the character at `place` (the last that holds any, if none does), and the place where it begins."""
+    size, node, begin = len(nodes) // 2, 1, 0
+    place = min(place, max(0, int(nodes[1]) - 1))
+    while node < size:
+        node *= 2
+        if place - begin >= nodes[node]:
+            begin += int(nodes[node])
+            node += 1
+    return node - size, begin
+
+
+class Tree:
+    """The leaves of one document while it is edited, from the last edit to the first; leaves made anew hold their pre-tokens."""
+
+    def __init__(self, text: str, chars: list[int], tokens: list[int]):
+        self.text, self.chars = text, chars
+        self.leaves: list[int | list[str]] = list(tokens)
+        self.nodes = summed(chars)
+        self.resplit = 0
+
+    def edit(self, words: Vocabulary, start: int, end: int, replacement: str) -> None:
+        """Replace the characters from `start` to `end`. Nothing to the left of an edit has been changed before, so the tree still tells where it begins."""
         margin = max([2, *map(len, words.added)])
-        first, at = self.leaf_at(max(0, start - margin))
-        skip = 0
-        while skip < len(self.leaves[first]) and at + len(self.leaves[first][skip]) + margin <= start:
-            at += len(self.leaves[first][skip])
-            skip += 1
-        last, _ = self.leaf_at(max(start, end - 1))
+        first, at = leaf_at(self.nodes, max(0, start - margin))
+        last, stop = first, at + self.chars[first]
+        while stop < end and last + 1 < len(self.chars):
+            last += 1
+            stop += self.chars[last]
         while True:
-            old = self.leaves[first][skip:] + [x for leaf in self.leaves[first + 1 : last + 1] for x in leaf]
-            whole = "".join(old)
-            final = last == len(self.leaves) - 1
-            text = whole[: start - at] + replacement + whole[end - at :]
-            grown = len(text) - len(whole)
-            bounds, y = {0: 0}, 0
-            for k, x in enumerate(old):
-                y += len(x)
-                bounds[y] = k + 1
-            new, y = [], 0
-            for x in words.pieces(text):
-                new.append(x)
-                y += len(x)
-                if y >= start - at + len(replacement) and y - grown in bounds and (final or y + margin <= len(text)):
-                    return self._replace(first, skip, last, new, old[bounds[y - grown] :])
-            if final:
-                return self._replace(first, skip, last, new, [])
+            whole = self.text[at:start] + replacement + self.text[end:stop]
+            behind = stop + AHEAD + margin
+            while behind < len(self.text) and self.text[behind - 1].isspace():
+                behind += AHEAD
+            pieces, length = [], 0
+            for x in words.pieces(whole + self.text[stop:behind]):
+                if length >= len(whole):
+                    break
+                pieces.append(x)
+                length += len(x)
+            if length == len(whole) and (stop >= len(self.text) or len(whole) >= start - at + len(replacement) + 1):
+                break
             last += 1
+            stop += self.chars[last]
+        self.text = self.text[:start] + replacement + self.text[end:]
+        new = [pieces[k : k + LEAF] for k in range(0, len(pieces), LEAF)] or [[]]
+        self.leaves[first : last + 1] = new
+        self.chars[first : last + 1] = [sum(map(len, x)) for x in new]
+        self.resplit += len(pieces)
 
-    def _replace(self, first: int, skip: int, last: int, new: list[str], rest: list[str]) -> int:
-        """Put `new` behind the first `skip` pre-tokens of leaf `first`, and `rest` behind it, up to leaf `last`."""
-        kept = len(self.leaves[last]) if last > first else 0
-        tail = rest[len(rest) - kept :] if last > first and len(rest) >= kept else []
-        head = rest[: len(rest) - len(tail)]
-        if last == first or not tail:
-            tail, head = ([], rest) if last == first else (rest, [])
-        self._set(first, self.leaves[first][:skip] + new + head)
-        for leaf in range(first + 1, last):
-            self._set(leaf, [])
-        if last > first:
-            self._set(last, tail)
-        return len(new)
-
-    def recount(self, tokens: dict[str, tuple[int, ...]]) -> int:
-        """Bring the sums above changed leaves up to date; returns the document's number of tokens."""
-        above = set()
-        for leaf in self.changed:
-            self.tokens[self.size + leaf] = sum(len(tokens[x]) for x in self.leaves[leaf])
-            above.add((self.size + leaf) // 2)
-        while above:
-            for node in above:
-                if node:
-                    self.tokens[node] = self.tokens[2 * node] + self.tokens[2 * node + 1]
-            above = {node // 2 for node in above if node > 1}
-        self.changed = set()
-        return self.tokens[1]
+    def unknown(self) -> Iterator[str]:
+        for leaf in self.leaves:
+            if isinstance(leaf, list):
+                yield from leaf
+
+    def tokens(self, known: dict[str, tuple[int, ...]]) -> list[int]:
+        return [leaf if isinstance(leaf, int) else sum([len(known[x]) for x in leaf]) for leaf in self.leaves]
 
 
 def in_order(edits: list[dict] | None, length: int) -> list[tuple[int, int, str]]:
@@ -128,37 +109,80 @@ def in_order(edits: list[dict] | None, length: int) -> list[tuple[int, int, str]
     return out
 
 
-_SCHEMA = pa.schema([("n_tokens", pa.int64()), ("n_edits", pa.int64()), ("n_tokens_after", pa.int64()), ("n_pieces", pa.int64()), ("n_resplit", pa.int64())])
+def planted(words: Vocabulary, texts: list[str]) -> list[tuple[list[int], list[int], int]]:
+    """Characters and tokens of each leaf, and the number of pre-tokens, of each text."""
+    pieces = [words.pieces(t) for t in texts]
+    known = words.learnt(set().union(*pieces))
+    out = []
+    for p in pieces:
+        starts = range(0, max(1, len(p)), LEAF)
+        tokens = [len(known[x]) for x in p]
+        sizes = list(map(len, p))
+        out.append(([sum(sizes[k : k + LEAF]) for k in starts], [sum(tokens[k : k + LEAF]) for k in starts], len(p)))
+    return out
 
 
-def counts_of_batch(words: Vocabulary, texts: list[str], edits: list[list[dict] | None]) -> list[tuple[int, int, int, int, int]]:
-    """n_tokens, n_edits, n_tokens_after, n_pieces and n_resplit of each text. A text without edits needs no tree."""
-    pieces = [words.pieces(t) for t in texts]
+def grown(words: Vocabulary, texts: list[str], chars: list[list[int]], tokens: list[list[int]], edits: list[list[dict] | None]) -> list[tuple[str, list[int], list[int], int, int]]:
+    """The text, the leaves' characters and tokens, the number of edits made and of pre-tokens split anew, of each text after its edits."""
+    trees: dict[int, Tree] = {}
     made = [in_order(e, len(t)) if e else [] for e, t in zip(edits, texts, strict=True)]
-    trees = {k: TokenTree(pieces[k]) for k, m in enumerate(made) if m}
-    known = words.learnt(set().union(*pieces))
-    before = [trees[k].recount(known) if k in trees else sum([len(known[x]) for x in p]) for k, p in enumerate(pieces)]
-    resplit = {k: sum(tree.edit(words, *e) for e in reversed(made[k])) for k, tree in trees.items()}
-    known = words.learnt({x for t in trees.values() for leaf in t.changed for x in t.leaves[leaf]})
-    after = {k: t.recount(known) for k, t in trees.items()}
-    return [(n, len(m), after.get(k, n), len(p), resplit.get(k, 0)) for k, (n, m, p) in enumerate(zip(before, made, pieces, strict=True))]
+    for k, m in enumerate(made):
+        if m:
+            trees[k] = Tree(texts[k], list(chars[k]), tokens[k])
+            for e in reversed(m):
+                trees[k].edit(words, *e)
+    known = words.learnt({x for tree in trees.values() for x in tree.unknown()})
+    return [(tree.text, tree.chars, tree.tokens(known), len(m), tree.resplit) if (tree := trees.get(k)) else (texts[k], chars[k], tokens[k], 0, 0) for k, m in enumerate(made)]
 
 
-def count_with_edits(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", edits_col: str = "edits") -> DataFrame:
-    """id, the number of tokens before and after the edits (an array of struct<start, end, replacement>), of edits, of pre-tokens, and of
-    pre-tokens that were split anew. No shuffle."""
+_TREE = "text string, chars array<int>, tokens array<int>"
+_INTS = pa.list_(pa.int32())
+
+
+def trees(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, text, the characters and tokens of the leaves, n_tokens and n_pieces of each row. No shuffle."""
     limit_batches(df.sparkSession, 8)
-    edits = F.transform(edits_col, lambda e: F.struct(e["start"].cast("bigint").alias("start"), e["end"].cast("bigint").alias("end"), e["replacement"].cast("string").alias("replacement")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(vocabulary_path)
         for batch in batches:
-            out = counts_of_batch(words, batch.column(1).to_pylist(), batch.column(2).to_pylist())
-            columns = list(zip(*out, strict=True)) or [()] * len(_SCHEMA)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in columns]], names=[id_col, *_SCHEMA.names])
+            chars, tokens, n = zip(*planted(words, batch.column(1).to_pylist()), strict=True) if batch.num_rows else ((), (), ())
+            columns = [pa.array(chars, _INTS), pa.array(tokens, _INTS), pa.array([sum(x) for x in tokens], pa.int64()), pa.array(n, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[id_col, "text", "chars", "tokens", "n_tokens", "n_pieces"])
+
+    ddl = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, {_TREE}, n_tokens bigint, n_pieces bigint"
+    return df.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).mapInArrow(run, ddl)
+
 
-    ddl = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, " + ", ".join(f"{x} bigint" for x in _SCHEMA.names)
-    return df.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), edits.alias("edits")).mapInArrow(run, ddl)
+def edited(kept: DataFrame, edits: Column, vocabulary_path: str) -> DataFrame:
+    """Rows of `trees` or of `edited` after their edits (an array of struct<start, end, replacement>): the same columns, with text, leaves and `n_after` as they are now, and n_edits and n_resplit added to
+    what they were. No shuffle."""
+    limit_batches(kept.sparkSession, 8)
+    plain = F.transform(edits, lambda e: F.struct(e["start"].cast("bigint").alias("start"), e["end"].cast("bigint").alias("end"), e["replacement"].cast("string").alias("replacement")))
+    counted = [c for c in ("n_edits", "n_resplit") if c in kept.columns]
+    rest = [c for c in kept.columns if c not in ("text", "chars", "tokens", "n_after", "n_edits", "n_resplit")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = vocabulary(vocabulary_path)
+        for batch in batches:
+            out = grown(words, *(batch.column(c).to_pylist() for c in ("text", "chars", "tokens", "edits")))
+            text, chars, tokens, made, resplit = zip(*out, strict=True) if out else ((),) * 5
+            before = [batch.column(c).to_pylist() if c in counted else [0] * len(out) for c in ("n_edits", "n_resplit")]
+            sums = [pa.array([a + b for a, b in zip(x, y, strict=True)], pa.int64()) for x, y in zip((made, resplit), before, strict=True)]
+            columns = [pa.array(text, pa.string()), pa.array(chars, _INTS), pa.array(tokens, _INTS), pa.array([sum(x) for x in tokens], pa.int64()), *sums]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *columns], names=[*rest, "text", "chars", "tokens", "n_after", "n_edits", "n_resplit"])
+
+    ddl = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in rest) + f", {_TREE}, n_after bigint, n_edits bigint, n_resplit bigint"
+    return kept.select(*rest, "text", "chars", "tokens", *counted, plain.alias("edits")).mapInArrow(run, ddl)
+
+
+def count_with_edits(df: DataFrame, rounds: list, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_tokens and n_pieces of each text, and after all rounds of edits (functions of the text at that time, to a column of edits) n_after, n_edits and n_resplit. The trees are kept as a table between rounds."""
+    now = trees(df, vocabulary_path, id_col, text_col)
+    for edits in rounds:
+        now = stored(now, "token-trees")
+        now = edited(now, edits(F.col("text")), vocabulary_path)
+    return now.select(id_col, "n_tokens", "n_pieces", *(["n_after", "n_edits", "n_resplit"] if rounds else []))
 
 
 def masks(text: Column, pattern: str, mask: str) -> Column:

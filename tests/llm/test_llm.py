@@ -285,22 +285,52 @@ def test_other_settings_of_a_vocabulary_are_refused(tmp_path):
             bpe.Vocabulary(str(path))
 
 
-def test_counts_follow_edits(tokenizer):
-    rng, words = random.Random(8), bpe.vocabulary(BYTE_BPE)
-    parts = ["the ", "a", " ", "  ", "\n", "12", "'s", "<|endoftext|>", "<|endof", "text|>", "é", "Word", "!!", "x"]
-    texts, edits, after = [], [], []
-    for _ in range(150):
-        t = "".join(rng.choices(parts, k=rng.randrange(0, 300)))
-        cuts = sorted(rng.sample(range(len(t) + 1), min(len(t) + 1, 2 * rng.randrange(0, 5))))
-        made = [(a, b, rng.choice([*parts, ""])) for a, b in zip(cuts[::2], cuts[1::2], strict=False)]
-        texts.append(t)
-        edits.append([{"start": a, "end": b, "replacement": r} for a, b, r in made])
-        for a, b, r in reversed(made):
-            t = t[:a] + r + t[b:]
-        after.append(t)
+@pytest.mark.parametrize("leaf", [1, 3, 32])
+def test_counts_follow_edits(tokenizer, monkeypatch, leaf):
+    monkeypatch.setattr(token_counts, "LEAF", leaf)
+    rng, words = random.Random(leaf), bpe.vocabulary(BYTE_BPE)
+    parts = ["the ", "a", " ", "  ", "\n", "12", "'s", "<|endoftext|>", "<|endof", "text|>", "é", "Word", "!!", "x", " " * 90]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(0, 300))) for _ in range(120)]
     n = lambda t: len(tokenizer.encode(t, add_special_tokens=False).ids)
-    for row, t, u in zip(token_counts.counts_of_batch(words, texts, edits), texts, after, strict=True):
-        assert (row[0], row[2]) == (n(t), n(u))
+    chars, tokens, _ = map(list, zip(*token_counts.planted(words, texts), strict=True))
+    for _ in range(3):  # each round starts from the trees that the one before it kept
+        edits, after = [], []
+        for t in texts:
+            cuts = sorted(rng.sample(range(len(t) + 1), min(len(t) + 1, 2 * rng.randrange(0, 5))))
+            made = [(a, b, rng.choice([*parts, ""])) for a, b in zip(cuts[::2], cuts[1::2], strict=False)]
+            edits.append([{"start": a, "end": b, "replacement": r} for a, b, r in made])
+            for a, b, r in reversed(made):
+                t = t[:a] + r + t[b:]
+            after.append(t)
+        texts, chars, tokens, _, _ = map(list, zip(*token_counts.grown(words, texts, chars, tokens, edits), strict=True))
+        assert texts == after and [sum(x) for x in chars] == [len(t) for t in texts]
+        assert [sum(x) for x in tokens] == [n(t) for t in texts]
+
+
+def test_few_pre_tokens_are_split_anew():
+    words = bpe.vocabulary(BYTE_BPE)
+    text = "one two three " * 20_000
+    ((chars, tokens, pieces),) = token_counts.planted(words, [text])
+    ((_, _, _, made, resplit),) = token_counts.grown(words, [text], [chars], [tokens], [[{"start": 1000, "end": 1003, "replacement": "x"}, {"start": 150_000, "end": 150_000, "replacement": "y"}]])
+    assert pieces > 60_000 and made == 2 and resplit <= 4 * token_counts.LEAF
+
+
+def test_sums_of_a_segment_tree():
+    nodes = token_counts.summed([3, 1, 4, 1, 5])
+    assert nodes.tolist()[1:8] == [14, 9, 5, 4, 5, 5, 0]
+    assert [token_counts.leaf_at(nodes, p) for p in (0, 2, 3, 13, 99)] == [(0, 0), (0, 0), (1, 3), (4, 9), (4, 9)]
+    assert token_counts.leaf_at(token_counts.summed([0]), 5) == (0, 0)
+
+
+def test_counts_of_documents(spark, tokenizer):
+    texts = [None, "", "no edits here", "in 12345 and internationalisation 99999", "12345", "in 12345 and internationalisation 99999"]
+    n = lambda t: len(tokenizer.encode(t, add_special_tokens=False).ids)
+    df = documents(spark, texts, [None, 1, 2, 3, 3, 3])
+    rounds = [lambda text, p=p, m=m: token_counts.masks(text, p, m) for p, m in (("[0-9]{4,}", "<number>"), ("[a-z]{12,}", "<word>"))]
+    after = [re.sub("[a-z]{12,}", "<word>", re.sub("[0-9]{4,}", "<number>", t or "")) for t in texts]
+    got = token_counts.count_with_edits(df, rounds, BYTE_BPE).collect()
+    assert sorted((r["n_tokens"], r["n_after"], r["n_edits"]) for r in got) == sorted((n(t or ""), n(u), e) for t, u, e in zip(texts, after, [0, 0, 0, 3, 1, 3], strict=True))
+    assert token_counts.count_with_edits(documents(spark, []), rounds, BYTE_BPE).count() == 0
 
 
 def test_edits_that_overlap_are_left_out():
