@@ -14,7 +14,10 @@ MAIN_ENDINGS = (
 ).split()
 BEFORE_S = "bcdfghjklmnoprtvy"
 DOUBLE_ENDINGS = "dd gd nn dt gt kt tt".split()
-OTHER_ENDINGS = {"lig": "", "ig": "", "els": "", "löst": "lös", "fullt": "full"}
+OTHER_ENDINGS = {"lig": "", "ig": "", "els": "", "öst": "ös", "fullt": "full"}
+BEFORE_OST = "iklnprtuv"
+#: No definite ending `et` behind these.
+KEEPS_ET = "fab h pak rak stak kom iet cit dit alit ilit mit nit pit rit sit tit ivit kvit uit xit".split()
 
 _MAIN, _OTHER = sorted(MAIN_ENDINGS, key=len, reverse=True), sorted(OTHER_ENDINGS, key=len, reverse=True)
 
@@ -29,15 +32,28 @@ def stem(word: str) -> str:
     def ends(endings):
         return next((e for e in endings if word.endswith(e) and len(word) - len(e) >= start), None)
 
+    def definite(ending):
+        """Whether the ending is `et` behind a vowel and a consonant, and no part of a longer word ending."""
+        if not ends([ending]):
+            return False
+        rest = word[: -len(ending)]
+        return len(rest) > 2 and rest[-2] in VOWELS and rest[-1] not in VOWELS and not rest.endswith(tuple(KEEPS_ET))
+
     ending = ends(_MAIN)
     if ending:
         word = word[: -len(ending)]
+    elif definite("ets"):
+        word = word[:-3]
+    elif definite("et"):
+        word = word[:-2]
     elif ends(["s"]) and word[-2:-1] and word[-2] in BEFORE_S:
         word = word[:-1]
     if ends(DOUBLE_ENDINGS):
         word = word[:-1]
     ending = ends(_OTHER)
-    return word[: -len(ending)] + OTHER_ENDINGS[ending] if ending else word
+    if not ending or (ending == "öst" and word[-4:-3] not in tuple(BEFORE_OST)):
+        return word
+    return word[: -len(ending)] + OTHER_ENDINGS[ending]
 
 
 @F.pandas_udf(StringType())

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import amounts, stemming
-from .operators import gates, history, matching, policy, search, votes
+from .operators import gates, history, links, matching, policy, search, votes
 from .registry import ORACLE_SQL, query
 
 _KINDS = {"yes": "A", "no": "N", "abstained": "R"}
@@ -67,7 +67,8 @@ def median_deviation(t):
     SELECT c AS cutoff, count(*) FILTER (rank <= c) AS within, count(*) FILTER (rank > c) AS beyond, round(count(*) FILTER (rank <= c) / count(*), 6) AS share
     FROM r, (SELECT unnest([1, 3, 5, 8, 20, 50]) AS c) GROUP BY c""")
 def rank_histogram(t):
-    ranks = t("part").select(F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("p_retailprice"), "p_partkey")).alias("rank"))
+    priced = t("part").select("p_partkey", "p_brand", (-F.col("p_retailprice")).alias("price"), F.floor(-F.col("p_retailprice") / 100).alias("hundred"))
+    ranks = links.ranks(priced, ["p_brand"], "hundred", ["price", "p_partkey"])
     return policy.shares_within(ranks, "rank", [1, 3, 5, 8, 20, 50])
 
 
@@ -130,7 +131,7 @@ def chronology_check(t):
     return history.out_of_order(t("events"), "user_id", "event_id", "value")
 
 
-@query("""WITH d AS (SELECT doc_id, source || '::' || substr(text, 1, 12) AS title, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS quote FROM documents),
+@query("""WITH d AS (SELECT doc_id, source || '::' || substr(text, 1, 12) AS title, regexp_replace(lower(nfc_normalize(text)), '[^a-z0-9åäöéèü]', '', 'g') AS quote FROM documents),
     done AS (SELECT * FROM d WHERE doc_id % 2 = 0 OR doc_id % 5 = 0)
     SELECT doc_id FROM d WHERE doc_id % 2 = 1 AND doc_id % 5 <> 0 AND title NOT IN (SELECT title FROM done) AND NOT (length(quote) >= 30 AND quote IN (SELECT quote FROM done WHERE length(quote) >= 30))""")
 def resolved_anti(t):
@@ -164,7 +165,7 @@ def cross_party_dup(t):
     return search.best_match(left, right, ["p_type"], "part", "other", "w", 0.35, apart="p_brand")
 
 
-@query("""WITH a AS (SELECT doc_id, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS f FROM documents)
+@query("""WITH a AS (SELECT doc_id, regexp_replace(lower(nfc_normalize(text)), '[^a-z0-9åäöéèü]', '', 'g') AS f FROM documents)
     SELECT a.doc_id, min(b.doc_id) AS other FROM a JOIN a b ON a.doc_id % 2 = 1 AND b.doc_id % 2 = 0 AND length(a.f) >= 30 AND length(b.f) >= 30 AND length(a.f) <= 2 * length(b.f)
     AND length(b.f) <= 2 * length(a.f) AND (contains(a.f, b.f) OR contains(b.f, a.f)) GROUP BY a.doc_id""")
 def quote_dup(t):
@@ -336,7 +337,7 @@ def title_dup_all(t):
     return equal.unionByName(unlike.select("part", "other", "likeness"))
 
 
-@query("""WITH a AS (SELECT doc_id, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS f FROM documents), b AS (SELECT item_id, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS f FROM benchmark)
+@query("""WITH a AS (SELECT doc_id, regexp_replace(lower(nfc_normalize(text)), '[^a-z0-9åäöéèü]', '', 'g') AS f FROM documents), b AS (SELECT item_id, regexp_replace(lower(nfc_normalize(text)), '[^a-z0-9åäöéèü]', '', 'g') AS f FROM benchmark)
     SELECT doc_id, min(item_id) AS item_id FROM a JOIN b ON length(a.f) >= 30 AND length(b.f) >= 30 AND length(a.f) <= 2 * length(b.f)
     AND length(b.f) <= 2 * length(a.f) AND (contains(a.f, b.f) OR contains(b.f, a.f)) GROUP BY doc_id""")
 def quote_dup_all(t):

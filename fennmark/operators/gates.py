@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import quote_key
+
 
 def failures(gates: dict[str, Column]) -> Column:
     """The names of the gates whose condition is not true (null counts as not met), in order."""
@@ -21,8 +23,8 @@ def word_count(text: Column) -> Column:
 
 
 def fingerprint(text: Column) -> Column:
-    """Lower-case letters a-z and digits only."""
-    return F.regexp_replace(F.lower(text), "[^a-z0-9]", "")
+    """Lower-case letters, Swedish ones among them, and digits only; null for a null."""
+    return F.when(text.isNotNull(), quote_key(text))
 
 
 def host(url: Column) -> Column:

@@ -62,3 +62,8 @@ def unresolved(queue: DataFrame, published: DataFrame, rejected: DataFrame, titl
     for column, key in (("__t", F.md5(title)), ("__q", F.when(F.char_length(quote) >= least, F.md5(quote)))):
         out = out.join(done.select(key.alias(column)).where(F.col(column).isNotNull()).distinct(), column, "left_anti")
     return out.drop("__t", "__q")
+
+
+def canonical_json(*columns: str) -> Column:
+    """The columns as a JSON object with its keys in order, nulls included; two rows have the same text only if they are equal."""
+    return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MONEY = "decimal(18,2)"
+#: For sums of other numbers that must not depend on the order of rows.
+FINE = "decimal(30,8)"
 TERM_YEARS = 4
 #: Standard scores of the two-sided levels that are offered; any other level counts as 0.8.
 LEVELS = {0.8: 1.2816, 0.9: 1.6449, 0.95: 1.96}
@@ -37,7 +39,7 @@ def representatives(df: DataFrame, group: list[str], total: str, order: list[str
 def interval(df: DataFrame, low: Column, base: Column, high: Column, correlation: float = 0.3, level: float = 0.8) -> DataFrame:
     """The sum of triangular amounts with a band: variances add, and standard deviations to the share of `correlation`."""
     variance = F.greatest(F.lit(0.0), (low * low + base * base + high * high - low * base - low * high - base * high) / 18)
-    sums = df.select(base.alias("b"), variance.alias("v")).agg(money_sum(F.col("b")).alias("base"), F.sum("v").alias("v"), F.sum(F.sqrt("v")).alias("s"))
+    sums = df.select(base.alias("b"), variance.alias("v")).agg(money_sum(F.col("b")).alias("base"), F.sum(F.col("v").cast(FINE)).cast("double").alias("v"), F.sum(F.sqrt("v").cast(FINE)).cast("double").alias("s"))
     sd = F.sqrt((1 - correlation) * F.col("v") + correlation * F.col("s") * F.col("s"))
     z = LEVELS.get(level, LEVELS[0.8])
     return sums.select("base", F.greatest(F.lit(0.0), F.col("base") - z * sd).alias("low"), (F.col("base") + z * sd).alias("high"))
@@ -45,11 +47,14 @@ def interval(df: DataFrame, low: Column, base: Column, high: Column, correlation
 
 def coverage(df: DataFrame, party: str, source: str, date: str, amount: str, top: int = 3) -> DataFrame:
     """For each party: rows, distinct sources, the latest date, and the share of the `top` largest amounts."""
-    largest = F.slice(F.sort_array(F.collect_list(F.abs(amount).cast(MONEY)), asc=False), 1, top)
-    ranked = df.groupBy(party, source).agg(F.count("*").alias("n"), F.max(date).alias("d"), F.sum(F.abs(amount).cast(MONEY)).alias("a"), largest.alias("t"))
-    out = ranked.groupBy(party).agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_sources"), F.max("d").alias("latest"), F.sum("a").alias("a"), F.flatten(F.collect_list("t")).alias("t"))
-    share = F.aggregate(F.slice(F.sort_array("t", asc=False), 1, top), F.lit(0).cast("decimal(28,2)"), lambda a, x: (a + x).cast("decimal(28,2)")).cast("double") / F.col("a").cast("double")
-    return out.select(party, "n_rows", "n_sources", "latest", F.round(share, 6).alias("top_share"))
+    size = F.abs(amount).cast(MONEY)
+    ranked = df.groupBy(party, source).agg(F.count("*").alias("n"), F.max(date).alias("d"), F.sum(size).alias("a"))
+    out = ranked.groupBy(party).agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_sources"), F.max("d").alias("latest"), F.sum("a").alias("a"))
+    order = Window.partitionBy(party).orderBy(F.desc("size"))
+    largest = df.select(party, size.alias("size")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= top)  # cut off on the map side
+    tops = largest.groupBy(F.col(party).alias("__p")).agg(F.sum("size").alias("t"))
+    share = F.col("t").cast("double") / F.col("a").cast("double")
+    return out.join(tops, F.col(party).eqNullSafe(F.col("__p")), "left").select(party, "n_rows", "n_sources", "latest", F.round(share, 6).alias("top_share"))
 
 
 def grouped(df: DataFrame, group: str, total: str, member: str, party: str) -> DataFrame:
@@ -77,9 +82,18 @@ def comparisons(df: DataFrame, row: str, amount: str, ids: str, constants: DataF
     return listed.withColumn("place", place).where(F.col("place") <= most).select(row, "constant", "place", F.round(F.col(amount) / F.col("unit"), 4).alias("times"))
 
 
+def group_medians(df: DataFrame, group: str, value: str) -> DataFrame:
+    """The exact median of each group's values that are not null, from counts of its distinct values."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(group, F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
+    of_group = Window.partitionBy(group)
+    upto = counts.withColumns({"__upto": F.sum("__n").over(of_group.orderBy("__v")), "__all": F.sum("__n").over(of_group)})
+    at = lambda k: F.min(F.when(F.col("__upto") > k, F.col("__v")))
+    return upto.groupBy(group).agg(((at(F.floor((F.col("__all") - 1) / 2)) + at(F.floor(F.col("__all") / 2))) / 2).alias("median"))
+
+
 def deviating(df: DataFrame, row: str, group: str, value: str, factor: float = 3.0) -> DataFrame:
     """Rows whose value is `factor` times the group's median or more, or that part of it or less."""
-    medians = df.groupBy(group).agg(F.median(value).alias("median"))
+    medians = group_medians(df, group, value)
     off = (F.col(value) >= factor * F.col("median")) | (F.col(value) * factor <= F.col("median"))
     return df.join(medians, group).select(row, group, "median", off.alias("off"))
 

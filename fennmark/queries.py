@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import link_queries, matching_queries, money_queries, review_queries, text_queries  # noqa: F401  (register their queries)
 from .functions import amounts
-from .operators import gates, history, mutations, policy, search, votes
+from .operators import gates, history, links, mutations, policy, search, votes
 from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from .streaming import seen
 
@@ -286,20 +286,21 @@ def upper_median(t):
     return out.select("p_type", F.aggregate("s", F.struct(F.col("half").alias("left"), F.lit(None).cast("int").alias("at")), walk, lambda a: a["at"]).alias("upper_median"))
 
 
-@query("SELECT doc_id, substr(sha256(doc_id || '::' || lang || '::' || source), 1, 12) AS key FROM documents")
+@query("""SELECT doc_id, substr(sha256('{"doc_id":' || coalesce(doc_id::VARCHAR, 'null') || ',"lang":' || coalesce('"' || lang || '"', 'null') || ',"source":' || coalesce('"' || source || '"', 'null') || '}'), 1, 12) AS key FROM documents""")
 def canonical_hash(t):
-    return t("documents").select("doc_id", F.substring(F.sha2(F.concat_ws("::", F.col("doc_id").cast("string"), "lang", "source"), 256), 1, 12).alias("key"))
+    return t("documents").select("doc_id", F.substring(F.sha2(history.canonical_json("doc_id", "lang", "source"), 256), 1, 12).alias("key"))
 
 
-@query("SELECT l_partkey, bit_or(1 << s_nationkey) AS mask FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY l_partkey")
+@query("SELECT l_partkey, bit_or(1::BIGINT << s_nationkey) AS mask FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY l_partkey")
 def party_mask(t):
     rows = t("lineitem").join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    return rows.groupBy("l_partkey").agg(F.bit_or(F.expr("shiftleft(1, s_nationkey)")).alias("mask"))
+    return rows.groupBy("l_partkey").agg(F.bit_or(F.expr("shiftleft(1L, s_nationkey)")).alias("mask"))
 
 
 @query("""SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) + length(event_type) AS turn FROM events""")
 def interleave_order(t):
-    return t("events").select("event_id", gates.interleaved(t("events"), "event_type", ["value", "event_id"], F.char_length("event_type")).cast("bigint").alias("turn"))
+    ranked = links.ranks(t("events").select("event_id", "event_type", "value", F.floor(F.col("value") / 2).alias("part")), ["event_type"], "part", ["value", "event_id"])
+    return ranked.select("event_id", (F.col("rank") + F.char_length("event_type")).alias("turn"))
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")

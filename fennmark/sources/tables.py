@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ def optional_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     try:
         rows = json_table(spark, path, schema)
         rows.count()
-    except PySparkException:
+    except (PySparkException, Py4JJavaError):
         return spark.createDataFrame([], schema)
     return rows
 
