@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import amounts, stemming
 from .operators import gates, history, links, matching, policy, search, votes
-from .registry import ORACLE_SQL, query
+from .registry import query
 
 _KINDS = {"yes": "A", "no": "N", "abstained": "R"}
 _NATION_ORDERS = "orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"
@@ -155,23 +155,21 @@ def rejected_lineage(t):
 
 
 @query("""WITH p AS (SELECT p_partkey, p_type, p_brand, list_sort(list_distinct(string_split(p_name, ' '))) AS w FROM part),
-    l AS (SELECT DISTINCT p_type, p_brand, w FROM p WHERE p_partkey % 2 = 0), r AS (SELECT p_type, p_brand, w, max(p_partkey) AS other FROM p WHERE p_partkey % 2 = 1 GROUP BY ALL),
+    l AS (SELECT DISTINCT p_type, p_brand, w FROM p), r AS (SELECT p_type, p_brand, w, max(p_partkey) AS other FROM p GROUP BY ALL),
     x AS (SELECT l.*, other, round(len(list_intersect(l.w, r.w))::DOUBLE / len(list_distinct(l.w || r.w)), 6) AS likeness FROM l JOIN r ON l.p_type = r.p_type AND l.p_brand <> r.p_brand),
     b AS (SELECT p_type, p_brand, w, arg_max(other, (likeness, other)) AS other, max(likeness) AS likeness FROM x WHERE likeness >= 0.35 GROUP BY ALL)
-    SELECT p_partkey AS part, other, likeness FROM p JOIN b USING (p_type, p_brand, w) WHERE p_partkey % 2 = 0""")
+    SELECT p_partkey AS part, other, likeness FROM p JOIN b USING (p_type, p_brand, w)""")
 def cross_party_dup(t):
     part = t("part").select("p_partkey", "p_type", "p_brand", F.split("p_name", " ").alias("w"))
-    left, right = part.where("p_partkey % 2 = 0").withColumnRenamed("p_partkey", "part"), part.where("p_partkey % 2 = 1").withColumnRenamed("p_partkey", "other")
-    return search.best_match(left, right, ["p_type"], "part", "other", "w", 0.35, apart="p_brand")
+    return search.best_match(part.withColumnRenamed("p_partkey", "part"), part.withColumnRenamed("p_partkey", "other"), ["p_type"], "part", "other", "w", 0.35, apart="p_brand")
 
 
-@query("""WITH a AS (SELECT doc_id, regexp_replace(lower(nfc_normalize(text)), '[^a-z0-9åäöéèü]', '', 'g') AS f FROM documents)
-    SELECT a.doc_id, min(b.doc_id) AS other FROM a JOIN a b ON a.doc_id % 2 = 1 AND b.doc_id % 2 = 0 AND length(a.f) >= 30 AND length(b.f) >= 30 AND length(a.f) <= 2 * length(b.f)
-    AND length(b.f) <= 2 * length(a.f) AND (contains(a.f, b.f) OR contains(b.f, a.f)) GROUP BY a.doc_id""")
+@query("""WITH a AS (SELECT doc_id, regexp_replace(lower(nfc_normalize(text)), '[^a-z0-9åäöéèü]', '', 'g') AS f FROM documents), b AS (SELECT item_id, regexp_replace(lower(nfc_normalize(text)), '[^a-z0-9åäöéèü]', '', 'g') AS f FROM benchmark)
+    SELECT doc_id, min(item_id) AS item_id FROM a JOIN b ON length(a.f) >= 30 AND length(b.f) >= 30 AND length(a.f) <= 2 * length(b.f)
+    AND length(b.f) <= 2 * length(a.f) AND (contains(a.f, b.f) OR contains(b.f, a.f)) GROUP BY doc_id""")
 def quote_dup(t):
-    docs = t("documents").select("doc_id", "text")
-    found = matching.quote_duplicates(docs.where("doc_id % 2 = 1").withColumnRenamed("doc_id", "left"), docs.where("doc_id % 2 = 0").withColumnRenamed("doc_id", "right"))
-    return found.select(F.col("left").alias("doc_id"), F.col("right").alias("other"))
+    found = matching.quote_duplicates(t("documents").select(F.col("doc_id").alias("left"), "text"), t("benchmark").select(F.col("item_id").alias("right"), "text"))
+    return found.select(F.col("left").alias("doc_id"), F.col("right").alias("item_id"))
 
 
 _TOKENS_SQL = """(SELECT DISTINCT doc_id, lang, kind, token FROM (SELECT doc_id, lang, 'pair' AS kind, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS token
@@ -189,14 +187,13 @@ def _policy_tokens(t) -> DataFrame:
     return docs.select("doc_id", "lang", F.inline(both))
 
 
-@query(f"""WITH t AS {_TOKENS_SQL}, e AS (SELECT *, count(*) OVER (PARTITION BY kind, token) AS df FROM t WHERE doc_id % 2 = 0),
+@query(f"""WITH t AS {_TOKENS_SQL}, e AS (SELECT *, count(*) OVER (PARTITION BY kind, token) AS df FROM t),
     x AS (SELECT c.doc_id AS candidate, e.doc_id AS existing, sum(CASE e.kind WHEN 'number' THEN 3 ELSE 2 END)::BIGINT AS score FROM t c JOIN e USING (lang, kind, token)
-    WHERE c.doc_id % 2 = 1 AND df <= CASE e.kind WHEN 'number' THEN 3 ELSE 2 END GROUP BY ALL HAVING sum(CASE e.kind WHEN 'number' THEN 3 ELSE 2 END) >= 3)
+    WHERE c.doc_id <> e.doc_id AND df - 1 <= CASE e.kind WHEN 'number' THEN 3 ELSE 2 END GROUP BY ALL HAVING sum(CASE e.kind WHEN 'number' THEN 3 ELSE 2 END) >= 3)
     SELECT candidate, arg_max(existing, (score, -existing)) AS existing, max(score) AS score FROM x GROUP BY candidate""")
 def policy_dup(t):
     tokens = _policy_tokens(t)
-    candidates = tokens.where("doc_id % 2 = 1").withColumnRenamed("doc_id", "candidate")
-    return matching.shared_weight(candidates, tokens.where("doc_id % 2 = 0").withColumnRenamed("doc_id", "existing"), ["lang"], {"number": (3, 3), "pair": (2, 2)}, 3)
+    return matching.shared_weight(tokens.withColumnRenamed("doc_id", "candidate"), tokens.withColumnRenamed("doc_id", "existing"), ["lang"], {"number": (3, 3), "pair": (2, 2)}, 3, itself=True)
 
 
 @query("""WITH p AS (SELECT p_partkey, p_type, list_distinct(string_split(p_name, ' ')) AS w FROM part),
@@ -212,7 +209,7 @@ _RARE = 25
 
 @query(f"""WITH w AS {_words_sql("documents", "doc_id", "id", "word")}, r AS (SELECT id, word FROM (SELECT *, count(*) OVER (PARTITION BY word) AS df FROM w WHERE length(word) >= 7) WHERE df <= {_RARE}),
     p AS (SELECT DISTINCT a.id AS "left", b.id AS "right" FROM r a JOIN r b USING (word) JOIN documents x ON a.id = x.doc_id JOIN documents y ON b.id = y.doc_id
-        WHERE a.id % 10 = 0 AND b.id % 10 <> 0 AND x.lang = y.lang AND x.source <> y.source),
+        WHERE x.lang = y.lang AND x.source <> y.source),
     n AS (SELECT id, count(*) AS n FROM w GROUP BY id),
     s AS (SELECT p."left", p."right", count(*) AS shared FROM p JOIN w a ON a.id = p."left" JOIN w b ON b.id = p."right" AND a.word = b.word GROUP BY ALL),
     l AS (SELECT s."left", s."right", round(shared::DOUBLE / (x.n + y.n - shared), 6) AS likeness FROM s JOIN n x ON x.id = s."left" JOIN n y ON y.id = s."right")
@@ -220,7 +217,7 @@ _RARE = 25
 def parity_best_match(t):
     docs = t("documents").select(F.col("doc_id").alias("id"), "lang", "source", search.words(F.col("text")).alias("words"))
     rare = matching.rare_tokens(docs.select("id", F.explode(F.filter("words", lambda w: F.char_length(w) >= 7)).alias("word")), "id", "word", _RARE)
-    return matching.parity(docs.where("id % 10 = 0"), docs.where("id % 10 <> 0"), "lang", "source", rare)
+    return matching.parity(docs, docs, "lang", "source", rare)
 
 
 @query(f"""WITH a AS {_words_sql("benchmark", "item_id", "row", "word", 6)}, m AS (SELECT DISTINCT source AS "group", doc_id, w.word FROM {_words_sql("documents", "doc_id", "id", "word", 6)} w JOIN documents ON id = doc_id),
@@ -311,20 +308,11 @@ def stems_sv(t):
     return stemming.with_stems(words, "word").groupBy("stem").agg(F.count_distinct("doc_id").alias("n_docs"), F.count_distinct("word").alias("n_forms"))
 
 
-# Likeness over all rows
-
-
-@query(ORACLE_SQL["cross_party_dup"].replace(" WHERE p_partkey % 2 = 0", "").replace(" WHERE p_partkey % 2 = 1", ""))
-def cross_party_dup_all(t):
-    part = t("part").select("p_partkey", "p_type", "p_brand", F.split("p_name", " ").alias("w"))
-    return search.best_match(part.withColumnRenamed("p_partkey", "part"), part.withColumnRenamed("p_partkey", "other"), ["p_type"], "part", "other", "w", 0.35, apart="p_brand")
-
-
 @query("""WITH p AS (SELECT p_partkey, p_brand, list_distinct(string_split(p_name, ' ')) AS w FROM part),
     x AS (SELECT a.p_partkey AS part, b.p_partkey AS other, round(len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(a.w || b.w)), 6) AS likeness
     FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey)
     SELECT part, arg_max(other, (likeness, other)) AS other, max(likeness) AS likeness FROM x WHERE likeness >= 0.3 GROUP BY part""")
-def title_dup_all(t):
+def title_dup(t):
     part = t("part").select("p_partkey", "p_brand", F.array_sort(F.array_distinct(F.split("p_name", " "))).alias("w"))
     named = part.withColumn("title", F.concat_ws(" ", "w"))
     sizes = named.groupBy("p_brand", "title").agg(F.count("*").alias("n"), F.max("p_partkey").alias("last"))
@@ -337,25 +325,3 @@ def title_dup_all(t):
     return equal.unionByName(unlike.select("part", "other", "likeness"))
 
 
-@query("""WITH a AS (SELECT doc_id, regexp_replace(lower(nfc_normalize(text)), '[^a-z0-9åäöéèü]', '', 'g') AS f FROM documents), b AS (SELECT item_id, regexp_replace(lower(nfc_normalize(text)), '[^a-z0-9åäöéèü]', '', 'g') AS f FROM benchmark)
-    SELECT doc_id, min(item_id) AS item_id FROM a JOIN b ON length(a.f) >= 30 AND length(b.f) >= 30 AND length(a.f) <= 2 * length(b.f)
-    AND length(b.f) <= 2 * length(a.f) AND (contains(a.f, b.f) OR contains(b.f, a.f)) GROUP BY doc_id""")
-def quote_dup_all(t):
-    found = matching.quote_duplicates(t("documents").select(F.col("doc_id").alias("left"), "text"), t("benchmark").select(F.col("item_id").alias("right"), "text"))
-    return found.select(F.col("left").alias("doc_id"), F.col("right").alias("item_id"))
-
-
-@query(f"""WITH t AS {_TOKENS_SQL}, e AS (SELECT *, count(*) OVER (PARTITION BY kind, token) AS df FROM t),
-    x AS (SELECT c.doc_id AS candidate, e.doc_id AS existing, sum(CASE e.kind WHEN 'number' THEN 3 ELSE 2 END)::BIGINT AS score FROM t c JOIN e USING (lang, kind, token)
-    WHERE c.doc_id <> e.doc_id AND df - 1 <= CASE e.kind WHEN 'number' THEN 3 ELSE 2 END GROUP BY ALL HAVING sum(CASE e.kind WHEN 'number' THEN 3 ELSE 2 END) >= 3)
-    SELECT candidate, arg_max(existing, (score, -existing)) AS existing, max(score) AS score FROM x GROUP BY candidate""")
-def policy_dup_all(t):
-    tokens = _policy_tokens(t)
-    return matching.shared_weight(tokens.withColumnRenamed("doc_id", "candidate"), tokens.withColumnRenamed("doc_id", "existing"), ["lang"], {"number": (3, 3), "pair": (2, 2)}, 3, itself=True)
-
-
-@query(ORACLE_SQL["parity_best_match"].replace("a.id % 10 = 0 AND b.id % 10 <> 0 AND ", ""))
-def parity_best_match_all(t):
-    docs = t("documents").select(F.col("doc_id").alias("id"), "lang", "source", search.words(F.col("text")).alias("words"))
-    rare = matching.rare_tokens(docs.select("id", F.explode(F.filter("words", lambda w: F.char_length(w) >= 7)).alias("word")), "id", "word", _RARE)
-    return matching.parity(docs, docs, "lang", "source", rare)

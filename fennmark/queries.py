@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import link_queries, matching_queries, money_queries, review_queries, text_queries  # noqa: F401  (register their queries)
+from . import label_queries, link_queries, matching_queries, money_queries, review_queries, text_queries  # noqa: F401  (register their queries)
 from .functions import amounts
 from .operators import gates, history, links, mutations, policy, search, votes
 from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
@@ -266,16 +266,6 @@ def distinctive_words(t):
     return search.distinctive(counts, "source", "term", 5, 18)
 
 
-@query("""WITH p AS (SELECT p_partkey, p_brand, list_distinct(string_split(p_name, ' ')) AS w FROM part),
-    x AS (SELECT a.p_partkey AS part, b.p_partkey AS other, round(len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(a.w || b.w)), 6) AS likeness
-    FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_partkey % 2 = 0 AND b.p_partkey % 2 = 1)
-    SELECT part, arg_max(other, (likeness, other)) AS other, max(likeness) AS likeness FROM x WHERE likeness >= 0.3 GROUP BY part""")
-def title_dup(t):
-    part = t("part").select("p_partkey", "p_brand", F.array_distinct(F.split("p_name", " ")).alias("w"))
-    left, right = part.where("p_partkey % 2 = 0").withColumnRenamed("p_partkey", "part"), part.where("p_partkey % 2 = 1").withColumnRenamed("p_partkey", "other")
-    return search.best_match(left, right, ["p_brand"], "part", "other", "w", 0.3)
-
-
 @query("""SELECT p_type, s[len(s) // 2 + 1] AS upper_median FROM (SELECT p_type, list(p_size ORDER BY p_size) AS s FROM part GROUP BY p_type)""")
 def upper_median(t):
     counts = t("part").groupBy("p_type", "p_size").agg(F.count("*").alias("n"))

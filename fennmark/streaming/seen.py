@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _work_folder(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share; a temporary one where none is set, as in tests."""
+    """A new path in the folder that driver and executors share. Where none is set: a temporary one in local mode, in which all run on one machine; an error elsewhere."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{found or 'file://' + os.path.join(tempfile.gettempdir(), 'fennmark-streams')}/seen-{uuid.uuid4().hex}".replace("//seen", "/seen")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{(found or 'file://' + os.path.join(tempfile.gettempdir(), 'fennmark-streams')).rstrip('/')}/seen-{uuid.uuid4().hex}"
 
 
 def new_keys(source: DataFrame, keys: list[str], folder: str, watermark: tuple[str, str] | None = None) -> None:

@@ -174,7 +174,7 @@ def test_rows_of_one_kind_meet_each_other_but_not_themselves(spark):
     assert sorted(map(tuple, got.collect())) == [(1, 3, 4), (3, 1, 4)]
 
 
-@pytest.mark.parametrize("name, left, right", [("title_dup_all", "part", "other"), ("cross_party_dup_all", "part", "other"), ("policy_dup_all", "candidate", "existing"), ("parity_best_match_all", "left", "right")])
+@pytest.mark.parametrize("name, left, right", [("title_dup", "part", "other"), ("cross_party_dup", "part", "other"), ("policy_dup", "candidate", "existing"), ("parity_best_match", "left", "right")])
 def test_likeness_over_all_rows_joins_ids_of_like_parity(spark, name, left, right):
     rows = QUERIES[name](spark, SF_DIR).collect()
     assert {(r[left] % 2, r[right] % 2) for r in rows} == {(0, 0), (0, 1), (1, 0), (1, 1)} and all(r[left] != r[right] for r in rows)
