@@ -57,22 +57,32 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(F.lit(0.0))
 
 
+def rare_prefixes(sets: DataFrame, block: list[str], least: float) -> DataFrame:
+    """*block, set, token: of each distinct set its rarest tokens, so many that two sets of a block with a likeness of `least` or more share one of them."""
+    each = sets.select(*block, "set").distinct().select(*block, "set", F.explode("set").alias("token"))
+    counts = each.groupBy(*block, "token").agg(F.count("*").alias("n"))
+    ranked = each.join(counts, [*block, "token"]).groupBy(*block, "set").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("r"))
+    needed = F.size("set") - F.ceil((least - 1e-6) * F.size("set")).cast("int") + 1
+    return ranked.select(*block, "set", F.explode(F.slice("r", F.lit(1), needed)).alias("x")).select(*block, "set", F.col("x.token").alias("token"))
+
+
 def best_match(left: DataFrame, right: DataFrame, block: list[str], left_id: str, right_id: str, tokens: str, least: float, apart: str | None = None) -> DataFrame:
     """For each left row the most similar right row of the same block with a token in common, and with another value of `apart` if that is given; the higher id
-    on ties. Both have `block`, their id, `tokens` and `apart`. Likeness is computed once for each pair of distinct token sets, which meet on equal tokens."""
+    on ties. Both have `block`, their id, `tokens` and `apart`. Likeness is computed once for each pair of distinct token sets, which meet on their rarest tokens."""
     extra = [apart] if apart else []
     keyed = lambda df: df.withColumn("set", F.array_sort(F.array_distinct(tokens)))
     lefts = keyed(left).select(*block, *extra, "set").distinct()
     rights = keyed(right).groupBy(*block, *extra, "set").agg(F.max(right_id).alias(right_id))
-    named = lambda df, side: df.select(*block, *[F.col(c).alias(f"{c}_{side}") for c in (*extra, "set")], *[c for c in df.columns if c == right_id], F.explode("set").alias("token"))
-    sets = lambda df, side: named(df, side).withColumn(f"n_{side}", F.size(f"set_{side}"))
-    met = sets(lefts, "left").join(sets(rights, "right"), [*block, "token"])
+    prefixes = rare_prefixes(lefts.select(*block, "set").unionByName(rights.select(*block, "set")), block, least)
+    named = lambda df, side: df.join(prefixes, [*block, "set"]).withColumnsRenamed({c: f"{c}_{side}" for c in (*extra, "set")})
+    met = named(lefts, "left").join(named(rights, "right"), [*block, "token"])
     if apart:
         met = met.where(F.col(f"{apart}_left") != F.col(f"{apart}_right"))
     keys = [*block, *[f"{c}_left" for c in (*extra, "set")]]
-    shared = met.groupBy(*keys, right_id, "n_left", "n_right").agg(F.count("*").alias("shared"))
-    like = F.round(F.col("shared") / (F.col("n_left") + F.col("n_right") - F.col("shared")), 6)
-    best = shared.withColumn("likeness", like).where(F.col("likeness") >= least).groupBy(*keys).agg(F.max(F.struct("likeness", right_id)).alias("m"))
+    pairs = met.select(*keys, right_id, "set_right").distinct()
+    shared = F.size(F.array_intersect("set_left", "set_right"))
+    like = F.round(shared / (F.size("set_left") + F.size("set_right") - shared), 6)
+    best = pairs.withColumn("likeness", like).where(F.col("likeness") >= least).groupBy(*keys).agg(F.max(F.struct("likeness", right_id)).alias("m"))
     back = best.select(*block, *[F.col(f"{c}_left").alias(c) for c in (*extra, "set")], F.col(f"m.{right_id}").alias(right_id), F.col("m.likeness").alias("likeness"))
     return keyed(left).select(left_id, *block, *extra, "set").join(back, [*block, *extra, "set"]).select(left_id, right_id, "likeness")
 
