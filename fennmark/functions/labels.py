@@ -132,3 +132,17 @@ def expanded(word: str) -> list[str]:
     """The forms of a query word: itself, without a definite ending, and with one; distinct and sorted. Of the query only, so it is plain Python."""
     bases = {word} | {word[: -len(e)] for e in DEFINITE if word.endswith(e) and len(word) - len(e) >= 4}
     return sorted(bases | {b + e for b in bases for e in DEFINITE})
+
+
+def action_of(kind: Column, kinds: dict[str, str], number: Column, day: Column, authors: Column) -> Column:
+    """A document as an action: its kind, the names of its authors, and their parties, distinct and in order. Null for an unknown kind, or without a number or a day."""
+    known = label(kind, kinds)
+    named = F.filter(authors, lambda a: F.btrim(filled(a["name"])) != "")
+    parties = F.array_sort(F.array_distinct(F.transform(F.filter(named, lambda a: a["party"].isNotNull()), lambda a: F.lower(a["party"]))))
+    action = F.struct(known.alias("kind"), number.alias("number"), day.alias("day"), F.transform(named, lambda a: F.btrim(a["name"])).alias("names"), parties.alias("parties"))
+    return F.when(kind.isin(*kinds) & number.isNotNull() & day.isNotNull(), action)
+
+
+def alert_text(rows: Column, what: Column, most: Column, last: Column) -> Column:
+    """A line of a report: how many rows of what, the largest value, the last day."""
+    return F.concat_ws(" ", rows.cast("string"), what, F.lit("highest"), most.cast("string"), F.lit("last"), last.cast("string"))

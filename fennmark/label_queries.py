@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .functions import labels
 from .functions import text as forms
-from .operators import links
+from .operators import links, reviews
 from .registry import query
 
 _MONTHS = ", ".join(f"'{m}'" for m in labels.MONTHS)
@@ -132,3 +132,29 @@ def promise_details(t):
 @query("""SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderdate, o_orderkey LIMIT 120""")
 def run_budget(t):
     return t("orders").where("o_orderstatus = 'P'").orderBy("o_orderdate", "o_orderkey").select("o_orderkey").limit(120)
+
+
+@query("""SELECT p_partkey, CASE p_type WHEN 'ECONOMY' THEN 'motion' WHEN 'SMALL' THEN 'vote' ELSE 'question' END AS kind, CASE WHEN p_size % 5 = 0 THEN 1 ELSE 2 END::INT AS names,
+    CASE WHEN p_size % 5 = 0 THEN lower(p_type) WHEN lower(p_brand) < lower(p_type) THEN lower(p_brand) || ',' || lower(p_type) ELSE lower(p_type) || ',' || lower(p_brand) END AS parties
+    FROM part WHERE p_type IN ('ECONOMY', 'SMALL', 'LARGE') AND p_size <> 3""")
+def documents_as_actions(t):
+    who = lambda name, party: F.struct(name.alias("name"), F.col(party).alias("party"))
+    authors = F.array(who(F.lit(" Ada "), "p_type"), who(F.when(F.col("p_size") % 5 == 0, " ").otherwise(F.col("p_name")), "p_brand"))
+    action = labels.action_of(F.col("p_type"), {"ECONOMY": "motion", "SMALL": "vote", "LARGE": "question"}, F.col("p_partkey"), F.when(F.col("p_size") != 3, F.col("p_size")), authors)
+    found = t("part").select(action.alias("a")).where("a IS NOT NULL")
+    return found.select(F.col("a.number").alias("p_partkey"), "a.kind", F.size("a.names").alias("names"), F.array_join("a.parties", ",").alias("parties"))
+
+
+@query("""SELECT event_type, count(*) || ' ' || event_type || ' highest ' || max(event_id) || ' last ' || max(ts)::DATE AS line FROM events GROUP BY event_type""")
+def alert_lines(t):
+    line = labels.alert_text(F.count("*"), F.col("event_type"), F.max("event_id"), F.to_date(F.max("ts")))
+    return t("events").groupBy("event_type").agg(line.alias("line"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN 'gone' WHEN p_size % 5 = 0 THEN 'empty' WHEN p_size % 3 = 0 THEN 'same' WHEN length(p_name) < 10 THEN 'short' WHEN contains(p_brand || ' ' || p_name, p_name) AND p_size % 2 = 0 THEN 'set: own text' ELSE 'set: report' END AS outcome FROM part""")
+def rationale_swaps(t):
+    size = F.col("p_size")
+    wanted = F.when(size % 5 == 0, "  ").otherwise(F.concat(F.col("p_name"), F.lit(" ")))
+    own = F.when(size % 2 == 0, F.concat_ws(" ", "p_brand", "p_name"))
+    outcome = reviews.rationale_outcome(size % 7 != 0, F.when(size % 3 == 0, F.col("p_name")), wanted, own)
+    return t("part").select("p_partkey", outcome.alias("outcome"))

@@ -7,7 +7,7 @@ A suffix array of the whole corpus would hold every byte's suffix. Here it is sp
   whose core occurs once is done with. Cores are met as 64-bit hashes in packed arrays, a bucket of them to a task;
 * of the other anchors the bytes that their windows span (the context) are kept, equal ones once. An anchor whose context occurs twice is
   repeated in full. Contexts of one core that differ are sorted as suffixes, from the anchor forwards and from it backwards, by
-  deep-shallow sorting: multikey quicksort to SHALLOW bytes, then a blind trie for each group of longer common prefix. The least
+  deep-shallow sorting: multikey quicksort to SHALLOW bytes (behind the core, which all share), then a blind trie for each group of longer common prefix. The least
   common prefix between two contexts, in both orders, tells which windows of them are equal;
 * a core with more than LISTED different contexts (the edges of a passage that very many documents share) is no group for one task. Its
   windows are dealt out one by one as hashes of 128 bits, packed like the cores.
@@ -289,7 +289,8 @@ def _prefix_matrix(strings: list[bytes]) -> np.ndarray:
 def repeated_offsets(behind: list[bytes], ahead: list[bytes], least: list[int], most: list[int]) -> list[list[int]]:
     """For each context of one core, the offsets from a window's start to its anchor at which another context has the same window: first, last, first, last, ..."""
     n = len(behind)
-    low, high = WINDOW - _prefix_matrix(ahead), _prefix_matrix(behind)
+    known = CORE if len({x[:CORE] for x in ahead}) == 1 else 0  # all begin with the core, unless two cores have one hash
+    low, high = WINDOW - known - _prefix_matrix([x[known:] for x in ahead]), _prefix_matrix(behind)
     low, high = np.maximum(low, np.array(least)[:, None]), np.minimum(high, np.array(most)[:, None])
     i, j = np.nonzero((low <= high) & ~np.eye(n, dtype=bool))
     marks = np.zeros((n, SPAN + 2), np.int32)

@@ -172,3 +172,11 @@ def date_in_address(url: Column) -> Column:
     """The day that an address names as year, month and day; null if none is real."""
     parts = F.regexp_extract(url, "((?:19|20)[0-9]{2})[/-]([0-9]{2})[/-]([0-9]{2})(?:[^0-9]|$)", 0)
     return F.try_to_date(F.translate(F.left(parts, F.lit(10)), "/", "-"), "yyyy-MM-dd") if hasattr(F, "try_to_date") else F.to_date(F.try_to_timestamp(F.translate(F.left(parts, F.lit(10)), "/", "-"), F.lit("yyyy-MM-dd")))
+
+
+def rationale_outcome(link_active: Column, now: Column, wanted: Column, own_text: Column, least: int = 10) -> Column:
+    """What becomes of a new rationale: the link is gone, nothing is said, it is what is there already, too short, or it is set, with the ground that it rests on (the action's own text, or the report)."""
+    said = F.btrim(filled(wanted))
+    ground = F.when(F.contains(verbatim_form(own_text), verbatim_form(wanted)), "set: own text").otherwise("set: report")
+    rules = [("gone", ~F.coalesce(link_active, F.lit(False))), ("empty", said == ""), ("same", said == F.btrim(filled(now))), ("short", F.char_length(said) < least)]
+    return F.when(decided(rules, "set") == "set", ground).otherwise(decided(rules, "set"))
