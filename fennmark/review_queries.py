@@ -168,14 +168,14 @@ def spoken_sources(t):
     return t("part").select("p_partkey", outcome.alias("outcome"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderdate::DATE END AS day, date_diff('day', CASE WHEN o_orderkey % 3 = 0 THEN DATE '1999-12-31' ELSE o_orderdate::DATE END, DATE '2026-08-01') ::INT AS age FROM orders""")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderdate::DATE::VARCHAR END AS day, date_diff('day', CASE WHEN o_orderkey % 3 = 0 THEN DATE '1999-12-31' ELSE o_orderdate::DATE END, DATE '2026-08-01') ::INT AS age FROM orders""")
 def page_ages(t):
     sep = F.when(F.col("o_orderkey") % 2 == 0, "/").otherwise("-")
     stamp = F.when(F.col("o_orderkey") % 3 == 0, "2024-13-45").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
     url = F.concat(F.lit("https://x.example/news/"), F.regexp_replace(stamp, "-", "#"), F.lit("/a"))
     url = F.when(sep == "/", F.replace(url, F.lit("#"), F.lit("/"))).otherwise(F.replace(url, F.lit("#"), F.lit("-")))
     day = reviews.date_in_address(url)
-    return t("orders").select("o_orderkey", day.alias("day"), reviews.page_age(F.lit("2026-08-01").cast("date"), day, F.lit("1999-12-31").cast("date")).alias("age"))
+    return t("orders").select("o_orderkey", day.cast("string").alias("day"), reviews.page_age(F.lit("2026-08-01").cast("date"), day, F.lit("1999-12-31").cast("date")).alias("age"))
 
 
 def _page_of_rows(t, kind: str):
