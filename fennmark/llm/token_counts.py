@@ -115,10 +115,10 @@ def planted(words: Vocabulary, texts: list[str]) -> list[tuple[list[int], list[i
     known = words.learnt(set().union(*pieces))
     out = []
     for p in pieces:
-        starts = range(0, max(1, len(p)), LEAF)
-        tokens = [len(known[x]) for x in p]
-        sizes = list(map(len, p))
-        out.append(([sum(sizes[k : k + LEAF]) for k in starts], [sum(tokens[k : k + LEAF]) for k in starts], len(p)))
+        starts = np.arange(0, max(1, len(p)), LEAF)
+        both = (np.fromiter(map(len, p), np.int64, len(p)), np.fromiter(map(len, map(known.__getitem__, p)), np.int64, len(p)))
+        chars, tokens = (np.add.reduceat(x, starts).tolist() if p else [0] for x in both)
+        out.append((chars, tokens, len(p)))
     return out
 
 
@@ -180,7 +180,7 @@ def count_with_edits(df: DataFrame, rounds: list, vocabulary_path: str, id_col:
     """id, n_tokens and n_pieces of each text, and after all rounds of edits (functions of the text at that time, to a column of edits) n_after, n_edits and n_resplit. The trees are kept as a table between rounds."""
     now = trees(df, vocabulary_path, id_col, text_col)
     for edits in rounds:
-        now = stored(now, "token-trees")
+        now = stored(now, "token-trees", "zstd")  # whole texts
         now = edited(now, edits(F.col("text")), vocabulary_path)
     return now.select(id_col, "n_tokens", "n_pieces", *(["n_after", "n_edits", "n_resplit"] if rounds else []))
 
