@@ -567,24 +567,3 @@ def test_pipeline_stages_do_what_their_operators_do(spark):
     holds = {d for d, t in zip(rows["doc_id"], rows["text"], strict=True) if any(x in " ".join(decontamination.normalised(t)) for x in bench)}
     assert ids(c.benchmark_passages(spark, docs, sf)) == ids(docs) - holds
     assert ids(c.secret_scans(spark, docs, sf)) == ids(docs) == ids(c.tokens(spark, docs, sf))
-
-
-def test_the_pipeline_against_its_stages_by_hand(spark, tokenizer):
-    import corpus_pipeline as c
-
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    kept = sorted(r["doc_id"] for r in quality.judged(docs).where("kept").collect())
-    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
-    first = [kept[k] for k, _, root in links_by_hand([texts[i] for i in kept]) if root == k]
-    bench = [" ".join(decontamination.normalised(r["text"])) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-    found = {r["doc_id"]: r["edits"] for r in decontamination.contaminated(docs, spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
-    exact = {i for i in first if any(b in " ".join(decontamination.normalised(texts[i])) for b in bench)}
-    assert exact <= set(found) and {i for i in first if found.get(i) == 0} == exact
-    left = docs.where(F.col("doc_id").isin([i for i in first if i not in found]))
-    want = {}
-    for r in secrets.redact(left).collect():
-        ids = tokenizer.encode(r["text"] or "", add_special_tokens=False).ids
-        want[r["doc_id"]] = (len(ids), ids)
-    got = {r["doc_id"]: (r["n_tokens"], list(r["ids"])) for r in c.run(spark, sf).collect()}
-    assert got == want
