@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from .text import filled, light_stem, tokens
 
-# Swedish months, and the endings that make a noun definite.
+# Swedish months.
 MONTHS = "januari februari mars april maj juni juli augusti september oktober november december".split()
-DEFINITE = ("en", "et", "n", "t", "na", "erna", "arna", "orna")
 
 
 def long_date(day: Column) -> Column:
@@ -128,12 +127,6 @@ def summary_sentence(stated: Column, cells: Column, parties: Column) -> Column:
     return F.when(stated == 0, "Inget parti har svarat.").otherwise(F.format_string("%d av %d svar är givna, av %d partier.", stated, cells, parties))
 
 
-def expanded(word: str) -> list[str]:
-    """The forms of a query word: itself, without a definite ending, and with one; distinct and sorted. Of the query only, so it is plain Python."""
-    bases = {word} | {word[: -len(e)] for e in DEFINITE if word.endswith(e) and len(word) - len(e) >= 4}
-    return sorted(bases | {b + e for b in bases for e in DEFINITE})
-
-
 def action_of(kind: Column, kinds: dict[str, str], number: Column, day: Column, authors: Column) -> Column:
     """A document as an action: its kind, the names of its authors, and their parties, distinct and in order. Null for an unknown kind, or without a number or a day."""
     known = label(kind, kinds)

@@ -61,6 +61,11 @@ def _stems(words: pd.Series) -> pd.Series:
     return words.map(stem, na_action="ignore")
 
 
+def stemmed(word: Column) -> Column:
+    """The stem of each word, for columns of words that hardly repeat."""
+    return _stems(word)
+
+
 def with_stems(df: DataFrame, word: str) -> DataFrame:
     """`df` with a column `stem`. Each distinct word is stemmed once and joined back; a null word has a null stem."""
     each = df.select(F.col(word).alias("__w")).where("__w IS NOT NULL").distinct().withColumn("stem", _stems("__w"))

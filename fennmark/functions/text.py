@@ -68,9 +68,14 @@ def loose_form(text: Column) -> Column:
     return F.btrim(F.regexp_replace(F.lower(filled(text)), "[^\\p{L}\\p{N}]+", " "))
 
 
+def all_tokens(text: Column, least: int = 3) -> Column:
+    """The words of at least so many letters or digits, lower-case, in order, repeated ones kept."""
+    return F.filter(F.split(F.lower(composed(filled(text))), NOT_KEPT + "+"), lambda w: F.char_length(w) >= least)
+
+
 def tokens(text: Column) -> Column:
-    """The distinct words of more than two letters or digits, lower-case, in order of occurrence."""
-    return F.array_distinct(F.filter(F.split(F.lower(composed(filled(text))), NOT_KEPT + "+"), lambda w: F.char_length(w) > 2))
+    """The distinct words of more than two letters or digits, in order of occurrence."""
+    return F.array_distinct(all_tokens(text))
 
 
 def terms(text: Column, short_words: tuple[str, ...] = ()) -> Column:
@@ -173,11 +178,24 @@ def page_with(pages: Column, quote: Column, first_page: int = 1) -> Column:
 
 
 def longest_run(text: Column, quote: Column, least: int = 5) -> Column:
-    """The longest run of words of the quote that the text still holds, of `least` words or more, the earliest of equal ones; null if there is none."""
+    """The longest run of words of the quote that the text still holds, of `least` words or more, the earliest of equal ones; null if there is none.
+
+    A window moves over the quote's words: it takes in the next word while the text holds it, else lets go of its first. Part of what a text holds it holds too, so no longer run is
+    missed; there are two steps a word at most, and nothing but the window and the best run so far is kept."""
 
     def longest(form: Column, words: Column) -> Column:
-        runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size(words)), lambda a: F.transform(F.sequence(a, F.size(words)), lambda b: F.struct((b - a + 1).alias("n"), (-a).alias("at"), F.array_join(F.slice(words, a, b - a + 1), " ").alias("run")))))
-        return F.array_max(F.filter(runs, lambda r: (r["n"] >= least) & F.contains(form, r["run"])))["run"]
+        def step(at: Column, _: Column) -> Column:
+            size = at["end"] - at["start"]
+            held = (at["end"] < F.size(words)) & F.contains(form, F.array_join(F.slice(words, at["start"] + 1, size + 1), " "))
+            better = held & (size + 1 > at["size"])
+            return F.struct(
+                F.when(held, at["start"]).otherwise(at["start"] + 1).alias("start"), F.when(held | (size == 0), at["end"] + 1).otherwise(at["end"]).alias("end"),
+                F.when(better, at["start"]).otherwise(at["best"]).alias("best"), F.when(better, size + 1).otherwise(at["size"]).alias("size"),
+            )
+
+        zero = F.lit(0)
+        begin = F.struct(zero.alias("start"), zero.alias("end"), zero.alias("best"), zero.alias("size"))
+        return F.aggregate(F.sequence(F.lit(1), 2 * F.size(words)), begin, step, lambda x: F.when(x["size"] >= least, F.array_join(F.slice(words, x["best"] + 1, x["size"]), " ")))
 
     return once(verbatim_form(text), lambda form: once(F.split(verbatim_form(quote), " "), lambda words: longest(form, words)))
 

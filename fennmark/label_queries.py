@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .functions import labels
 from .functions import text as forms
-from .operators import links, reviews
+from .operators import links, reviews, word_index
 from .registry import query
 
 _MONTHS = ", ".join(f"'{m}'" for m in labels.MONTHS)
@@ -99,12 +99,9 @@ def candidate_forms(t):
     return t("part").select("p_partkey", F.array_join(codes, ",").alias("codes"), labels.summary_sentence(size % 5, size, F.floor(size / 2)).alias("said"))
 
 
-_FORMS = labels.expanded("ringen")
-
-
-@query(f"""SELECT p_type, count(*) AS n FROM part WHERE len(list_intersect(string_split(p_name, ' '), {_FORMS})) > 0 GROUP BY p_type""")
+@query("""SELECT p_type, count(*) AS n FROM part WHERE len(list_intersect(string_split(p_name, ' '), ['ring', 'ringen', 'ringet'])) > 0 GROUP BY p_type""")
 def search_examples(t):
-    return t("part").where(F.arrays_overlap(F.split("p_name", " "), F.array(*map(F.lit, _FORMS)))).groupBy("p_type").agg(F.count("*").alias("n"))
+    return t("part").where(F.arrays_overlap(F.split("p_name", " "), word_index.search_forms(F.lit("ringen")))).groupBy("p_type").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT lang, count(*) FILTER (regexp_matches(text, '(^|[^\\p{L}\\p{N}])(EU|USA|AI)($|[^\\p{L}\\p{N}])')) AS with_abbreviation, count(*) AS n FROM documents GROUP BY lang""")

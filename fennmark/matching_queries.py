@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import amounts, stemming
+from .functions.text import NOT_KEPT
 from .operators import gates, history, links, matching, policy, search, votes
 from .registry import query
 
@@ -27,8 +28,11 @@ def _words(t, table: str, row: str, name: str, word: str, least: int = 4) -> Dat
     return t(table).select(F.col(row).alias(name), F.explode(search.words(F.col("text"), least)).alias(word))
 
 
+_LETTERS = NOT_KEPT.replace("[^", "[")
+
+
 def _words_sql(table: str, row: str, name: str, word: str, least: int = 4) -> str:
-    return f"(SELECT DISTINCT * FROM (SELECT {row} AS {name}, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS {word} FROM {table}) WHERE length({word}) >= {least})"
+    return f"(SELECT DISTINCT * FROM (SELECT {row} AS {name}, unnest(regexp_extract_all(lower(nfc_normalize(text)), '{_LETTERS}+')) AS {word} FROM {table}) WHERE length({word}) >= {least})"
 
 
 # Policies
@@ -238,7 +242,7 @@ def prefix_overlap(t):
 
 
 @query(f"""WITH q AS {_words_sql("benchmark", "item_id", "asked", "term")}, d AS {_words_sql("documents", "doc_id", "doc", "term")}, h AS (SELECT DISTINCT doc, term FROM
-    (SELECT doc_id AS doc, unnest(regexp_extract_all(lower(substr(text, 1, 80)), '[a-z]+')) AS term FROM documents) WHERE length(term) >= 4),
+    (SELECT doc_id AS doc, unnest(regexp_extract_all(lower(nfc_normalize(substr(text, 1, 80))), '{_LETTERS}+')) AS term FROM documents) WHERE length(term) >= 4),
     i AS (SELECT term, ln((SELECT count(*) FROM documents)::DOUBLE / count(*)) AS w FROM d GROUP BY term),
     x AS (SELECT asked, doc, w, 0 AS hit FROM q JOIN i USING (term) JOIN d USING (term) UNION ALL SELECT asked, doc, 0, 1 FROM q JOIN h USING (term)),
     s AS (SELECT asked, doc, sum(hit)::BIGINT AS hits, round(sum(w), 4) AS weight FROM x GROUP BY ALL)

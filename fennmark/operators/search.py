@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import all_tokens
+
 
 def words(text: Column, least: int = 4) -> Column:
-    """Distinct lower-case words of letters a-z with at least so many."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z]+"), lambda w: F.char_length(w) >= least))
+    """Distinct lower-case words of at least so many letters, Swedish ones among them, or digits."""
+    return F.array_distinct(all_tokens(text, least))
 
 
 def term_counts(df: DataFrame, doc: str, text: str, least: int = 4) -> DataFrame:
     """How often each word stands in each document."""
-    each = F.explode(F.filter(F.split(F.lower(F.col(text)), "[^a-z]+"), lambda w: F.char_length(w) >= least))
-    return df.select(doc, each.alias("term")).groupBy(doc, "term").agg(F.count("*").alias("n"))
+    return df.select(doc, F.explode(all_tokens(F.col(text), least)).alias("term")).groupBy(doc, "term").agg(F.count("*").alias("n"))
 
 
 def top_terms(counts: DataFrame, doc: str, most: int) -> DataFrame:

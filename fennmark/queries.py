@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import label_queries, link_queries, matching_queries, money_queries, review_queries, text_queries  # noqa: F401  (register their queries)
+from . import batch_queries, index_queries, label_queries, link_queries, matching_queries, money_queries, review_queries, text_queries  # noqa: F401  (register their queries)
 from .functions import amounts
+from .functions.text import NOT_KEPT
 from .operators import gates, history, links, mutations, policy, search, votes
 from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from .streaming import seen
@@ -236,7 +237,7 @@ def claim_class(t):
     return t("documents").select("doc_id", gates.first_class(F.col("text"), {"amount": "[0-9]{4,}", "question": "[?]"}, "substance").alias("class"))
 
 
-_TERMS = "(SELECT doc_id, source, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents)"
+_TERMS = f"(SELECT doc_id, source, unnest(regexp_extract_all(lower(nfc_normalize(text)), '{NOT_KEPT.replace('[^', '[')}+')) AS term FROM documents)"
 
 
 @query(f"""SELECT doc_id, term, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, term) AS rank
@@ -253,8 +254,9 @@ def postings_capped(t):
 
 @query(f"""SELECT doc_id FROM {_TERMS} WHERE term IN ('with', 'avec', 'that') GROUP BY doc_id HAVING bool_or(term IN ('with', 'avec')) AND bool_or(term = 'that') ORDER BY doc_id DESC LIMIT 60""")
 def search_and_or(t):
-    pairs = t("documents").select("doc_id", F.explode(search.words(F.col("text"))).alias("term"))
-    return search.search(pairs, "doc_id", "term", [["with", "avec"], ["that"]], 60)
+    question = [["with", "avec"], ["that"]]
+    asked = F.array_intersect(search.words(F.col("text")), F.array(*[F.lit(x) for word in question for x in word]))
+    return search.search(t("documents").select("doc_id", F.explode(asked).alias("term")), "doc_id", "term", question, 60)
 
 
 @query(f"""WITH c AS (SELECT source, term, count(*) AS n FROM {_TERMS} WHERE length(term) >= 4 GROUP BY ALL),

@@ -2,19 +2,9 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-
-def _work_folder(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share. Where none is set: a temporary one in local mode, in which all run on one machine; an error elsewhere."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return f"{(found or 'file://' + os.path.join(tempfile.gettempdir(), 'fennmark-streams')).rstrip('/')}/seen-{uuid.uuid4().hex}"
+from ..stored import work_folder
 
 
 def new_keys(source: DataFrame, keys: list[str], folder: str, watermark: tuple[str, str] | None = None) -> None:
@@ -30,6 +20,6 @@ def new_keys(source: DataFrame, keys: list[str], folder: str, watermark: tuple[s
 def seen_keys(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """The distinct keys of the files at `path`, by one run of the stream."""
     schema = spark.read.parquet(path).select(*keys).schema
-    folder = _work_folder(spark)
+    folder = work_folder(spark, "seen")
     new_keys(spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]"), keys, folder)  # as a pattern, a path may be a single file
     return spark.read.schema(schema).parquet(f"{folder}/rows")
