@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import gates
+from .quotes import held
 
 
 _PIECE = 500
@@ -131,13 +132,6 @@ def ranked_candidates(asked: DataFrame, titles: DataFrame, texts: DataFrame, n_t
 
 
 def verbatim(quotes: DataFrame, texts: DataFrame, least: int = 5, most: int = 40) -> DataFrame:
-    """Quotes (quote, text) of `least` to `most` words that stand in a text (doc, text), both in lower case with white space collapsed.
-
-    The second to fourth word of such a quote are whole words wherever it stands: pairs meet on them, and the texts of those are compared."""
-    low = lambda df, i: df.select(i, F.lower(gates.collapsed(F.col("text"))).alias("t"))
-    q, d = low(quotes, "quote").withColumn("w", F.split("t", " ")).where(F.size("w").between(max(least, 5), most)), low(texts, "doc")
-    anchors = q.select("quote", F.xxhash64(F.concat_ws(" ", F.slice("w", 2, 3))).alias("g"))
-    words = d.select("doc", F.split("t", " ").alias("w")).where(F.size("w") >= 3)
-    grams = words.select("doc", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda k: F.xxhash64(F.concat_ws(" ", F.slice(F.col("w"), k, F.lit(3))))))).alias("g"))
-    pairs = grams.join(anchors, "g").select("quote", "doc").distinct()
-    return pairs.join(q.select("quote", F.col("t").alias("a")), "quote").join(d, "doc").where(F.contains("t", F.col("a"))).select("quote", "doc")
+    """Quotes (quote, text) of `least` to `most` words that stand in a text (doc, text), both in lower case with white space collapsed."""
+    low = lambda df, i: df.select(i, F.lower(gates.collapsed(F.col("text"))).alias("form"))
+    return held(low(quotes, "quote").where(F.size(F.split("form", " ")).between(least, most)), low(texts, "doc"))
