@@ -28,11 +28,11 @@ def outdated_anchors(t):
     return links.outdated(rows, rows.where(~_active()), rows.where(_active()), ["l_suppkey", "l_quantity"]).select("l_orderkey", "l_linenumber")
 
 
-@query("""WITH c AS (SELECT l_orderkey AS changed, l_suppkey, l_quantity, p_name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R' AND l_linenumber = 1 AND l_quantity > 45),
-    b AS (SELECT l_orderkey AS borrower, l_suppkey, l_quantity, p_name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'A' AND l_quantity > 45)
+@query("""WITH c AS (SELECT l_orderkey AS changed, l_suppkey, l_quantity, p_name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R' AND l_linenumber = 1),
+    b AS (SELECT l_orderkey AS borrower, l_suppkey, l_quantity, p_name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'A')
     SELECT changed, borrower, len(list_intersect(string_split(c.p_name, ' '), string_split(b.p_name, ' ')))::INT AS hits FROM c JOIN b USING (l_suppkey, l_quantity) WHERE changed <> borrower""")
 def anchor_dependents(t):
-    rows = t("lineitem").where("l_quantity > 45").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "l_returnflag", "l_suppkey", "l_quantity", F.split("p_name", " ").alias("words"))
+    rows = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "l_returnflag", "l_suppkey", "l_quantity", F.split("p_name", " ").alias("words"))
     changed = rows.where("l_returnflag = 'R' AND l_linenumber = 1").select(F.col("l_orderkey").alias("changed"), "l_suppkey", "l_quantity", F.col("words").alias("w"))
     pairs = changed.join(rows.where("l_returnflag = 'A'").withColumnRenamed("l_orderkey", "borrower"), ["l_suppkey", "l_quantity"]).where("changed != borrower")
     return pairs.select("changed", "borrower", links.shared_words(pairs, "w", "words").alias("hits"))
@@ -54,13 +54,14 @@ def anchors_in_order(t):
 
 
 @query("""WITH l AS (SELECT l_orderkey * 10 + l_linenumber AS link, min(l_orderkey) AS target, min(l_partkey) AS action, bool_and(l_linestatus = 'O') AS active FROM lineitem GROUP BY 1),
-    o AS (SELECT o_orderkey AS target, o_custkey % 50 AS grp, o_orderstatus <> 'F' AS live FROM orders), m AS (SELECT link, target + 1 AS too FROM l),
-    j AS (SELECT m.link, too, l.active, a.grp AS g1, b.grp AS g2, b.live, EXISTS (SELECT 1 FROM l h WHERE h.active AND h.target = too AND h.action = l.action) AS held FROM m JOIN l USING (link) LEFT JOIN o a ON a.target = l.target LEFT JOIN o b ON b.target = too)
-    SELECT link, too, array_to_string(list_filter([CASE WHEN NOT coalesce(active, false) THEN 'link' END, CASE WHEN NOT coalesce(live, false) THEN 'target' END, CASE WHEN NOT coalesce(g1 = g2, false) THEN 'group' END, CASE WHEN held THEN 'duplicate' END], lambda x: x IS NOT NULL), ',') AS faults FROM j""")
+    o AS (SELECT o_orderkey AS target, o_custkey % 50 AS grp, o_orderstatus <> 'F' AS live FROM orders), m AS (SELECT link, CASE WHEN link % 9 = 0 THEN target ELSE target + 1 END AS too, CASE WHEN link % 5 = 0 THEN 'G3 says so' ELSE repeat('because ', 8) END AS reason FROM l),
+    j AS (SELECT m.link, too, l.active, a.grp AS g1, b.grp AS g2, b.live, l.target, reason, EXISTS (SELECT 1 FROM l h WHERE h.active AND h.target = too AND h.action = l.action AND h.link <> l.link) AS held FROM m JOIN l USING (link) LEFT JOIN o a ON a.target = l.target LEFT JOIN o b ON b.target = too)
+    SELECT link, too, array_to_string(list_filter([CASE WHEN NOT coalesce(active, false) THEN 'link' END, CASE WHEN NOT coalesce(live, false) THEN 'target' END, CASE WHEN target = too THEN 'itself' END, CASE WHEN NOT coalesce(g1 = g2, false) THEN 'group' END, CASE WHEN held THEN 'duplicate' END, CASE WHEN length(trim(reason)) < 40 THEN 'short reason' END, CASE WHEN reason LIKE 'G3%' THEN 'inner code' END], lambda x: x IS NOT NULL), ',') AS faults FROM j""")
 def group_moves(t):
     rows = t("lineitem").groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("link")).agg(F.min("l_orderkey").alias("target"), F.min("l_partkey").alias("action"), F.bool_and(_active()).alias("active"))
     targets = t("orders").select(F.col("o_orderkey").alias("target"), (F.col("o_custkey") % 50).alias("grp"), (F.col("o_orderstatus") != "F").alias("live"))
-    moves = rows.select("link", (F.col("target") + 1).alias("to"))
+    reason = F.when(F.col("link") % 5 == 0, "G3 says so").otherwise(F.repeat(F.lit("because "), F.lit(8)))
+    moves = rows.select("link", F.when(F.col("link") % 9 == 0, F.col("target")).otherwise(F.col("target") + 1).alias("to"), reason.alias("reason"))
     return links.move_faults(rows, moves, targets).select("link", F.col("to").alias("too"), F.array_join("faults", ",").alias("faults"))
 
 

@@ -47,11 +47,6 @@ def crowded(df: DataFrame, group: str, most: int) -> DataFrame:
     return df.join(sizes, group)
 
 
-def interleaved(df: DataFrame, group: str, order: list[str], read: Column) -> Column:
-    """A row's number within its group, plus how much of the group has been read: sorting by it takes the groups in turns."""
-    return F.row_number().over(Window.partitionBy(group).orderBy(*order)) + read
-
-
 def page_links(df: DataFrame, page: str, html: str) -> DataFrame:
     """The distinct addresses in a page's href attributes."""
     return df.select(page, F.explode(F.regexp_extract_all(html, F.lit('href="([^"]*)"'), 1)).alias("link")).distinct()

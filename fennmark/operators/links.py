@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,15 +39,25 @@ def in_listed_order(df: DataFrame, row: str, ids: str, other: DataFrame, other_i
     return met.groupBy(row).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", value))), lambda x: x[value]).alias(value))
 
 
+#: The least characters of a reason, and the codes of inner rules that none may cite.
+LEAST_REASON, INNER_CODES = 40, r"\bb-[0-9]{4}\b|\bG[1-5]\b|\bH[1-6]\b|\bR[0-9]\b"
+
+
 def move_faults(links: DataFrame, moves: DataFrame, targets: DataFrame) -> DataFrame:
-    """`moves` (link, to) with the reasons against each: the link is gone, the new target is not active, is in another group, or has the link's action already.
-    `links`: link, target, action, active; `targets`: target, grp, live."""
+    """`moves` (link, to, reason) with what speaks against each, in this order: the link is gone, it points at no promise, the new target is not active, the link points there already, the two are not in one group,
+    the new target has the link's action from another link, the reason is short, the reason cites an inner code. `links`: link, target, action, active; `targets`: target, grp, live."""
     here = moves.join(links, "link", "left").join(targets.withColumnRenamed("grp", "from_grp").drop("live"), "target", "left")
     there = here.join(targets.select(F.col("target").alias("to"), F.col("grp").alias("to_grp"), "live"), "to", "left")
-    held = links.where("active").select(F.col("target").alias("to"), "action", F.lit(True).alias("held")).distinct()
-    checks = {"link": F.col("active"), "target": F.col("live"), "group": F.col("from_grp") == F.col("to_grp"), "duplicate": F.col("held").isNull()}
+    holders = links.where("active").groupBy(F.col("target").alias("to"), "action").agg(F.min("link").alias("one"), F.max("link").alias("another"))
+    reason = F.btrim(F.coalesce("reason", F.lit("")))
+    same = F.coalesce(F.col("target") == F.col("to"), F.lit(False))
+    held = F.coalesce((F.col("one") != F.col("link")) | (F.col("another") != F.col("link")), F.lit(False))
+    checks = {
+        "link": F.col("active"), "no promise": F.col("active").isNull() | F.col("target").isNotNull(), "target": F.col("live"), "itself": ~same, "group": F.col("from_grp") == F.col("to_grp"), "duplicate": ~held,
+        "short reason": F.char_length(reason) >= LEAST_REASON, "inner code": ~reason.rlike(INNER_CODES),
+    }
     faults = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in checks.items()]))
-    return there.join(held, ["to", "action"], "left").select("link", "to", faults.alias("faults"))
+    return there.join(holders, ["to", "action"], "left").select("link", "to", faults.alias("faults"))
 
 
 def clusters(df: DataFrame, key: Column, party: str) -> DataFrame:
@@ -146,7 +154,3 @@ def swedish_key(text: Column) -> Column:
 def seeded_sample(df: DataFrame, row: str, seed: int, n: int) -> DataFrame:
     """n rows in an order that depends on the seed and the row's id only."""
     return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(row).cast("string"))), row).limit(n)
-
-
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

@@ -17,12 +17,14 @@ def json_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def optional_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """As `json_table`; no rows if the file is missing or broken, which is found by reading it."""
+    """As `json_table`; no rows if the file is missing or broken, which is found by reading it. Any other failure is an error."""
     try:
         rows = json_table(spark, path, schema)
-        rows.count()
-    except (PySparkException, Py4JJavaError):
-        return spark.createDataFrame([], schema)
+        rows.write.format("noop").mode("overwrite").save()
+    except (PySparkException, Py4JJavaError) as e:
+        if "PATH_NOT_FOUND" in str(e) or "MALFORMED_RECORD_IN_PARSING" in str(e):
+            return spark.createDataFrame([], schema)
+        raise
     return rows
 
 
