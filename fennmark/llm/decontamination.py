@@ -3,18 +3,20 @@
 A CGK embedding walks over a sequence of bytes: at each step it writes down the byte it stands on, and goes on to the next
 byte or stays, as a random bit of the byte and the step says. Bytes that two walks share bring them together again after
 an insertion or deletion, so a small edit distance becomes a small Hamming distance between the two walks. A key
-is DRAWN steps of a walk (bit sampling); WALKS walks with KEYS keys each are the repetitions. A walk goes over some 14 bytes, and an item has one from each of its
-words on, so that its windows together are as long as the item whatever its length. Every word of every document begins a window as well. Windows of a document and an item
-that share a key are a hit; two hits of different windows at about the same place, or one where the item has few windows, are a candidate. It is
+is some drawn steps of a walk (bit sampling); several walks with several keys each are the repetitions. An item has a window from each of its
+words on, so that its windows together are as long as the item; their steps and repetitions go by the item's size (PLANS): the shorter the item, the shorter and the more.
+Every word of every document begins a window as well, and so does every character of three or more bytes, as in scripts without spaces. Windows of a document and an item
+that share a key are a hit; as many hits of different windows at about the same place as the plan asks for, or one where the item has few windows, are a candidate. It is
 verified: the least number of edits of characters between the whole item and any stretch of the document around the place.
 
-Numbers of steps and repetitions are set for a recall of 0.9 at least up to RATE. Measured over items of 12 to 60 words with random
-insertions, deletions and replacements of characters: 1.00 at 5, 10 and 15 %, 0.99 at 20 %, 0.93 at 25 % of an item's characters; edits of whole words spare more windows.
+Steps and repetitions are set for a recall of 0.9 at least up to RATE, for random insertions, deletions and replacements of characters in
+items of every size from SHORTEST bytes on (`tests/llm` measures it by size and rate); edits of whole words spare more windows. Items that are shorter
+are looked for word by word, without edits. Plans without items cost nothing.
 
 Documents are never shuffled. The items are sent to the tasks in blocks of bounded size, one pass over the documents for each block.
 
-Defined cases: a null text, or one without words, holds nothing; an item without words is in nothing; items so short that no walk
-fits are looked for word by word; repeated items and repeated documents each give their own pairs (one for each pair of ids); a null id of a
+Defined cases: a null text, or one without words, holds nothing; an item without words is in nothing; items of less than SHORTEST bytes, or of punctuation
+only, are looked for word by word; a zero byte counts as another control character; repeated items and repeated documents each give their own pairs (one for each pair of ids); a null id of a
 document is kept as null; `clean_documents` judges each row by its own text, whatever its id; empty tables give an empty result; columns other than those named are
 kept by `clean_documents` and ignored by the rest. Case of A-Z and the kind of white space do not count.
 """
@@ -23,7 +25,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from dataclasses import dataclass
+from functools import cached_property, lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,42 +38,76 @@ from .shared import arrow_bytes, limit_batches, mixed
 
 #: Edits between an item and a passage, as a share of the item's characters, up to which the passage counts.
 RATE = 0.25
-#: Steps of a walk (it goes over about half as many bytes), and steps drawn for a key.
-STEPS, DRAWN = 28, 14
-WALKS, KEYS = 2, 3
-#: Windows that must hit, of an item that has FEW or more; bytes by which the places of two hits may differ.
-HITS, FEW, NEAR = 2, 8, 40
+#: An item with FEW windows or more must have as many hits as its plan says; bytes by which the places of two hits may differ.
+FEW, NEAR = 8, 40
+#: Bytes from which an item is looked for with edits.
+SHORTEST = 12
 #: Windows of a document that are walked together, bytes of text that are normalised together.
 CHUNK, SLICE = 1 << 15, 2 << 20
 #: Candidates that are kept until they are verified, and pairs that are verified together.
 WAITING, PAIRS = 4096, 1024
-#: Items and bytes of items that a pass takes at most.
+#: Items and bytes of items that a pass takes at most; an item of fewer than SMALL bytes, which has more candidates, counts as MANY.
+SMALL, MANY = 45, 16
 MOST_ITEMS, MOST_BYTES = 20_000, 16 << 20
 
 _SPACES = re.compile("[\\x20\\x09-\\x0D]+")
-_UPPER = {c: c + 32 for c in range(65, 91)}
+_LOWER = {c: c + 32 for c in range(65, 91)} | {0: 1}
 _BITS = 22
 
-_ODD = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1 for k in range(STEPS)], np.uint64)
-
-
-def _random_bits() -> tuple[np.ndarray, list[list[list[int]]]]:
-    """Whether a walk goes on, by walk, step and byte; and the keys that are drawn at each walk and step."""
-    rng = np.random.default_rng(20240229)
-    onward = rng.integers(0, 2, (WALKS, STEPS, 256)).astype(np.int64)
-    onward[:, :, 0] = 0  # a zero ends a text: walks stay there
-    drawn: list[list[list[int]]] = [[[] for _ in range(STEPS)] for _ in range(WALKS)]
-    for key in range(WALKS * KEYS):
-        for t in rng.choice(STEPS, DRAWN, replace=False).tolist():
-            drawn[key // KEYS][t].append(key)
-    return onward, drawn
-
-
-_ONWARD, _DRAWN = _random_bits()
+_ODD = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1 for k in range(32)], np.uint64)
+
+
+@dataclass(frozen=True)
+class Plan:
+    """How items of `least` bytes and more are looked for: steps of a walk (it goes over about half as many bytes), steps drawn for a key, walks, keys of each, hits."""
+
+    least: int
+    steps: int
+    drawn: int
+    walks: int
+    keys: int
+    hits: int
+
+    @cached_property
+    def random(self) -> tuple[np.ndarray, list[list[list[int]]]]:
+        """Whether a walk goes on, by walk, step and byte; and the keys that are drawn at each walk and step."""
+        rng = np.random.default_rng(20240229)
+        onward = rng.integers(0, 2, (self.walks, self.steps, 256)).astype(np.int64)
+        onward[:, :, 0] = 0  # a zero ends a text: walks stay there
+        drawn: list[list[list[int]]] = [[[] for _ in range(self.steps)] for _ in range(self.walks)]
+        for key in range(self.walks * self.keys):
+            for t in rng.choice(self.steps, self.drawn, replace=False).tolist():
+                drawn[key // self.keys][t].append(key)
+        return onward, drawn
+
+    def window_keys(self, text: np.ndarray, starts: np.ndarray, whole: bool) -> np.ndarray:
+        """The keys of the windows that begin at `starts`, a row for each of walks * keys. With `whole`, a key that looks beyond the end of its text is 0."""
+        onward, drawn = self.random
+        keys = np.zeros((self.walks * self.keys, len(starts)), np.uint64)
+        beyond = np.zeros(keys.shape, bool) if whole else None
+        for walk in range(self.walks):
+            place = starts.copy()
+            for t in range(self.steps):
+                now = text.take(place).astype(np.int64)
+                weighed = now.view(np.uint64) * _ODD[t]
+                for key in drawn[walk][t]:
+                    keys[key] += weighed
+                    if whole:
+                        beyond[key] |= now == 0
+                place += onward[walk, t].take(now)
+        keys ^= keys >> np.uint64(31)
+        keys *= _ODD[0]
+        keys ^= np.arange(1, len(keys) + 1, dtype=np.uint64)[:, None] << np.uint64(40)
+        if whole:
+            keys[beyond] = 0
+        return keys
+
+
+PLANS = [Plan(SHORTEST, 16, 8, 8, 5, 1), Plan(26, 20, 10, 4, 6, 1), Plan(SMALL, 20, 10, 4, 6, 2), Plan(80, 26, 12, 2, 6, 2)]
 
 
 def normalised(text: str) -> list[str]:
-    return [x for x in _SPACES.split(text.translate(_UPPER)) if x]
+    return [x for x in _SPACES.split(text.translate(_LOWER)) if x]
 
 
 def normalised_bytes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,6 +118,7 @@ def normalised_bytes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     flat = data[keep]
     flat = flat + ((flat >= 65) & (flat <= 90)).view(np.uint8) * np.uint8(32)
     flat[space[keep]] = 32
+    flat[flat == 0] = 1
     ends = np.r_[0, np.cumsum(np.add.reduceat(np.r_[keep, False].view(np.uint8), offsets[:-1], dtype=np.int64) * (np.diff(offsets) > 0))] if len(offsets) > 1 else offsets
     begins = ends + np.arange(len(ends))
     out = np.zeros(begins[-1], np.uint8)
@@ -89,32 +127,11 @@ def normalised_bytes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     return out, begins
 
 
-def word_starts(text: np.ndarray) -> np.ndarray:
-    word = text > 32
-    word[1:] &= text[:-1] <= 32
-    return np.flatnonzero(word)
-
-
-def walk_keys(text: np.ndarray, starts: np.ndarray, whole: bool) -> np.ndarray:
-    """The keys of the windows that begin at `starts`, a row for each of WALKS * KEYS. With `whole`, a key that looks beyond the end of its text is 0."""
-    keys = np.zeros((WALKS * KEYS, len(starts)), np.uint64)
-    beyond = np.zeros(keys.shape, bool) if whole else None
-    for walk in range(WALKS):
-        place = starts.copy()
-        for t in range(STEPS):
-            now = text.take(place).astype(np.int64)
-            weighed = now.view(np.uint64) * _ODD[t]
-            for key in _DRAWN[walk][t]:
-                keys[key] += weighed
-                if whole:
-                    beyond[key] |= now == 0
-            place += _ONWARD[walk, t].take(now)
-    keys ^= keys >> np.uint64(31)
-    keys *= _ODD[0]
-    keys ^= np.arange(1, len(keys) + 1, dtype=np.uint64)[:, None] << np.uint64(40)
-    if whole:
-        keys[beyond] = 0
-    return keys
+def window_starts(text: np.ndarray) -> np.ndarray:
+    """Letters and digits behind anything else of ASCII, and characters of three or more bytes."""
+    start = text >= 48
+    start[1:] &= (text[:-1] < 48) | (text[1:] >= 0xE0)
+    return np.flatnonzero(start)
 
 
 def edits(patterns: list[str], texts: list[str]) -> np.ndarray:
@@ -173,38 +190,30 @@ def _edits_of_words(w: int, patterns: list[str], texts: list[str]) -> np.ndarray
     return best
 
 
-class Items:
-    """A block of items with the keys of their windows, sorted."""
+class Windows:
+    """The keys, sorted, of the windows of those items of a block that a plan takes."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
-        self.ids = ids
-        self.texts = [" ".join(normalised(t)) for t in texts]
-        text, begins = normalised_bytes(*arrow_bytes(pa.array(self.texts, pa.string())))
-        starts = word_starts(text)
+    def __init__(self, plan: Plan, text: np.ndarray, begins: np.ndarray, taken: np.ndarray):
+        self.plan = plan
+        starts = window_starts(text)
         item = np.searchsorted(begins, starts, "right") - 1
-        keys = walk_keys(text, starts, whole=True)
+        starts, item = starts[taken[item]], item[taken[item]]
+        keys = plan.window_keys(text, starts, whole=True)
         key, at = np.nonzero(keys)
         order = np.argsort(keys[key, at], kind="stable")
         self.keys = keys[key, at][order]
         self.item, self.start = item[at][order].astype(np.int32), (starts - begins[item])[at][order].astype(np.int32)
-        windows = np.bincount(item[keys.any(0)], minlength=len(ids))
-        self.needed = np.where(windows >= FEW, HITS, 1)
+        self.of_item = np.bincount(item[keys.any(0)], minlength=len(taken))
+        self.needed = np.where(self.of_item >= FEW, plan.hits, 1)
         self.maybe = np.zeros(1 << _BITS, bool)
         self.maybe[(self.keys >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-        hashes, bounds, _ = _words(text, begins)
-        self.plain: dict[int, dict[int, list[int]]] = {}
-        for k in np.flatnonzero(windows == 0).tolist():
-            a, b = bounds[k], bounds[k + 1]
-            if b > a:
-                self.plain.setdefault(int(b - a), {}).setdefault(int(sequence_hashes(hashes[a:b], b - a)[0]), []).append(k)
 
-    def hits(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def hits(self, text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place in `text` where the item would begin, item, place of the window in the item) of every hit."""
         out: list[tuple] = [(np.zeros(0, np.int64),) * 3]
-        starts = word_starts(text)
-        for at in range(0, len(starts) if len(self.keys) else 0, CHUNK):
+        for at in range(0, len(starts), CHUNK):
             some = starts[at : at + CHUNK]
-            keys = walk_keys(text, some, whole=False)
+            keys = self.plan.window_keys(text, some, whole=False)
             draw, which = np.nonzero(self.maybe[(keys >> np.uint64(64 - _BITS)).astype(np.int64)])
             key = keys[draw, which]
             low, high = np.searchsorted(self.keys, key, "left"), np.searchsorted(self.keys, key, "right")
@@ -214,9 +223,9 @@ class Items:
             out.append((np.repeat(some[which], counts) - start, self.item[entry].astype(np.int64), start))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
-    def candidates(self, text: np.ndarray, begins: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    def candidates(self, text: np.ndarray, begins: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(row, item, first and last place where the item may begin) with hits of enough different windows."""
-        place, item, start = self.hits(text)
+        place, item, start = self.hits(text, starts)
         row = np.searchsorted(begins, np.clip(place + start, 0, None), "right") - 1
         order = np.lexsort((place, item, row))
         place, item, start, row = place[order], item[order], start[order], row[order]
@@ -225,14 +234,38 @@ class Items:
         windows = np.unique(np.stack([group, start]), axis=1)[0] if len(group) else group
         enough = np.flatnonzero(np.bincount(windows, minlength=len(cuts) - 1) >= self.needed[item[cuts[:-1]]])
         yield from zip(row[cuts[enough]].tolist(), item[cuts[enough]].tolist(), place[cuts[enough]].tolist(), place[cuts[enough + 1] - 1].tolist(), strict=True)
+
+
+class Items:
+    """A block of items: the windows of each plan, and the items that are looked for word by word."""
+
+    def __init__(self, ids: list[int], texts: list[str]):
+        self.ids = ids
+        self.texts = [" ".join(normalised(t)) for t in texts]
+        text, begins = normalised_bytes(*arrow_bytes(pa.array(self.texts, pa.string())))
+        plan = np.searchsorted([p.least for p in PLANS], np.diff(begins) - 1, "right") - 1
+        every = [Windows(p, text, begins, plan == k) for k, p in enumerate(PLANS) if (plan == k).any()]
+        self.windows = [w for w in every if len(w.keys)]
+        hashes, bounds, _ = _words(text, begins)
+        self.plain: dict[int, dict[int, list[int]]] = {}
+        for k in np.flatnonzero(sum((w.of_item for w in self.windows), np.zeros(len(ids), np.int64)) == 0).tolist():
+            a, b = bounds[k], bounds[k + 1]
+            if b > a:
+                self.plain.setdefault(int(b - a), {}).setdefault(int(sequence_hashes(hashes[a:b], b - a)[0]), []).append(k)
+
+    def candidates(self, text: np.ndarray, begins: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(row, item, first and last place where the item may begin)."""
+        starts = window_starts(text)
+        for windows in self.windows:
+            yield from windows.candidates(text, begins, starts)
         if self.plain:
-            hashes, bounds, starts = _words(text, begins)
+            hashes, bounds, places = _words(text, begins)
             for n, known in self.plain.items():
                 found = sequence_hashes(hashes, n)
                 for p in np.flatnonzero(np.isin(found, np.array(list(known), np.uint64))).tolist():
                     r = int(np.searchsorted(bounds, p, "right")) - 1
                     if p + n <= bounds[r + 1]:
-                        yield from ((r, k, int(starts[p]), int(starts[p])) for k in known[int(found[p])])
+                        yield from ((r, k, int(places[p]), int(places[p])) for k in known[int(found[p])])
 
 
 def _words(text: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -297,7 +330,8 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator:
     """The distinct items, as broadcast blocks."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.col(item_col).cast("bigint").alias("item_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).distinct()
-    n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    short = F.octet_length(F.regexp_replace("text", "[\\x20\\x09-\\x0D]+", " ")) < SMALL
+    n, size = items.agg(F.coalesce(F.sum(F.when(short, MANY).otherwise(1)), F.lit(0)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     blocks = max(-(-n // MOST_ITEMS), -(-size // MOST_BYTES), 1)
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).toArrow().sort_by([("item_id", "ascending"), ("text", "ascending")])
