@@ -40,6 +40,8 @@ from .shared import arrow_bytes, limit_batches, mixed
 RATE = 0.25
 #: An item with FEW windows or more must have as many hits as its plan says; bytes by which the places of two hits may differ.
 FEW, NEAR = 8, 40
+#: One window in so many must hit, where that is more than the plan asks for.
+SHARE = 9
 #: Bytes from which an item is looked for with edits.
 SHORTEST = 12
 #: Windows of a document that are walked together, bytes of text that are normalised together.
@@ -103,7 +105,7 @@ class Plan:
         return keys
 
 
-PLANS = [Plan(SHORTEST, 16, 8, 8, 5, 1), Plan(26, 20, 10, 4, 6, 1), Plan(SMALL, 20, 10, 4, 6, 2), Plan(80, 26, 12, 2, 6, 2)]
+PLANS = [Plan(SHORTEST, 16, 8, 8, 5, 1), Plan(26, 20, 10, 4, 6, 1), Plan(SMALL, 20, 10, 4, 6, 2), Plan(80, 28, 14, 3, 4, 2)]
 
 
 def normalised(text: str) -> list[str]:
@@ -135,11 +137,13 @@ def window_starts(text: np.ndarray) -> np.ndarray:
 
 
 def edits(patterns: list[str], texts: list[str]) -> np.ndarray:
-    """The least edit distance between each pattern and any stretch of its text: bit-parallel columns, for all pairs together, by the patterns' number of 64-bit words."""
+    """The least edit distance between each pattern and any stretch of its text: bit-parallel columns, for all pairs together, by the patterns' number of 64-bit words and the lengths of the texts."""
     out = np.array([len(p) for p in patterns], np.int64)
+    lengths = np.array([len(t) for t in texts], np.int64)
     words = -(-out // 64)
     for w in np.unique(words[words > 0]).tolist():
         some = np.flatnonzero(words == w)
+        some = some[np.argsort(lengths[some], kind="stable")]
         for at in range(0, len(some), PAIRS):
             part = some[at : at + PAIRS].tolist()
             out[part] = _edits_of_words(w, [patterns[k] for k in part], [texts[k] for k in part])
@@ -204,7 +208,7 @@ class Windows:
         self.keys = keys[key, at][order]
         self.item, self.start = item[at][order].astype(np.int32), (starts - begins[item])[at][order].astype(np.int32)
         self.of_item = np.bincount(item[keys.any(0)], minlength=len(taken))
-        self.needed = np.where(self.of_item >= FEW, plan.hits, 1)
+        self.needed = np.where(self.of_item >= FEW, np.maximum(plan.hits, self.of_item // SHARE), 1)
         self.maybe = np.zeros(1 << _BITS, bool)
         self.maybe[(self.keys >> np.uint64(64 - _BITS)).astype(np.int64)] = True
 
