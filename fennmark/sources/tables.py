@@ -28,6 +28,22 @@ def optional_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows
 
 
+class TableFolder:
+    """Readers of a folder's tables by name: `folder.parties` is the file `parties.json` with its schema. A table is read when it is first asked for, and once; a missing or broken
+    one is an error unless its name is in `optional`. Names without a schema are no tables."""
+
+    def __init__(self, spark: SparkSession, folder: str, schemas: dict[str, str], optional: tuple[str, ...] = ()):
+        self._spark, self._folder, self._schemas, self._optional = spark, folder, schemas, optional
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or name not in self._schemas:
+            raise AttributeError(f"no table {name}")
+        read = optional_table if name in self._optional else json_table
+        rows = read(self._spark, f"{self._folder}/{name}.json", self._schemas[name])
+        setattr(self, name, rows)
+        return rows
+
+
 def unarchived(df: DataFrame, column: str = "archived") -> DataFrame:
     """Rows that are not marked as archived; a null is not marked."""
     return df.where(~F.coalesce(F.col(column), F.lit(False)))
