@@ -30,6 +30,8 @@ from .shared import limit_batches
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: A task keeps the tokens of so many pre-tokens at most.
 MOST_KEPT = 300_000
+#: Characters that are split into pieces at once; a longer text is split by itself.
+SLICE = 1 << 20
 _NONE = np.iinfo(np.int32).max
 
 
@@ -121,11 +123,17 @@ class Vocabulary:
         return list(chain.from_iterable([x] if x in self.added else self._pre_tokens.findall(x) for x in self._split_added.split(text)))
 
     def encode_batch(self, texts: list[str]) -> Iterator[list[int]]:
-        """The ids of each text."""
-        pieces = [self.pieces(t) for t in texts]
-        kept = self.learnt(set().union(*pieces))
-        for x in pieces:
-            yield list(chain.from_iterable(map(kept.__getitem__, x)))
+        """The ids of each text. Texts are split in slices, as their pieces take some ten times their room."""
+        at = 0
+        while at < len(texts):
+            size, end = len(texts[at]), at + 1
+            while end < len(texts) and size + len(texts[end]) <= SLICE:
+                size, end = size + len(texts[end]), end + 1
+            pieces = [self.pieces(t) for t in texts[at:end]]
+            kept = self.learnt(set().union(*pieces))
+            for x in pieces:
+                yield list(chain.from_iterable(map(kept.__getitem__, x)))
+            at = end
 
     def learnt(self, pieces: set[str]) -> dict[str, tuple[int, ...]]:
         """The tokens of these pre-tokens at least, from what is kept of earlier batches and a merge of the new ones."""
