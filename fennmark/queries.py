@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import batch_queries, import_queries, index_queries, label_queries, link_queries, matching_queries, money_queries, page_queries, promise_queries, review_queries, stance_queries, state_queries, statement_queries, text_queries  # noqa: F401  (register their queries)
+from . import batch_queries, claim_queries, import_queries, index_queries, label_queries, link_queries, matching_queries, money_queries, page_queries, promise_queries, review_queries, stance_queries, state_queries, statement_queries, text_queries  # noqa: F401  (register their queries)
 from .functions import amounts
 from .functions.text import NOT_KEPT
 from .operators import gates, history, links, mutations, policy, search, votes
