@@ -18,7 +18,7 @@ def order_labels(t):
 
 
 @query("""SELECT p_partkey, CASE WHEN lower(p_type) LIKE '%parti%' THEN 'party' WHEN lower(p_type) LIKE '%kommitt%' THEN 'committee' WHEN lower(p_type) LIKE '%enskild%' THEN 'single' WHEN p_size % 4 > 1 THEN 'committee' ELSE 'single' END AS kind,
-    CASE WHEN regexp_matches(left(p_name, 2), '^[a-zåäö]{2}$') THEN left(p_name, 2) ELSE '_' END AS words, CASE WHEN p_size = 7 THEN 'rest' ELSE lpad((p_partkey // 100)::VARCHAR, 3, '0') END AS numbers,
+    CASE WHEN regexp_matches(left(p_name, 2), '^[a-zåäö]{2}$') THEN left(p_name, 2) ELSE '_' END AS words, CASE WHEN p_size = 7 THEN 'rest' ELSE lpad((p_partkey // 100)::VARCHAR, greatest(3, length((p_partkey // 100)::VARCHAR))::INT, '0') END AS numbers,
     CASE WHEN 'Brand#' || try_cast(substr(p_brand, 7) AS BIGINT)::VARCHAR = p_brand THEN try_cast(substr(p_brand, 7) AS BIGINT) END AS number, CASE WHEN p_type NOT IN ('SMALL', 'LARGE') THEN p_type END AS committee FROM part""")
 def part_keys(t):
     number = F.when(F.col("p_size") != 7, F.col("p_partkey"))

@@ -186,3 +186,11 @@ def test_a_text_that_begins_with_much_longer_ones_head_is_not_held(spark):
     assert matching.quote_duplicates(rows("left", base), rows("right", base[:310])).isEmpty()  # more than twice as long
     assert matching.quote_duplicates(rows("left", base[:310]), rows("right", base)).isEmpty()
     assert sorted(map(tuple, matching.quote_duplicates(rows("left", base), rows("right", base[:315])).collect())) == [(1, 1)]
+
+
+def test_shards_of_large_keys_are_not_cut(spark, tmp_path):
+    rows = duckdb.sql("SELECT * REPLACE (12345600 + p_partkey AS p_partkey) FROM '/root/testdata/sf0.001/part.parquet'")
+    rows.write_parquet(str(tmp_path / "part.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet'")
+    assert compare.rows_of(QUERIES["part_keys"](spark, str(tmp_path)).toPandas()) == compare.rows_of(con.sql(ORACLE_SQL["part_keys"]).df())
