@@ -31,8 +31,10 @@ from .shared import limit_batches, stored
 #: Rows that the centroids are fitted on, at most: those with the smallest hashes of their ids.
 SAMPLE = 16_384
 MOST_CENTROIDS, MOST_LISTS, LEAST_LIST = 1024, 8192, 512
-#: Queries that are compared with all lists, or sent to one list, in one step.
-STEP = 512
+#: Queries that are compared with a list in one step, and sent to it in one row. Rows are read back by thousands, so they stay narrow.
+STEP, SENT = 512, 64
+#: Bounds (of queries with lists) that are computed in one step, and rows sent in one batch.
+CELLS, ROWS = 1 << 20, 1024
 #: Lists that a query visits in the first round; each round goes so many times as far as the one before.
 FIRST_ROUND, GROWTH = 8, 8
 _NONE = -(1 << 62)
@@ -77,8 +79,8 @@ def centroids_of(x: np.ndarray, k: int, steps: int = 8, seed: int = 0) -> np.nda
 
 
 def nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    squares = (c * c).sum(1)[None] - 2 * (x @ c.T)
-    at = squares.argmin(1)
+    lengths, step = (c * c).sum(1)[None], max(1, CELLS // len(c))
+    at = np.concatenate([(lengths - 2 * (x[k : k + step] @ c.T)).argmin(1) for k in range(0, len(x), step)] or [np.zeros(0, np.int64)])
     return at, np.sqrt(((x - c[at]) ** 2).sum(1))
 
 
@@ -159,22 +161,29 @@ _VISIT = "list_id bigint, " + ", ".join(f"q_{k} binary" for k in (*_SENT, "v"))
 
 
 def visited(queries: DataFrame, summary: Summary, dims: int, start: int, end: int) -> DataFrame:
-    """A row for each list and each STEP queries, at most, that visit it."""
+    """A row for each list and each SENT queries, at most, that visit it, by anchor; q_v has the vector of each anchor once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("list_id", pa.int64()), *((f"q_{k}", pa.binary()) for k in (*_SENT, "v"))])
+        step = max(16, min(STEP, CELLS // len(summary.ids)))
         for batch in batches:
-            for piece in (batch.slice(k, STEP) for k in range(0, batch.num_rows, STEP)):
+            batch = batch.sort_by("anchor_id")
+            for piece in (batch.slice(k, step) for k in range(0, batch.num_rows, step)):
                 col = {k: np.asarray(piece.column(k)) for k in (*_SENT, "kth_id")}
-                v = matrix(piece.column("v"), dims)
+                v = matrix(piece.column("v"), dims).astype(np.int32)
                 query, lists = summary.visits(v, *(col[k] for k in ("lo", "hi", "kth", "kth_id")), start, end)
                 order = np.argsort(lists, kind="stable")
                 query, lists = query[order], lists[order]
-                edges = np.flatnonzero(np.diff(lists)) + 1
+                edges = [0, *(np.flatnonzero(np.diff(lists)) + 1).tolist(), len(lists)]
                 out = []
-                for part in np.split(np.arange(len(lists)), edges) if len(lists) else []:
-                    of = query[part]
-                    out.append({"list_id": int(summary.ids[lists[part[0]]]), "q_v": v[of].astype(np.int32).tobytes()} | {f"q_{k}": col[k][of].tobytes() for k in _SENT})
+                for a, b in ((k, min(k + SENT, b)) for a, b in zip(edges, edges[1:], strict=False) for k in range(a, b, SENT)):
+                    of = query[a:b]
+                    anchors = col["anchor_id"][of]
+                    first = of[np.r_[True, anchors[1:] != anchors[:-1]]]
+                    out.append({"list_id": int(summary.ids[lists[a]]), "q_v": v[first].tobytes()} | {f"q_{k}": col[k][of].tobytes() for k in _SENT})
+                    if len(out) == ROWS:
+                        yield pa.RecordBatch.from_pylist(out, schema)
+                        out = []
                 if out:
                     yield pa.RecordBatch.from_pylist(out, schema)
 
@@ -188,14 +197,15 @@ def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return q.astype(np.int64) @ x.astype(np.int64).T
 
 
-def best_of_list(row: dict, dims: int, k: int, same_label: bool) -> tuple[np.ndarray, ...]:
-    """anchor, positive, id and score of the best k rows of a list for each query that visits it."""
+def best_of_list(row: dict, visits: list[dict], dims: int, k: int, same_label: bool) -> tuple[np.ndarray, ...]:
+    """anchor, positive, id and score of the best k rows of a list for each query of the rows that visit it."""
     ids, labels = (np.frombuffer(row[c], np.int64) for c in ("ids", "labels"))
     x = np.frombuffer(row["vectors"], np.int32).reshape(len(ids), dims)
-    anchor, positive, label, lo, hi, kth = (np.frombuffer(row[f"q_{c}"], np.int64) for c in _SENT)
-    q = np.frombuffer(row["q_v"], np.int32).reshape(len(anchor), dims)
-    _, first, of = np.unique(anchor, return_index=True, return_inverse=True)
-    score = products(q[first], x)[of]
+    anchor, positive, label, lo, hi, kth = (np.frombuffer(b"".join(v[f"q_{c}"] for v in visits), np.int64) for c in _SENT)
+    q = np.frombuffer(b"".join(v["q_v"] for v in visits), np.int32).reshape(-1, dims)
+    begins = np.r_[True, anchor[1:] != anchor[:-1]]  # a vector for each anchor of a row of visits
+    begins[np.cumsum([len(v["q_label"]) // 8 for v in visits[:-1]], dtype=np.int64)] = True
+    score = products(q, x)[np.cumsum(begins) - 1]
     fine = ((labels[None] == label[:, None]) == same_label) & (ids[None] != anchor[:, None]) & (score >= np.maximum(lo, kth)[:, None]) & (score <= hi[:, None])
     if len(ids) > k:
         masked = np.where(fine, score, _NONE)
@@ -216,11 +226,24 @@ def best_rows(queries: DataFrame, lists: DataFrame, summary: Summary, dims: int,
     by_score = Window.partitionBy(*keys).orderBy(F.desc("score"), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k_row in range(batch.num_rows):
-                found = best_of_list(batch.slice(k_row, 1).to_pylist()[0], dims, k, same_label)
-                if len(found[0]):
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=[*keys, "id", "score"])
+        """Each list, then what visits it, as they come: one list is held, and STEP queries."""
+        now, visits, n = None, [], 0
+        for row in (batch.slice(at, 1).to_pylist()[0] for batch in batches for at in range(batch.num_rows)):
+            if visits and (row["ids"] is not None or n >= STEP):
+                yield from best_of(now, visits)
+                visits, n = [], 0
+            if row["ids"] is not None:
+                now = row
+            else:
+                visits.append(row)
+                n += len(row["q_label"]) // 8
+        if visits:
+            yield from best_of(now, visits)
+
+    def best_of(now: dict, visits: list[dict]) -> Iterator[pa.RecordBatch]:
+        found = best_of_list(now, visits, dims, k, same_label)
+        if len(found[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=[*keys, "id", "score"])
 
     best = spark.createDataFrame([], "anchor_id bigint, positive_id bigint, id bigint, score bigint, place int")
     start, end = 0, FIRST_ROUND
@@ -230,7 +253,9 @@ def best_rows(queries: DataFrame, lists: DataFrame, summary: Summary, dims: int,
         visits = stored(visited(open_, summary, dims, start, end), "visits")
         if visits.isEmpty():
             break
-        found = visits.join(lists, "list_id").mapInArrow(run, "anchor_id bigint, positive_id bigint, id bigint, score bigint")
+        both = lists.select("list_id", "ids", "labels", "vectors").unionByName(visits, allowMissingColumns=True)
+        met = both.repartition("list_id").sortWithinPartitions("list_id", F.col("ids").isNull())  # a list comes before its visits
+        found = met.mapInArrow(run, "anchor_id bigint, positive_id bigint, id bigint, score bigint")
         best = stored(best.drop("place").unionByName(found).withColumn("place", F.row_number().over(by_score)).where(F.col("place") <= k), "best")
         start, end = end, end * GROWTH
     return best

@@ -85,6 +85,18 @@ def test_large_components_are_exact(spark):
     assert mined(spark, rows) == mined_by_hand(rows)
 
 
+def test_rows_of_visits_stay_narrow_and_hold_a_vector_once(spark):
+    rng = np.random.default_rng(3)
+    rows = negatives.whole_vectors(spark.createDataFrame([(i, rng.normal(size=5).tolist(), 1, "", "") for i in range(300)], VECTORS), "vec_id", "embedding", F.col("label"), 256)
+    summary = negatives.Summary(negatives.inverted_lists(rows, 300, 5))
+    queries = rows.select(F.col("vec_id").alias("anchor_id"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(4).cast("bigint"))).alias("positive_id"), "label", F.lit(-(1 << 62)).alias("lo"), F.lit(1 << 62).alias("hi"), "v")
+    queries = queries.withColumns({"kth": F.lit(-(1 << 62)), "kth_id": F.lit(-(1 << 62))})
+    found = negatives.visited(queries, summary, 5, 0, 1000).collect()
+    assert sum(len(r.q_label) // 8 for r in found) == 1500 * len(summary.ids)
+    for r in found:
+        assert len(r.q_label) <= 64 * 8 and len(r.q_v) == 4 * 5 * len(set(np.frombuffer(r.q_anchor_id, np.int64).tolist()))
+
+
 def test_bounds_hold(spark):
     rng = np.random.default_rng(7)
     rows = negatives.whole_vectors(spark.createDataFrame([(i, rng.normal(size=5).tolist(), 1, "", "") for i in range(300)], VECTORS), "vec_id", "embedding", F.col("label"), 256)
