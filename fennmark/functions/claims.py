@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .money import bounded
-from .text import filled, verbatim_form
+from .text import BLANKS, INVISIBLE, filled, verbatim_form
 
 #: The edge of a word of ASCII letters, digits and underscores; other letters do not count as parts of words.
 EDGE = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
@@ -32,6 +32,13 @@ COMMITMENT = (
 )
 REJECTION = r"(?iu)^Riksdagen avslår motion(?:erna)?\b"
 PARLIAMENT = r"(?iu)(Riksdagen ställer sig bakom det som anförs|tillkännager detta för regeringen|detta tillkännager riksdagen|Riksdagen (avslår|antar|anvisar|bifaller)\b)"
+#: With what a match of each expression begins, so that most places in a text are passed by after one look. COMMITMENT's second one begins with anything.
+FIRST = {
+    ONE_OFF: "eiåsgu", RECURRING: "åpov/", UNIT_PRICE: "p/i", COMPLETED[0]: "h", COMPLETED[1]: "v", COMPLETED[2]: "s", COMPLETED[3]: "hsiagbt", COMPLETED[4]: "d", COMPLETED[5]: "\\s(äah",
+    COMMITMENT[0]: "vsbkltaf", COMMITMENT[2]: "n", COMMITMENT[3]: "s", PARLIAMENT: "rtd",
+}
+#: Other characters that are letters of these in either case, by Unicode's rules.
+_ALIKE = "\u0130\u0131\u017f\u212a\u212b"
 SPOKEN_HOSTS = ("svtplay.se", "svt.se/video", "youtube.com", "youtu.be", "tv4play.se", "play.tv4.se", "sverigesradio.se", "podcasts.apple.com", "open.spotify.com", "vimeo.com", "facebook.com/watch")
 TYPES, PERIODS = ("utgift", "intäktsminskning", "besparing", "intäktsökning"), ("per_ar", "engang")
 NO_NOTE, SET_ONCE = "LLM-estimat utan angivet belopp i källtext.", " [period satt till engang: engångssignal i löftet]"
@@ -40,7 +47,8 @@ _BLANKS = " \n\r\t"
 
 
 def _said(text: Column, *patterns: str) -> Column:
-    found = [filled(text).rlike(p.replace(r"\b", EDGE)) for p in patterns]
+    look = lambda p: f"(?=[{FIRST[p]}{FIRST[p].replace(chr(92) + 's', '').upper()}{_ALIKE}])" if p in FIRST else ""
+    found = [filled(text).rlike(f"{look(p)}(?:{p})".replace(r"\b", EDGE)) for p in patterns]
     out = found[0]
     for other in found[1:]:
         out = out | other
@@ -69,7 +77,8 @@ def completed_policy(quote: Column) -> Column:
 
 def only_rejects(quote: Column) -> Column:
     """Whether a decision says only that motions fall."""
-    return verbatim_form(quote).rlike(REJECTION.replace(r"\b", EDGE))
+    begins = quote.rlike(f"^{BLANKS[:-1]}*(?:{INVISIBLE}{BLANKS[:-1]}*)*[Rr]")  # no form of another text begins so
+    return F.coalesce(begins, F.lit(False)) & verbatim_form(quote).rlike(REJECTION.replace(r"\b", EDGE))
 
 
 def parliament_phrased(quote: Column) -> Column:

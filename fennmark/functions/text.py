@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 INVISIBLE = "[­᠎​-‏‪-‮⁠-⁤⁦-⁩﻿]"
 UNIFIED = {"[‘’‚‛′]": "'", "[“”„‟″«»]": '"', "[‐-―−]": "-", "…": "..."}
 BLANKS = "[\t\n\u000b\u000c\r    -     　]+"
+#: Any character that `verbatim_form` composes, drops or unifies; ASCII is told apart first.
+_MARKED = "[\u00ab-\uffff&&[\u0300-\u036f" + INVISIBLE + "".join(UNIFIED) + "]]"
+#: Runs of white space but for a blank alone, which stays as it is.
+_RUNS = " " + BLANKS + "|[\t-\r]" + BLANKS[:-1] + "*|[\u00a0-\u3000&&" + BLANKS[:-1] + "]" + BLANKS[:-1] + "*"
 NOT_KEPT = "[^a-z0-9åäöéèü]"
 NOT_A_WORD = "[^A-Za-z0-9ÅÄÖÉÜåäöéü-]+"
 LIGHT_ENDINGS = ("erna", "arna", "orna", "en", "et", "er", "ar", "or", "na")
@@ -44,13 +48,14 @@ def filled(text: Column) -> Column:
 
 
 def single_blanks(text: Column) -> Column:
-    return F.btrim(F.regexp_replace(text, BLANKS, " "))
+    return F.btrim(F.regexp_replace(text, _RUNS, " "))
 
 
 def verbatim_form(text: Column) -> Column:
     """The form in which a quote must stand in its source: composed, without invisible characters, one kind of quotation mark and dash, single blanks. Case is kept."""
     bare = F.regexp_replace(composed(filled(text)), INVISIBLE, "")
-    return single_blanks(reduce(lambda t, p: F.regexp_replace(t, *p), UNIFIED.items(), bare))
+    unified = reduce(lambda t, p: F.regexp_replace(t, *p), UNIFIED.items(), bare)
+    return single_blanks(F.when(text.rlike(_MARKED), unified).otherwise(filled(text)))
 
 
 def word_count(form: Column) -> Column:

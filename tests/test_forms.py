@@ -126,3 +126,22 @@ def test_change_kinds(spark):
     rows = [(1, 1, "ja", None), (1, 2, "ja", "om"), (1, 3, "nej", "om"), (1, 4, "nej", "om")]
     df = spark.createDataFrame(rows, "k int, at int, stance string, cond string")
     assert [r["kind"] for r in reviews.change_kinds(df, ["k"], ["at"], "stance", "cond").orderBy("at").collect()] == ["first", "condition", "flip", "same"]
+
+
+def test_forms_of_odd_texts_are_those_of_each_rule_in_turn(spark):
+    import random
+    import re
+    from functools import reduce
+
+    from fennmark.functions import claims
+
+    rng = random.Random(5)
+    parts = [" ", "  ", "\n", "\t", "\u000b", "\r", " ", " ", "　", "­", "​", "﻿", "’", "«", "”", "–", "−", "…", "a", "b", "R", "å", "\U0001f600", "Riksdagen avslår motionerna", "har sänkt ", "Högsta någonsin", "/år", "en gång"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 9))) for _ in range(600)]
+    plain = lambda t: re.sub(forms.BLANKS, " ", reduce(lambda x, p: re.sub(*p, x), forms.UNIFIED.items(), re.sub(forms.INVISIBLE, "", t))).strip(" ")
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    said = lambda p: F.col("t").rlike(p.replace(r"\b", claims.EDGE))
+    got = rows.select("t", forms.verbatim_form(F.col("t")).alias("form"), claims.only_rejects(F.col("t")).alias("rejects"), *[F.struct(said(p), claims._said(F.col("t"), p)).alias(f"p{k}") for k, p in enumerate(claims.FIRST)]).collect()
+    assert [r.form for r in got] == [plain(r.t) for r in got]
+    assert [r.rejects for r in got] == [bool(re.match(r"(?i)Riksdagen avslår motion(?:erna)?(?![A-Za-z0-9_])", plain(r.t))) for r in got] and any(r.rejects for r in got)
+    assert all(r[f"p{k}"][0] == r[f"p{k}"][1] for r in got for k in range(len(claims.FIRST)))
