@@ -5,8 +5,8 @@ token from the two words on each side of it: four embeddings are added, go throu
 and over the tokens of the cluster. A document's score is the sum of the log-probabilities of all its tokens, each with itself masked.
 
 What the model gathers grows with the corpus of N words: a word is a token of its own from sqrt(N) occurrences on (so there are sqrt(N) of them at most, which
-bounds what is broadcast), the others fall into N^0.4 classes, all documents are trained on, and the network is the prior of a table of counts: for one pair of neighbours in
-MEMORY, chosen by hash, the corpus's counts of the tokens between them, less the token in question itself, are added to PRIOR times the network's distribution.
+bounds what is broadcast), the others fall into N^0.4 classes, all documents are trained on, and the network is the prior of a table of counts: for every pair of neighbours (one in
+MEMORY, which is 1), the corpus's counts of the tokens between them, less the token in question itself, are added to PRIOR times the network's distribution.
 
 Training is numpy, data-parallel: ROUNDS rounds take disjoint parts of the documents, all of them together. In a round each task makes Adagrad steps over its
 documents batch by batch from the shared parameters; the weighted mean of what the tasks end with, taken piece by piece in tasks, begins the next round.
@@ -35,7 +35,7 @@ ROUNDS, RATE = 3, 0.1
 STEP_TOKENS, LEAST_STEPS = 8192, 100
 #: Tokens that are scored together; parameters in a piece.
 TOGETHER, PIECE = 1 << 13, 1 << 16
-MEMORY, PRIOR = 16, 1.0
+MEMORY, PRIOR = 1, 1.0
 #: Logits are cut there, so that no exponential leaves the range of 32-bit numbers.
 MOST_LOGIT = 60
 #: A pair of neighbours and token so often among one in so many of all is hot, so there are this many hot ones at most.
