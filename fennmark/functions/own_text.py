@@ -14,7 +14,7 @@ BINDING = r"(?iu)återkomma med lagförslag i överensstämmelse med"
 FRAME = r"(?iu)riktlinjer för den ekonomiska politiken|fastställ\w*\s+utgiftstaket|fördelning(?:en)? av utgifter på utgiftsområden|preliminära beräkningen av inkomster"
 ADOPTS = r"(?iu)\bRiksdagen\s+(?:antar|godkänner|bifaller|anvisar|bemyndigar|fastställer|beslutar)\b"
 SUMMARY = r"(?su)\bSammanfattning\b(.*?)\bUtskottets förslag till riksdagsbeslut\b"
-LEAD = r"(?iu)\b(?:fråga|frågar|frågor)\b[^:?!]{0,140}:"
+LEAD = r"(?=[fF])(?iu)\b(?:fråga|frågar|frågor)\b[^:?!]{0,140}:"
 LEAST_QUESTION = 40
 QUESTION_KINDS = ("interpellation", "skriftlig_fraga")
 #: What the action's own text is made of.
