@@ -221,7 +221,7 @@ _RARE = 25
 def parity_best_match(t):
     docs = t("documents").select(F.col("doc_id").alias("id"), "lang", "source", search.words(F.col("text")).alias("words"))
     rare = matching.rare_tokens(docs.select("id", F.explode(F.filter("words", lambda w: F.char_length(w) >= 7)).alias("word")), "id", "word", _RARE)
-    return matching.parity(docs, docs, "lang", "source", rare)
+    return matching.parity(docs, docs, "lang", "source", rare, itself=True)
 
 
 @query(f"""WITH a AS {_words_sql("benchmark", "item_id", "row", "word", 6)}, m AS (SELECT DISTINCT source AS "group", doc_id, w.word FROM {_words_sql("documents", "doc_id", "id", "word", 6)} w JOIN documents ON id = doc_id),

@@ -194,3 +194,11 @@ def test_shards_of_large_keys_are_not_cut(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet'")
     assert compare.rows_of(QUERIES["part_keys"](spark, str(tmp_path)).toPandas()) == compare.rows_of(con.sql(ORACLE_SQL["part_keys"]).df())
+
+
+def test_rows_that_meet_themselves_are_weighed_once_and_count_for_both(spark):
+    rows = [(k, "en" if k % 3 else "sv", f"s{k % 2}", [f"w{x}" for x in sorted({(k * j) % 11 for j in range(1, 6)})]) for k in range(40)]
+    docs = spark.createDataFrame(rows, "id bigint, lang string, source string, words array<string>")
+    rare = docs.select("id", F.explode("words").alias("word"))
+    once, twice = (sorted(map(tuple, matching.parity(docs, docs, "lang", "source", rare, itself=x).collect())) for x in (True, False))
+    assert once == twice and once
