@@ -182,13 +182,12 @@ _TOKENS_SQL = """(SELECT DISTINCT doc_id, lang, kind, token FROM (SELECT doc_id,
 
 
 def _policy_tokens(t) -> DataFrame:
-    docs = t("documents").select("doc_id", "lang", "text")
-    long_words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.char_length(w) >= 4)
-    both = F.concat(
-        F.transform(matching.bigrams(long_words), lambda x: F.struct(F.lit("pair").alias("kind"), x.alias("token"))),
-        F.transform(F.regexp_extract_all(F.lower("text"), F.lit("([0-9]+ [a-z]{3,6})"), 1), lambda x: F.struct(F.lit("number").alias("kind"), x.alias("token"))),
-    )
-    return docs.select("doc_id", "lang", F.inline(both))
+    """doc_id, lang, kind, token. A text's words are found once: an expression within `bigrams` would be read anew for each use."""
+    docs = t("documents").select("doc_id", "lang", F.lower("text").alias("low"))
+    found = lambda pattern: F.array_distinct(F.regexp_extract_all("low", F.lit(f"({pattern})"), 1))
+    words = docs.select("doc_id", "lang", F.regexp_extract_all("low", F.lit("([a-z]{4,})"), 1).alias("words"))
+    pairs = words.select("doc_id", "lang", F.lit("pair").alias("kind"), F.explode(matching.bigrams(F.col("words"))).alias("token"))
+    return pairs.unionByName(docs.select("doc_id", "lang", F.lit("number").alias("kind"), F.explode(found("[0-9]+ [a-z]{3,6}")).alias("token")))
 
 
 @query(f"""WITH t AS {_TOKENS_SQL}, e AS (SELECT *, count(*) OVER (PARTITION BY kind, token) AS df FROM t),
