@@ -184,7 +184,7 @@ def _page_of_rows(t, kind: str):
     amount = F.when(F.col("l_linenumber") == 1, "±0").otherwise(F.concat(F.when(F.col("l_tax") > 0.04, "−").otherwise(""), money.grouped(F.floor("l_extendedprice"), " ")))
     first = F.concat(F.col("l_linenumber").cast("string"), F.lit(":"), (F.col("l_suppkey") % 100).cast("string")) if kind == "appropriation" else F.concat((F.col("l_suppkey") % 9000 + 1000).cast("string"), F.lit(" name"))
     row = F.concat(F.lit("<tr>"), cell(first), cell(F.lit("12")), cell(F.concat(F.lit("Row&nbsp;&amp; <b>bo­"), F.col("l_partkey").cast("string"), F.lit("</b>"))), cell(amount), cell(F.lit("1")), F.lit("</tr>"))
-    rows = t("lineitem").select("l_orderkey", row.alias("row")).groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list("row")), "").alias("rows"))
+    rows = t("lineitem").select("l_orderkey", row.alias("row")).groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_list("row")), "").alias("rows"))
     head = "<tr><th>Inkomsttitel</th><th>x</th><th>Regeringens förslag</th><th>Avvikelse</th><th>y</th></tr><tr><td>Total</td><td>5</td></tr>"
     return rows.select("l_orderkey", F.concat(F.lit(f"<p><table class='a'>{head}"), "rows", F.lit("</table><table><tr><td>1:1</td><td>no header</td></tr></table>")).alias("html"))
 

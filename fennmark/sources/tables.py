@@ -7,7 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.money import cell_number
+from ..functions.money import cell_number, is_cell_number
 from ..functions.text import ENTITIES, single_blanks
 
 
@@ -59,13 +59,13 @@ def _found(text: Column, pattern: str) -> Column:
 
 
 def html_tables(html: Column) -> Column:
-    """The tables of a page as arrays of rows of cells: entities read, soft hyphens and tags gone, single blanks."""
+    """The tables of a page as arrays of rows of cells: entities read, soft hyphens and tags gone, single blanks. What a cell does not have is not looked for one by one."""
 
     def cell(x: Column) -> Column:
         text = F.regexp_replace(F.regexp_replace(x, "<[^>]*>", " "), "­|&shy;", "")
         for name, character in ENTITIES.items():
             text = F.replace(text, F.lit(name), F.lit(character))
-        return single_blanks(text)
+        return F.when(x.rlike("[<&\u00ad]"), single_blanks(text)).otherwise(single_blanks(x))
 
     rows = lambda t: F.transform(_found(t, "(?is)<tr[^>]*>(.*?)</tr>"), lambda r: F.transform(_found(r, "(?is)<t[dh][^>]*>(.*?)</t[dh]>"), cell))
     return F.transform(_found(F.coalesce(html, F.lit("")), "(?is)<table[^>]*>(.*?)</table>"), rows)
@@ -75,13 +75,15 @@ def keyed_rows(df: DataFrame, page: str, html: Column, key: str, deviation: str,
     """page, key, name, amount of the rows whose first cell matches `key`: the first later cell that is neither empty nor a number, and the number in the column
     that the header calls `deviation`, counted from the right. Only tables with such a header (and all of `header` in it) count."""
     tables = df.select(page, F.explode(html_tables(html)).alias("t"))
-    heads = F.filter("t", lambda r: F.exists(r, lambda c: F.lower(c).rlike(deviation)))
-    placed = tables.select(page, "t", F.get(heads, 0).alias("head")).where("head IS NOT NULL")
+    maybe = lambda r: F.lower(F.array_join(r, "\n")).rlike(f"(?m){deviation}")  # noqa: E731  (a row at once; cells hold no line ends)
+    heads = F.filter("t", lambda r: maybe(r) & F.exists(r, lambda c: F.lower(c).rlike(deviation)))
+    placed = tables.select(page, "t", F.explode(F.slice(heads, 1, 1)).alias("head"))
     for word in header:
         placed = placed.where(F.contains(F.lower(F.array_join("head", "\n")), F.lit(word)))
     last = F.element_at(F.filter(F.transform("head", lambda c, k: F.when(F.lower(c).rlike(deviation), k)), lambda k: k.isNotNull()), -1)
     from_right = F.size("head") - last
-    rows = placed.select(page, from_right.alias("from_right"), F.explode("t").alias("r")).where(F.get("r", 0).rlike(key))
-    name = F.get(F.filter(F.slice("r", 2, F.size("r")), lambda c: (c != "") & cell_number(c).isNull()), 0)
+    placed = placed.select(page, "t", from_right.alias("from_right"))  # once a table, not for each of its rows
+    rows = placed.select(page, "from_right", F.explode("t").alias("r")).where(F.get("r", 0).rlike(key))
+    name = F.get(F.filter(F.slice("r", 2, F.size("r")), lambda c: (c != "") & ~is_cell_number(c)), 0)
     amount = cell_number(F.try_element_at("r", -F.col("from_right")))
     return rows.select(page, F.get("r", 0).alias("key"), name.alias("name"), amount.alias("amount"))

@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from fennmark.functions import money
 from fennmark.operators import matching
+from fennmark.sources import tables
 
 
 def plan(df) -> str:
@@ -14,3 +16,17 @@ def test_rows_with_rare_tokens_meet_without_a_join_of_all_tokens(spark):
     got = matching.shared_weight(rows.withColumnRenamed("id", "candidate"), rows.withColumnRenamed("id", "existing"), ["lang"], {"pair": (2, 2)}, 3, itself=True)
     assert sorted(map(tuple, got.collect())) == [(1, 2, 4), (2, 1, 4)]
     assert "Join" not in plan(got)
+
+
+def test_a_table_of_a_page_is_measured_once_and_not_for_each_row(spark):
+    page = "<table><tr><th>a</th><th>Avvikelse</th><th>c</th></tr><tr><td>1:1 <b>x</b></td><td>-1 200</td><td>R&amp;­ D</td></tr><tr><td>1:2</td><td>±0</td><td> b  b </td></tr><tr><td>1:3</td><td>n</td><td>7</td></tr></table>"
+    got = tables.keyed_rows(spark.createDataFrame([(1, page)], "id long, html string"), "id", F.col("html"), "^[0-9]:[0-9]", "avvikelse")
+    assert sorted(map(tuple, got.collect())) == [(1, "1:1 x", "R& D", -1200.0), (1, "1:2", "b b", 0.0), (1, "1:3", "n", None)]
+    above_rows = plan(got).split("Generate explode(t#")[0]
+    assert "avvikelse" not in above_rows
+
+
+def test_a_cell_is_a_number_where_one_is_read(spark):
+    cells = spark.createDataFrame([(x,) for x in ("1", "-1", "+2,5", "−3.0", "1 000", "12 345,5", "±0", "", "-", "1,", "a1", "1 a", "±1")], "x string")
+    got = cells.select("x", money.is_cell_number(F.col("x")).alias("a"), money.cell_number(F.col("x")).isNotNull().alias("b")).collect()
+    assert all(r.a == r.b for r in got) and {r.a for r in got} == {True, False}
