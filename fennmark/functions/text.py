@@ -75,7 +75,7 @@ def loose_form(text: Column) -> Column:
 
 def all_tokens(text: Column, least: int = 3) -> Column:
     """The words of at least so many letters or digits, lower-case, in order, repeated ones kept."""
-    return F.filter(F.split(F.lower(composed(filled(text))), NOT_KEPT + "+"), lambda w: F.char_length(w) >= least)
+    return F.regexp_extract_all(F.lower(composed(filled(text))), F.lit(f"({NOT_KEPT.replace('^', '')}{{{least},}})"), F.lit(1))
 
 
 def tokens(text: Column) -> Column:

@@ -1,8 +1,8 @@
 """A stored index of the words of documents, and search in it.
 
 The index is a table of postings (term, doc, and a mask of groups if asked for), partitioned by the first two letters of the term and
-sorted within. It is written once; a search reads the partitions of its own terms only. Its files are dealt by ranges of shard, term and
-document, so a term of many documents is spread over tasks and files.
+sorted within. It is written once; a search reads the partitions of its own terms only. Postings are shuffled once, by shard and a hash of the
+document, so a shard, and a term of many documents, is spread over tasks and files.
 
 A word is searched in all its near forms: as written, without its definite ending, and with one behind either. Documents must have a form
 of every word. Counts are of all documents that match, beside the few that are shown.
@@ -21,6 +21,8 @@ from ..functions.text import terms
 # Definite endings, and how much of each goes when the word is made indefinite. How many terms stand for a document, how many documents are shown.
 DEFINITE_ENDINGS = {"an": 1, "et": 2, "en": 2}
 TERMS, SHOWN = 40, 60
+#: Parts that a shard is dealt in.
+SALTS = 4
 
 
 def search_forms(word: Column) -> Column:
@@ -47,8 +49,10 @@ def document_terms(docs: DataFrame, doc: str, text: str, most: int = TERMS, stem
 def write_index(postings: DataFrame, path: str, doc: str, mask: Column | None = None) -> None:
     """Write distinct (term, doc) with `mask`, bits of the groups a document belongs to."""
     rows = postings.select(word_shard(F.col("term")).alias("shard"), "term", F.col(doc).alias("doc"), (F.lit(0) if mask is None else mask).cast("bigint").alias("mask"))
-    order = ["shard", "term", "doc"]
-    rows.groupBy(*order).agg(F.max("mask").alias("mask")).repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("shard").parquet(path)
+    order, salt = ["shard", "term", "doc"], F.pmod(F.xxhash64("doc"), F.lit(SALTS)).alias("salt")
+    dealt = rows.select("*", salt).repartition("shard", "salt")
+    first = F.row_number().over(Window.partitionBy(*order, "salt").orderBy(F.desc("mask")))  # in the order in which the rows are written
+    dealt.withColumn("k", first).where("k = 1").select(*order, "mask").write.mode("overwrite").partitionBy("shard").parquet(path)
 
 
 def query_terms(spark: SparkSession, words: list[str], stems: bool = True) -> dict[str, list[str]]:

@@ -1,9 +1,10 @@
 """How work grows with the tables: what is shuffled, held or evaluated more than once is seen in plans; results stay as they are."""
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fennmark.functions import money
-from fennmark.operators import matching
+from fennmark.functions import money, text
+from fennmark.operators import matching, word_index
 from fennmark.sources import tables
 
 
@@ -30,3 +31,24 @@ def test_a_cell_is_a_number_where_one_is_read(spark):
     cells = spark.createDataFrame([(x,) for x in ("1", "-1", "+2,5", "−3.0", "1 000", "12 345,5", "±0", "", "-", "1,", "a1", "1 a", "±1")], "x string")
     got = cells.select("x", money.is_cell_number(F.col("x")).alias("a"), money.cell_number(F.col("x")).isNotNull().alias("b")).collect()
     assert all(r.a == r.b for r in got) and {r.a for r in got} == {True, False}
+
+
+def test_an_index_is_written_after_one_shuffle_and_holds_a_posting_once(spark, tmp_path):
+    rows = spark.createDataFrame([(i % 7, "word" if i % 2 else "other", i % 4) for i in range(60)] + [(1, None, 1)], "doc_id long, term string, mask long")
+    stages = []
+    range_dealt = DataFrame.repartitionByRange
+    DataFrame.repartitionByRange = lambda *a: stages.append(a) or range_dealt(*a)  # dealt by ranges, the words would be found twice
+    try:
+        word_index.write_index(rows.where("term IS NOT NULL"), f"{tmp_path}/index", "doc_id", F.col("mask"))
+    finally:
+        DataFrame.repartitionByRange = range_dealt
+    got = word_index.postings_of(spark, f"{tmp_path}/index", ["word", "other"])
+    want = rows.where("term IS NOT NULL").groupBy("term", F.col("doc_id").alias("doc")).agg(F.max("mask").alias("mask"))
+    assert not stages and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_tokens_are_found_without_a_test_of_every_word(spark):
+    docs = spark.createDataFrame([("Åäö éèü ab abc, ABCD-efgh 1234_x5678 ábcd",), ("",), (None,)], "text string")
+    got = docs.select(text.all_tokens(F.col("text"), 4).alias("t"))
+    assert [r.t for r in got.collect()] == [["abcd", "efgh", "1234", "x5678"], [], []]
+    assert "filter(" not in plan(got)
