@@ -20,6 +20,8 @@ NOT_KEPT = "[^a-z0-9åäöéèü]"
 NOT_A_WORD = "[^A-Za-z0-9ÅÄÖÉÜåäöéü-]+"
 LIGHT_ENDINGS = ("erna", "arna", "orna", "en", "et", "er", "ar", "or", "na")
 ENTITIES = {"&nbsp;": "\u00a0", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
+#: What stands in the words that `cut_stems` cuts.
+STEM_LETTERS = "[a-zà-öø-ÿ0-9-]"
 INLINE_TAGS = "a|abbr|b|em|i|small|span|strong|sub|sup|u"
 
 
@@ -115,6 +117,11 @@ def cut_stems(text: Column, length: int, stop_words: tuple[str, ...] = ()) -> Co
     return F.transform(once(placed, firsts), lambda w: F.struct(w["stem"].alias("stem"), w["word"].alias("word")))
 
 
+def distinct_stems(text: Column, length: int) -> Column:
+    """The stems of `cut_stems` alone, in order of occurrence, by one pattern."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(filled(text)), F.lit(f"({STEM_LETTERS}{{{length}}}){STEM_LETTERS}*"), F.lit(1)))
+
+
 def slug(text: Column) -> Column:
     """Lower case without Swedish letters, everything else than a-z and digits as one hyphen."""
     return F.regexp_replace(F.regexp_replace(F.translate(F.lower(filled(text)), "åäö", "aao"), "[^a-z0-9]+", "-"), "^-|-$", "")

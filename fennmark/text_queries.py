@@ -185,7 +185,7 @@ def umbrella_titles(t):
     l AS (SELECT DISTINCT doc_id, left(x, 5) AS stem FROM (SELECT doc_id, unnest(string_split_regex(regexp_replace(lower(string_split(text, chr(10))[1]), '[^a-zà-öø-ÿ0-9\\s-]', ' ', 'g'), '\\s+')) AS x FROM documents) WHERE length(x) >= 5)
     SELECT s.doc_id, CASE WHEN count(*) >= 3 THEN round(count(l.stem)::DOUBLE / count(*), 6) END AS share FROM s LEFT JOIN l ON s.doc_id = l.doc_id AND s.stem = l.stem GROUP BY s.doc_id""")
 def stem_coverage(t):
-    own = F.transform(forms.cut_stems(F.col("text"), 5), lambda x: x["stem"])
-    first = F.transform(forms.cut_stems(F.split("text", "\n")[0], 5), lambda x: x["stem"])
-    rows = t("documents").where("text IS NOT NULL").select("doc_id", own.alias("own"), first.alias("first")).where(F.size("own") > 0)
+    own, first = forms.distinct_stems(F.col("text"), 5), forms.distinct_stems(F.split("text", "\n", 2)[0], 5)
+    some = t("documents").where(F.lower("text").rlike(forms.STEM_LETTERS + "{5}"))  # a condition on `own` would find the stems twice
+    rows = some.select("doc_id", own.alias("own"), first.alias("first"))
     return rows.select("doc_id", F.when(F.size("own") >= 3, F.round(F.size(F.array_intersect("own", "first")) / F.size("own"), 6)).alias("share"))

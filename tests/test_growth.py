@@ -52,3 +52,17 @@ def test_tokens_are_found_without_a_test_of_every_word(spark):
     got = docs.select(text.all_tokens(F.col("text"), 4).alias("t"))
     assert [r.t for r in got.collect()] == [["abcd", "efgh", "1234", "x5678"], [], []]
     assert "filter(" not in plan(got)
+
+
+def test_stems_alone_are_those_that_are_cut(spark):
+    docs = spark.createDataFrame([("Över­sikt översikter ab-cd éÿåäö×abcde\tlongest lönge\nLONGER wördé1 12345-6 a",), ("four",), (None,)], "text string")
+    got = docs.select(text.distinct_stems(F.col("text"), 5).alias("a"), F.transform(text.cut_stems(F.col("text"), 5), lambda x: x["stem"]).alias("b"))
+    assert all(sorted(r.a) == sorted(r.b) for r in got.collect()) and len(got.first().a) > 5
+    assert plan(docs.select(text.distinct_stems(F.col("text"), 5).alias("a"))).count("lambda") == 0
+
+
+def test_stem_coverage_finds_the_stems_of_a_text_once(spark):
+    from fennmark.queries import QUERIES
+
+    conditions = [x for x in plan(QUERIES["stem_coverage"](spark, "/root/testdata/sf0.001")).split("\n") if "Filter " in x]
+    assert conditions and not any("array" in x for x in conditions)
