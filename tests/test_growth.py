@@ -1,6 +1,5 @@
 """How work grows with the tables: what is shuffled, held or evaluated more than once is seen in plans; results stay as they are."""
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fennmark.functions import money, text
@@ -36,12 +35,13 @@ def test_a_cell_is_a_number_where_one_is_read(spark):
 def test_an_index_is_written_after_one_shuffle_and_holds_a_posting_once(spark, tmp_path):
     rows = spark.createDataFrame([(i % 7, "word" if i % 2 else "other", i % 4) for i in range(60)] + [(1, None, 1)], "doc_id long, term string, mask long")
     stages = []
-    range_dealt = DataFrame.repartitionByRange
-    DataFrame.repartitionByRange = lambda *a: stages.append(a) or range_dealt(*a)  # dealt by ranges, the words would be found twice
+    kind = type(rows)
+    range_dealt = kind.repartitionByRange
+    kind.repartitionByRange = lambda *a: stages.append(a) or range_dealt(*a)  # dealt by ranges, the words would be found twice
     try:
         word_index.write_index(rows.where("term IS NOT NULL"), f"{tmp_path}/index", "doc_id", F.col("mask"))
     finally:
-        DataFrame.repartitionByRange = range_dealt
+        kind.repartitionByRange = range_dealt
     got = word_index.postings_of(spark, f"{tmp_path}/index", ["word", "other"])
     want = rows.where("term IS NOT NULL").groupBy("term", F.col("doc_id").alias("doc")).agg(F.max("mask").alias("mask"))
     assert not stages and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
