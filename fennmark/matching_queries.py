@@ -235,7 +235,8 @@ def ungrouped_twins(t):
     x AS (SELECT item_id, doc_id, count(*) AS overlap FROM a JOIN b ON substr(word, 1, 5) = p GROUP BY ALL)
     SELECT item_id, arg_max(doc_id, (overlap, -doc_id)) AS doc_id, max(overlap) AS overlap FROM x GROUP BY ALL""")
 def prefix_overlap(t):
-    pairs = matching.prefix_overlap(_words(t, "benchmark", "item_id", "left", "word", 5), _words(t, "documents", "doc_id", "right", "word", 5))
+    docs = t("documents").select(F.col("doc_id").alias("right"), search.words(F.col("text"), 5).alias("words"))
+    pairs = matching.prefix_overlap(_words(t, "benchmark", "item_id", "left", "word", 5), docs)
     best = pairs.groupBy("left").agg(F.max(F.struct("overlap", (-F.col("right")).alias("id"))).alias("b"))
     return best.select(F.col("left").alias("item_id"), (-F.col("b.id")).alias("doc_id"), F.col("b.overlap").alias("overlap"))
 
@@ -248,8 +249,8 @@ def prefix_overlap(t):
     SELECT asked, doc, hits, score, rank FROM (SELECT *, round(weight + hits, 4) AS score, row_number() OVER (PARTITION BY asked ORDER BY round(weight + hits, 4) DESC, doc) AS rank FROM s WHERE hits >= 2 OR weight >= 9)
     WHERE rank <= 8""")
 def ranked_candidates(t):
-    titles = t("documents").select("doc_id", F.substring("text", 1, 80).alias("text")).select(F.col("doc_id").alias("doc"), F.explode(search.words(F.col("text"))).alias("term"))
-    return matching.ranked_candidates(_words(t, "benchmark", "item_id", "asked", "term"), titles, _words(t, "documents", "doc_id", "doc", "term"), t("documents").count())
+    terms = lambda text: t("documents").select(F.col("doc_id").alias("doc"), search.words(text).alias("terms"))
+    return matching.ranked_candidates(_words(t, "benchmark", "item_id", "asked", "term"), terms(F.substring("text", 1, 80)), terms(F.col("text")), t("documents").count())
 
 
 # Gates and search

@@ -1,5 +1,7 @@
 """How work grows with the tables: what is shuffled, held or evaluated more than once is seen in plans; results stay as they are."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from fennmark.functions import money, text
@@ -66,3 +68,24 @@ def test_stem_coverage_finds_the_stems_of_a_text_once(spark):
 
     conditions = [x for x in plan(QUERIES["stem_coverage"](spark, "/root/testdata/sf0.001")).split("\n") if "Filter " in x]
     assert conditions and not any("array" in x for x in conditions)
+
+
+def test_pairs_of_texts_and_questions_are_made_where_the_text_is(spark):
+    words = lambda text: text.split()
+    texts = spark.createDataFrame([(1, words("alpha beta gamma")), (2, words("alpha beta delta")), (2, words("alpha omega")), (3, []), (4, None), (5, words("omega"))], "doc long, terms array<string>")
+    titles = spark.createDataFrame([(1, words("alpha beta")), (5, words("sigma"))], "doc long, terms array<string>")
+    asked = spark.createDataFrame([(7, "alpha"), (7, "beta"), (7, "beta"), (8, "omega"), (8, "sigma"), (9, "none")], "asked long, term string")
+    got = matching.ranked_candidates(asked, titles, texts, 5, least_hits=1, least_weight=0.9)
+    assert sorted(map(tuple, got.collect())) == [(7, 1, 2, 3.8326, 1), (7, 2, 0, 1.8326, 2), (8, 2, 0, 0.9163, 2), (8, 5, 1, 1.9163, 1)]
+    starts = matching.prefix_overlap(spark.createDataFrame([(7, "alphabet"), (7, "alphas"), (7, "alph"), (8, "omegas")], "left long, word string"), texts.selectExpr("doc AS right", "terms AS words"))
+    assert sorted(map(tuple, starts.collect())) == [(7, 1, 2), (7, 2, 2), (8, 2, 1), (8, 5, 1)]
+    assert not re.search(r"hashpartitioning\((asked#\d+L?, doc|left#\d+L?, right)", plan(got) + plan(starts))
+    dealt = matching.dealt_by_row(texts, "doc", "terms", 10_000_000)
+    assert dealt.rdd.getNumPartitions() == 6 * (10_000_000 + 200) // 1_000_000 + 1
+
+
+def test_a_fingerprint_is_made_once_a_row(spark):
+    from fennmark.queries import QUERIES
+
+    made = [x for x in plan(QUERIES["resolved_anti"](spark, "/root/testdata/sf0.001")).split("\n") if "regexp_replace" in x]
+    assert made and all("Generate" in x for x in made)
