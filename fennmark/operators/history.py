@@ -56,11 +56,13 @@ def out_of_order(df: DataFrame, cell: str, order: str, time: str) -> DataFrame:
 
 def unresolved(queue: DataFrame, published: DataFrame, rejected: DataFrame, title: Column, quote: Column, least: int = 30) -> DataFrame:
     """Rows of the queue whose title key and quote fingerprint are neither published nor rejected. Fingerprints under `least` characters match
-    nothing, and null keys neither."""
-    out = queue.withColumn("__t", F.md5(title)).withColumn("__q", F.when(F.char_length(quote) >= least, F.md5(quote)))
+    nothing, and null keys neither. A fingerprint is made once a row: conditions on what `explode` gives are not tested before it, where they would make it anew."""
+    quoted = lambda df, *columns: df.select(*columns, F.explode(F.array(quote)).alias("__f"))
+    key = F.when(F.char_length("__f") >= least, F.md5("__f")).alias("__q")
     done = published.unionByName(rejected)
-    for column, key in (("__t", F.md5(title)), ("__q", F.when(F.char_length(quote) >= least, F.md5(quote)))):
-        out = out.join(done.select(key.alias(column)).where(F.col(column).isNotNull()).distinct(), column, "left_anti")
+    out = quoted(queue, "*", F.md5(title).alias("__t")).select(*queue.columns, "__t", key)
+    out = out.join(done.select(F.md5(title).alias("__t")).where("__t IS NOT NULL").distinct(), "__t", "left_anti")
+    out = out.join(quoted(done).select(key).where("__q IS NOT NULL").distinct(), "__q", "left_anti")
     return out.drop("__t", "__q")
 
 
