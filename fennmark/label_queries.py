@@ -113,7 +113,9 @@ def abbreviations(t):
     FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY s_nationkey""")
 def party_page_actions(t):
     orders = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
-    rows = t("lineitem").join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    items = t("lineitem").select("l_suppkey", "l_orderkey").join(t("supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    items, orders = links.dealt_by_key((items, "l_orderkey"), (orders, "o_orderkey"), rows=t("lineitem").count())
+    rows = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     # counts for each party and promise first, so that no group is gathered
     each = links.tally(rows, ["s_nationkey", "l_orderkey"], {"own": F.col("s_nationkey") == F.col("c_nationkey"), "others": F.col("s_nationkey") != F.col("c_nationkey")})
     return each.groupBy("s_nationkey").agg(F.sum("n").alias("links"), F.count("*").alias("promises"), F.sum("own").alias("own"), F.sum("others").alias("others"))

@@ -134,6 +134,17 @@ def any_of(conditions: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), name) for name, c in conditions.items()]))
 
 
+#: Rows in a part of what is dealt out by a key, about.
+_PART_ROWS = 500_000
+
+
+def dealt_by_key(*tables: tuple[DataFrame, str], rows: int) -> list[DataFrame]:
+    """Each table dealt out by its key column, all in the same number of parts, which grows with `rows`: adaptive execution would join parts by their
+    packed size, and groups of narrow rows take many times that in a task's memory."""
+    parts = rows // _PART_ROWS + 1
+    return [df.repartition(parts, column) for df, column in tables]
+
+
 def tally(df: DataFrame, by: list[str], conditions: dict[str, Column]) -> DataFrame:
     """For each group its rows, and of each condition how many rows meet it, in one pass."""
     return df.groupBy(*by).agg(F.count("*").alias("n"), *[F.count(F.when(c, 1)).alias(name) for name, c in conditions.items()])

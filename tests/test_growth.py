@@ -89,3 +89,10 @@ def test_a_fingerprint_is_made_once_a_row(spark):
 
     made = [x for x in plan(QUERIES["resolved_anti"](spark, "/root/testdata/sf0.001")).split("\n") if "regexp_replace" in x]
     assert made and all("Generate" in x for x in made)
+
+
+def test_tables_meet_in_parts_whose_number_grows_with_the_rows(spark):
+    from fennmark.operators import links
+
+    a, b = links.dealt_by_key((spark.range(9), "id"), (spark.range(5).withColumnRenamed("id", "other"), "other"), rows=6_000_000)
+    assert a.rdd.getNumPartitions() == b.rdd.getNumPartitions() == 13
