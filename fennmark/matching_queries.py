@@ -151,8 +151,9 @@ def resolved_anti(t):
 def rejected_lineage(t):
     text = F.concat((F.col("p_size") % 7 + 1).cast("string"), F.lit("-"), (F.col("p_size") % 7 + 3).cast("string"), F.lit(", "), F.col("p_size").cast("string"))
     claims = t("part").select("p_partkey", F.explode(F.transform(amounts.claim_numbers(text), lambda k: k.cast("bigint"))).alias("claim"))
-    lines = t("lineitem").groupBy(F.col("l_partkey").alias("p_partkey"), F.col("l_linenumber").cast("bigint").alias("claim")).agg(F.count("*").alias("n"))
-    return claims.join(lines, ["p_partkey", "claim"])
+    lines = t("lineitem").select(F.col("l_partkey").alias("p_partkey"), F.col("l_linenumber").cast("bigint").alias("claim"))
+    claims, lines = links.dealt_by_key((claims, "p_partkey"), (lines, "p_partkey"), rows=t("lineitem").count())
+    return claims.join(lines.groupBy("p_partkey", "claim").agg(F.count("*").alias("n")), ["p_partkey", "claim"])
 
 
 # Likeness
