@@ -31,7 +31,7 @@ class _Attempts(StatefulProcessor):
         self.state = handle.getValueState("state", _STATE, ttlDurationMs=int(self.keep.total_seconds() * 1000)) if self.keep else handle.getValueState("state", _STATE)
 
     def handleInputRows(self, key, rows, timer_values) -> Iterator[Row]:
-        done, first, latest, attempts, waits = self.state.get() if self.state.exists() else (False, None, None, 0, False)
+        done, first, latest, attempts, waits = self.state.get() or (False, None, None, 0, False)  # each call asks the JVM; none gives None
         touched = False
         for row in sorted(rows, key=lambda r: (r.ts, r.outcome or "")):
             if self.late_before is not None and row.ts < self.late_before:

@@ -96,3 +96,16 @@ def test_tables_meet_in_parts_whose_number_grows_with_the_rows(spark):
 
     a, b = links.dealt_by_key((spark.range(9), "id"), (spark.range(5).withColumnRenamed("id", "other"), "other"), rows=6_000_000)
     assert a.rdd.getNumPartitions() == b.rdd.getNumPartitions() == 13
+
+
+def test_a_key_asks_for_its_state_once():
+    from types import SimpleNamespace
+
+    from fennmark.streaming.attempts import _Attempts
+
+    kept = []
+    each = _Attempts(None, None)
+    each.state = SimpleNamespace(get=lambda: kept[-1] if kept else None, update=kept.append)  # `exists` would be a call of its own
+    one = lambda ts, outcome: list(each.handleInputRows(("a",), [SimpleNamespace(ts=ts, outcome=outcome)], None))[0]
+    assert [one(5, "unanswered").kind, one(7, "done").kind, one(8, "done").kind] == ["waiting", "new", "repeat"]
+    assert kept == [(False, 5, 5, 1, True), (True, 5, 7, 2, False)]
