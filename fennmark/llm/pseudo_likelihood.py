@@ -8,6 +8,9 @@ What the model gathers grows with the corpus of N words: a word is a token of it
 bounds what is broadcast), the others fall into N^0.4 classes, all documents are trained on, and the network is the prior of a table of counts: for every pair of neighbours (one in
 MEMORY, which is 1), the corpus's counts of the tokens between them, less the token in question itself, are added to PRIOR times the network's distribution.
 
+The counts are asked for by block: documents are dealt into blocks, a block names each of its pairs of neighbours and tokens once, sorted, to the buckets of neighbours that the table is dealt
+in, and gets their counts back in that order. Only then are its texts scored, so that nothing is kept for a position but while its block is worked on.
+
 Training is numpy, data-parallel: ROUNDS rounds take disjoint parts of the documents, all of them together. In a round each task makes Adagrad steps over its
 documents batch by batch from the shared parameters; the weighted mean of what the tasks end with, taken piece by piece in tasks, begins the next round.
 
@@ -23,11 +26,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .jaccard import word_hashes
-from .shared import BROADCAST_ROWS, arrow_bytes, limit_batches, mixed, stored
+from .shared import arrow_bytes, limit_batches, mixed, stored
 
 SIDE, WIDTH = 2, 16
 ROUNDS, RATE = 3, 0.1
@@ -38,8 +41,8 @@ TOGETHER, PIECE = 1 << 13, 1 << 16
 MEMORY, PRIOR = 1, 1.0
 #: Logits are cut there, so that no exponential leaves the range of 32-bit numbers.
 MOST_LOGIT = 60
-#: A pair of neighbours and token so often among one in so many of all is hot, so there are this many hot ones at most.
-HOT = 100_000
+#: Words in a block of documents and in a bucket of the table of counts, about.
+BLOCK = BUCKET = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -48,6 +51,8 @@ class Shape:
 
     words: int
     others: int
+    #: All words of the corpus.
+    total: int = 0
 
     @property
     def tokens(self) -> int:
@@ -195,10 +200,12 @@ def vocabulary(rows: DataFrame) -> tuple[np.ndarray, Shape]:
             hashes, n = np.unique(word_hashes(*arrow_bytes(batch.column(1)))[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n, pa.int64())], names=["word", "n"])
 
-    counted = stored(rows.mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
-    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    seen = Observation()
+    counted = rows.mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).observe(seen, F.sum("n").alias("total"))
+    counted = stored(counted.where("n > 1"), "lm-words")
+    total = seen.get["total"] or 0
     words = np.sort(counted.where(F.col("n") >= max(2, math.isqrt(total))).select("word").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
-    return words, Shape(len(words), max(8, int(total**0.4)))
+    return words, Shape(len(words), max(8, int(total**0.4)), total)
 
 
 def trained(rows: DataFrame, words: np.ndarray, shape: Shape) -> Network:
@@ -240,20 +247,73 @@ def _mean(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([piece, pa.array([seen]), pa.array([(total / seen).astype(np.float32).tobytes()], pa.binary())], names=["piece", "seen", "flat"])
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """The first bytes of all values, then the second ones, and so on: bytes that are alike lie together, and shuffles compress them."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def _values(planes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind)[:, 0]
+
+
+def _grouped(near: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by neighbours, then tokens, and where the distinct pairs begin in it."""
+    order = np.lexsort((token, near))
+    a, b = near[order], token[order]
+    return order, np.flatnonzero(np.r_[np.ones(min(1, len(a)), bool), (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+
+
+def _joined(column: pa.ChunkedArray):
+    """One array of all of a group's texts."""
+    return pa.chunked_array([c.cast(pa.large_string()) for c in column.chunks], pa.large_string()).combine_chunks()
+
+
+def asked(dealt: DataFrame, words, shape: Shape) -> DataFrame:
+    """bucket, block, near, token, n: what each block asks of each bucket, its distinct pairs of neighbours and tokens in order, and how often it has them. `dealt`: block, id, text."""
+    buckets = 1 + shape.total // BUCKET
+
+    def run(group: pa.Table) -> pa.Table:
+        _, token, near, _ = windows(_joined(group.column("text")), words.value, shape)
+        order, first = _grouped(near, token)
+        near, token, n = near[order[first]], token[order[first]].astype(np.int32), np.diff(np.r_[first, len(order)])
+        cuts = np.searchsorted(_bucket(near, buckets), np.arange(buckets + 1)).tolist()
+        some = [(k, a, b) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
+        gaps = lambda x: np.diff(x, prepend=np.uint64(0))
+        binary = [pa.array([_planes(np.ascontiguousarray(f(x[a:b]))) for _, a, b in some], pa.binary()) for x, f in ((near, gaps), (token, np.asarray), (n.astype(np.int64), np.asarray))]
+        block = group.column("block")[0].as_py()
+        return pa.table([pa.array([k for k, _, _ in some], pa.int64()), pa.array([block] * len(some), pa.int64()), *binary], names=["bucket", "block", "near", "token", "n"])
+
+    return dealt.groupBy("block").applyInArrow(run, "bucket bigint, block bigint, near binary, token binary, n binary")
+
+
+def _bucket(near: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of neighbours; it grows with their hash."""
+    return ((near >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+
+
+def _answered(group: pa.Table) -> pa.Table:
+    """bucket, block, n, c: for each pair that a block asks for, in its order, the counts of the pair and of the neighbours in the corpus."""
+    near = [np.cumsum(_values(x.as_buffer(), np.uint64), dtype=np.uint64) for x in group.column("near")]
+    token = np.concatenate([_values(x.as_buffer(), np.int32) for x in group.column("token")])
+    n = np.concatenate([_values(x.as_buffer(), np.int64) for x in group.column("n")])
+    ends, near = np.cumsum([len(x) for x in near])[:-1], np.concatenate(near)
+    order, first = _grouped(near, token)
+    pairs = np.add.reduceat(n[order], first)
+    begins = np.flatnonzero(np.diff(near[order[first]], prepend=~near[order[:1]]))
+    alike = np.repeat(np.add.reduceat(pairs, begins), np.diff(np.r_[begins, len(pairs)]))
+    out = []
+    for x in (pairs, alike):
+        n[order] = np.repeat(x, np.diff(np.r_[first, len(order)]))
+        out.append(pa.array([_planes(part) for part in np.split(n, ends)], pa.binary()))
+    return pa.table([group.column("bucket"), group.column("block"), *out], names=["bucket", "block", "n", "c"])
+
+
 def remembered(scored: DataFrame) -> DataFrame:
-    """key and what the table of counts adds to the score of each row. Neighbours that occur once add nothing."""
-    each = scored.select("key", F.explode(F.arrays_zip("around", "token", "logp")).alias("x")).select("key", "x.*")
-    pairs = stored(each.groupBy("around", "token").agg(F.count("*").alias("n")), "lm-pairs")
-    total = pairs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    several = pairs.groupBy("around").agg(F.sum("n").alias("c")).where("c > 1")
-    counts = stored(pairs.join(several, "around"), "lm-counts")
-    hot = max(1000, total // HOT)
-    often, seldom = counts.where(F.col("n") > hot), counts.where(F.col("n") <= hot)
-    left = each.join(F.broadcast(often.select("around", "token")), ["around", "token"], "left_anti")
-    joined = each.join(F.broadcast(often), ["around", "token"]).unionByName(left.join(seldom, ["around", "token"]))
-    p = F.exp("logp")
-    gain = F.log((F.col("n") - 1 + PRIOR * p) / (F.col("c") - 1 + PRIOR)) - F.col("logp")
-    return joined.groupBy("key").agg(F.sum(F.round(gain, 6).cast("decimal(28,6)")).cast("double").alias("gain"))
+    """`scored` with what the table of counts adds to the score of each row. Neighbours that occur once add nothing."""
+    p = lambda x: F.exp(x["logp"])
+    gain = lambda x: F.log((x["n"] - 1 + PRIOR * p(x)) / (x["c"] - 1 + PRIOR)) - x["logp"]
+    millionths = F.transform(F.arrays_zip("logp", "n", "c"), lambda x: F.when(x["c"] > 1, F.round(gain(x) * 1e6).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
+    return scored.withColumn("gain", F.aggregate(millionths, F.lit(0).cast("bigint"), lambda a, x: a + x) / 1e6)
 
 
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -265,23 +325,29 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     network = trained(rows, words, shape)
     sent, known = spark.sparkContext.broadcast(network.flat), spark.sparkContext.broadcast(words)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = Network(shape, sent.value)
-        for batch in batches:
-            around, token, near, bounds = windows(batch.column(1), known.value, shape)
-            logp = np.concatenate([net.log_probabilities(around[:, a : a + TOGETHER], token[a : a + TOGETHER]) for a in range(0, len(token), TOGETHER)] or [np.zeros(0, np.float32)])
-            sums = np.r_[0.0, np.cumsum(logp, dtype=np.float64)]
-            chosen = np.flatnonzero(near % np.uint64(MEMORY) == 0)
-            ends = pa.array(np.searchsorted(chosen, bounds), pa.int32())
-            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (near[chosen].view(np.int64), token[chosen], logp[chosen].astype(np.float64))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds), pa.int64()), pa.array(sums[bounds[1:]] - sums[bounds[:-1]]), *lists], names=["id", "n_tokens", "score", "around", "token", "logp"])
+    def run(group: pa.Table, answers: pa.Table) -> pa.Table:
+        net, answers = Network(shape, sent.value), answers.sort_by("bucket")
+        around, token, near, bounds = windows(_joined(group.column("text")), known.value, shape)
+        logp = np.concatenate([net.log_probabilities(around[:, a : a + TOGETHER], token[a : a + TOGETHER]) for a in range(0, len(token), TOGETHER)] or [np.zeros(0, np.float32)])
+        sums = np.r_[0.0, np.cumsum(logp, dtype=np.float64)]
+        order, first = _grouped(near, token)
+        counts = []
+        for name in ("n", "c"):
+            got = np.concatenate([np.zeros(0, np.int64), *(_values(x.as_buffer(), np.int64) for x in answers.column(name))])
+            if len(got) != len(first):
+                raise ValueError("a block's texts are not those that it asked for")
+            counts.append(np.empty(len(order), np.int64))
+            counts[-1][order] = np.repeat(got, np.diff(np.r_[first, len(order)]))
+        chosen = np.flatnonzero(near % np.uint64(MEMORY) == 0)
+        ends = pa.array(np.searchsorted(chosen, bounds), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x[chosen])) for x in (near.view(np.int64), token, logp.astype(np.float64), *counts)]
+        own = [group.column("id"), pa.array(np.diff(bounds), pa.int64()), pa.array(sums[bounds[1:]] - sums[bounds[:-1]])]
+        return pa.table([*own, *lists], names=["id", "n_tokens", "score", "around", "token", "logp", "n", "c"])
 
     id_type = df.schema[id_col].dataType.simpleString()
-    scored = rows.mapInArrow(run, f"id {id_type}, n_tokens bigint, score double, around array<bigint>, token array<bigint>, logp array<double>")
-    scored = stored(scored.withColumn("key", F.monotonically_increasing_id()), "lm-scored")
-    gains = stored(remembered(scored), "lm-gains")
-    small = gains.count() <= BROADCAST_ROWS
-    out = scored.select("key", "id", "n_tokens", "score").join(F.broadcast(gains) if small else gains.hint("merge"), "key", "left")
-    total = F.round(F.col("score") + F.coalesce("gain", F.lit(0.0)), 3)
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("text", "id"), F.lit(1 + shape.total // BLOCK)))
+    answers = asked(dealt, known, shape).groupBy("bucket").applyInArrow(_answered, "bucket bigint, block bigint, n binary, c binary")
+    scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, f"id {id_type}, n_tokens bigint, score double, around array<bigint>, token array<bigint>, logp array<double>, n array<bigint>, c array<bigint>")
+    total = F.round(F.col("score") + F.col("gain"), 3)
     mean = F.when(F.col("n_tokens") > 0, F.round(total / F.col("n_tokens"), 5))
-    return out.select(F.col("id").alias(id_col), "n_tokens", total.alias("log_likelihood"), mean.alias("mean_log_likelihood"))
+    return remembered(scored).select(F.col("id").alias(id_col), "n_tokens", total.alias("log_likelihood"), mean.alias("mean_log_likelihood"))

@@ -1,9 +1,11 @@
 """What a Python task holds at once is bounded by settings, not by what a batch brings."""
 
+import random
+
 import numpy as np
 import pyarrow as pa
 
-from fennmark.llm import suffixes
+from fennmark.llm import pseudo_likelihood, suffixes
 
 
 class Taken(Exception):
@@ -44,3 +46,18 @@ def test_windows_of_many_contexts_are_hashed_some_at_a_time(monkeypatch):
     batch = pa.RecordBatch.from_arrays(columns, names=["context_id", "behind", "ahead", "least", "most"])
     list(task_of(suffixes._single_windows, 4)(iter([batch])))
     assert met == [500, 500, 500, 250]
+
+
+def test_scores_keep_nothing_for_a_position_and_are_the_same_in_any_blocks(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices(["a", "b", "c", "d", "e"], k=rng.randrange(0, 90))) for _ in range(60)] + [None, "", " ".join(["a b"] * 500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    kept, trained, stored = {}, pseudo_likelihood.trained, pseudo_likelihood.stored
+    written = []
+    monkeypatch.setattr(pseudo_likelihood, "trained", lambda rows, words, shape: kept.setdefault("net", trained(rows, words, shape)))
+    monkeypatch.setattr(pseudo_likelihood, "stored", lambda df, name: written.append(df.columns) or stored(df, name))
+    want = sorted(map(tuple, pseudo_likelihood.score(docs).collect()))
+    assert written == [["word", "n"]]
+    monkeypatch.setattr(pseudo_likelihood, "BLOCK", 128)
+    monkeypatch.setattr(pseudo_likelihood, "BUCKET", 256)
+    assert sorted(map(tuple, pseudo_likelihood.score(docs).collect())) == want
