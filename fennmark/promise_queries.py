@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .operators import bearers, promise_pages
+from .operators.links import dealt_by_key
 from .registry import query
 
 
@@ -83,7 +84,9 @@ def bearing_rows(t):
     order = t("orders")
     kind = F.when(F.col("o_orderkey") % 9 == 0, "tax").when(F.col("o_orderkey") % 9 == 1, "rule").otherwise("grant")
     links = order.select(F.col("o_orderkey").alias("link"), F.col("o_custkey").alias("motion"), kind.alias("kind"), (F.col("o_orderstatus") == "O").alias("supports"), F.when(F.col("o_orderkey") % 13 == 0, "broken").alias("fault"))
-    asked = order.join(t("part"), F.col("p_partkey") == F.col("o_orderkey") % n_parts).select(F.col("o_orderkey").alias("link"), F.col("o_custkey").alias("motion"), F.explode(F.split("p_name", " ")).alias("word"))
-    items = t("lineitem").withColumn("a", F.expr(_AMOUNT)).groupBy(F.col("l_suppkey").alias("motion"), F.col("l_partkey").alias("row")).agg(F.min("a").alias("amount"))
-    rows = items.join(t("part"), F.col("row") == F.col("p_partkey")).select("motion", "row", F.col("p_type").alias("name"), "amount", F.explode(F.split("p_name", " ")).alias("word"))
+    order, part = dealt_by_key((order.withColumn("part", F.col("o_orderkey") % n_parts), "part"), (t("part"), "p_partkey"), rows=order.count())
+    asked = order.join(part, F.col("p_partkey") == F.col("part")).select(F.col("o_orderkey").alias("link"), F.col("o_custkey").alias("motion"), F.explode(F.split("p_name", " ")).alias("word"))
+    lines, part = dealt_by_key((t("lineitem").withColumn("a", F.expr(_AMOUNT)).select("l_suppkey", "l_partkey", "a"), "l_partkey"), (t("part"), "p_partkey"), rows=t("lineitem").count())
+    items = lines.groupBy(F.col("l_suppkey").alias("motion"), F.col("l_partkey").alias("row")).agg(F.min("a").alias("amount"))
+    rows = items.join(part, F.col("row") == F.col("p_partkey")).select("motion", "row", F.col("p_type").alias("name"), "amount", F.explode(F.split("p_name", " ")).alias("word"))
     return bearers.decided(links, asked, rows, "^ECONOMY$")

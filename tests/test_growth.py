@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from fennmark.functions import money, text
-from fennmark.operators import matching, word_index
+from fennmark.operators import bearers, matching, word_index
 from fennmark.sources import tables
 
 
@@ -109,3 +109,17 @@ def test_a_key_asks_for_its_state_once():
     one = lambda ts, outcome: list(each.handleInputRows(("a",), [SimpleNamespace(ts=ts, outcome=outcome)], None))[0]
     assert [one(5, "unanswered").kind, one(7, "done").kind, one(8, "done").kind] == ["waiting", "new", "repeat"]
     assert kept == [(False, 5, 5, 1, True), (True, 5, 7, 2, False)]
+
+
+def test_rows_that_bear_promises_are_dealt_out_by_the_number_of_pairs(spark, monkeypatch):
+    links = spark.createDataFrame([(i, i % 3, "grant", True, None) for i in range(12)], "link long, motion long, kind string, supports boolean, fault string")
+    asked = spark.createDataFrame([(i, i % 3, w) for i in range(12) for w in ("large", f"thing{i % 2}")], "link long, motion long, word string")
+    rows = spark.createDataFrame([(m, r, "a", w, float(r - 4)) for m in range(2) for r in range(10) for w in ("largest", f"thing{r % 2}", "old")], "motion long, row long, name string, word string, amount double")
+    whole = sorted(map(tuple, bearers.decided(links, asked, rows, "^sum").collect()))
+    monkeypatch.setattr(bearers, "PART_ROWS", 20)
+    got = bearers.decided(links, asked, rows, "^sum")
+    assert sorted(map(tuple, got.collect())) == whole and len(whole) == 12
+    # Links of motions 0 and 1 meet 10 rows each by both words ("large", and "thing" as the first five characters): 160 pairs.
+    by_link = re.findall(r"hashpartitioning\(left#\d+L?, (\d+)\), REPARTITION_BY_NUM", plan(got))
+    assert by_link and set(by_link) == {"9"}
+    assert "Exchange hashpartitioning(right#" not in plan(got)
