@@ -9,6 +9,7 @@ from .functions import amounts, stemming
 from .functions.text import NOT_KEPT
 from .operators import gates, history, links, matching, policy, search, votes
 from .registry import query
+from .stored import stored
 
 _KINDS = {"yes": "A", "no": "N", "abstained": "R"}
 _NATION_ORDERS = "orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"
@@ -219,8 +220,9 @@ _RARE = 25
     l AS (SELECT s."left", s."right", round(shared::DOUBLE / (x.n + y.n - shared), 6) AS likeness FROM s JOIN n x ON x.id = s."left" JOIN n y ON y.id = s."right")
     SELECT "left", arg_max("right", (likeness, -"right")) AS "right", max(likeness) AS likeness FROM l WHERE likeness >= 0.25 GROUP BY "left" """)
 def parity_best_match(t):
-    docs = t("documents").select(F.col("doc_id").alias("id"), "lang", "source", search.words(F.col("text")).alias("words"))
-    rare = matching.rare_tokens(docs.select("id", F.explode(F.filter("words", lambda w: F.char_length(w) >= 7)).alias("word")), "id", "word", _RARE)
+    docs = stored(t("documents").select(F.col("doc_id").alias("id"), "lang", "source", search.words(F.col("text")).alias("words")), "words")  # they are read four times
+    long = docs.select("id", "lang", "source", F.size("words").alias("n"), F.explode(F.filter("words", lambda w: F.char_length(w) >= 7)).alias("word"))
+    rare = matching.rare_tokens(long, "id", "word", _RARE, "lang", "source", "n")
     return matching.parity(docs, docs, "lang", "source", rare, itself=True)
 
 

@@ -123,3 +123,68 @@ def test_rows_that_bear_promises_are_dealt_out_by_the_number_of_pairs(spark, mon
     by_link = re.findall(r"hashpartitioning\(left#\d+L?, (\d+)\), REPARTITION_BY_NUM", plan(got))
     assert by_link and set(by_link) == {"9"}
     assert "Exchange hashpartitioning(right#" not in plan(got)
+
+
+def _alike_in_part() -> list[tuple]:
+    """Rows that all share a rare word with others, few of which are alike; sets of 4 to some 900 words."""
+    own = lambda k: [f"own{k}x{j}" for j in range(4 + (k * 37) % 890)]
+    rows = [(k, "sv" if k % 3 else "en", f"s{k % 4}", [f"rare{k // 20}", *own(k)]) for k in range(80)]
+    like = [(100 + k, b, f"s{(k + 1) % 4}", [*w[: 1 + len(w) * 3 // 4], f"more{k}"]) for k, b, _, w in rows[::9]]
+    return rows + like + [(200, None, "s1", ["rare1", "x"]), (201, "sv", None, ["rare1", "x"]), (202, "sv", "s1", [])]
+
+
+def test_words_go_to_pairs_that_may_be_alike_and_not_to_every_pair(spark, monkeypatch):
+    from fennmark.operators import sketches
+
+    docs = spark.createDataFrame(_alike_in_part(), "id int, lang string, source string, words array<string>")
+    rare = docs.select("id", F.explode("words").alias("word")).where("word LIKE 'rare%'")
+    met, kept, plausible = [], [], matching.plausible
+
+    def seen(pairs, *a, **k):
+        met.append(pairs.count())
+        kept.append(plausible(pairs, *a, **k).cache())
+        return kept[-1]
+
+    monkeypatch.setattr(matching, "plausible", seen)
+    rows = {r[0]: r for r in _alike_in_part()}
+    tokens = {i: {w for w in r[3] if w.startswith("rare")} for i, r in rows.items()}
+    want = {}
+    for i, (_, lang, source, words) in rows.items():
+        for j, (_, other, apart, theirs) in rows.items():
+            if None not in (lang, source, apart) and lang == other and source != apart and tokens[i] & tokens[j]:
+                like = round(len({*words} & {*theirs}) / len({*words} | {*theirs}), 6)
+                if like >= 0.25:
+                    want[i] = max(want.get(i, (0, 0)), (like, -j))
+    for blocks in (sketches.BLOCK_BYTES, 20_000):  # one block, and many of them
+        monkeypatch.setattr(sketches, "BLOCK_BYTES", blocks)
+        for itself in (True, False):
+            got = matching.parity(docs, docs, "lang", "source", rare, itself=itself)
+            assert {r.left: (r.likeness, -r.right) for r in got.collect()} == want and got.schema["right"].dataType.simpleString() == "int"
+    assert len(want) > 12 and all(k.count() < n / 4 for k, n in zip(kept, met))
+
+
+def test_bits_never_say_less_than_sets_have_in_common():
+    import numpy as np
+    import pyarrow as pa
+
+    from fennmark.operators import sketches
+
+    random = np.random.default_rng(7)
+    hashes = random.integers(-(2**63), 2**63, 5000)
+    sets = [random.choice(hashes, n, replace=False) for n in (0, 1, 3, 5, 40, 300, 1500, 4900)]
+    bits = [b for a, b in ((0, 5), (5, 8)) for b in sketches._bits(np.concatenate(sets[a:b]), np.array([len(x) for x in sets[a:b]]))]
+    ids = [70, 10, 20, 30, 60, 50, 40, 80]
+    table = pa.table({"id": ids, "n": pa.array([len(x) for x in sets], pa.int32()), "bits": pa.array(bits, pa.binary())})
+    there = sketches._Sets(table)
+    i, j = (x.ravel() for x in np.indices((8, 8)))
+    most = sketches._most_shared(there, i, there, j)
+    by_id = {k: {*x.tolist()} for k, x in zip(ids, sets)}
+    true = np.array([len(by_id[there.ids[a]] & by_id[there.ids[b]]) for a, b in zip(i, j)])
+    assert (most >= true).all() and (most[i == j] == there.n[i[i == j]]).all()
+
+
+def test_rare_words_are_counted_by_rows_and_found_with_one_shuffle(spark):
+    rows = spark.createDataFrame([(1, "a", 5), (1, "a", 5), (2, "a", 6), (1, "b", 5), (2, "b", 6), (3, "b", 7), (None, "c", 8)], "id int, word string, n int")
+    got = matching.rare_tokens(rows, "id", "word", 2, "n")
+    assert plan(got).count("Exchange") == 1
+    assert sorted(map(str, got.collect())) == ["Row(id=1, word='a', n=5)", "Row(id=2, word='a', n=6)", "Row(id=None, word='c', n=8)"]
