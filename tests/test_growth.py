@@ -188,3 +188,24 @@ def test_rare_words_are_counted_by_rows_and_found_with_one_shuffle(spark):
     got = matching.rare_tokens(rows, "id", "word", 2, "n")
     assert plan(got).count("Exchange") == 1
     assert sorted(map(str, got.collect())) == ["Row(id=1, word='a', n=5)", "Row(id=2, word='a', n=6)", "Row(id=None, word='c', n=8)"]
+
+
+def test_quotes_are_held_against_texts_of_like_length_whose_key_is_made_once(spark, monkeypatch):
+    from fennmark.operators import matching
+
+    base = "".join(chr(97 + (k * k * 7 + k // 3) % 26) for k in range(3000))
+    texts = spark.createDataFrame([(1, base), (2, base[:19]), (3, base[100:300]), (4, "? " + base[150:220]), (5, None), (6, base[100:300]), (7, "; ".join(base[90:330])), (8, base[100:139])], "left int, text string")
+    quotes = spark.createDataFrame([(1, base[110:240]), (2, base[120:230]), (3, base[:29]), (4, None), (5, base[100:178])], "right int, text string")
+    kept, stored = [], matching.stored
+    monkeypatch.setattr(matching, "stored", lambda df, name: kept.append((plan(df).count("regexp_replace("), stored(df, name))) or kept[-1][1])
+    got = sorted(map(tuple, matching.quote_duplicates(texts, quotes).collect()))
+    assert got == [(3, 1), (4, 1), (6, 1), (7, 1), (8, 5)]
+    assert [n for n, _ in kept] == [1, 1]
+    assert sorted(r.left for r in kept[1][1].collect()) == [3, 4, 6, 7, 8]  # the long text and the short one go no further
+    assert matching.quote_duplicates(texts, quotes.limit(0)).isEmpty() and matching.quote_duplicates(texts.limit(0), quotes).isEmpty()
+
+
+def test_a_key_keeps_the_letters_and_digits_it_kept(spark):
+    letters = spark.range(0x20, 0x2100).select(F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')").alias("x"))
+    got = letters.select("x", text.quote_key(F.col("x")).alias("a"), F.regexp_replace(F.lower(text.composed(F.col("x"))), text.NOT_KEPT, "").alias("b"))
+    assert got.where("a <> b OR a IS NULL").isEmpty() and got.where("a <> ''").count() > 70
