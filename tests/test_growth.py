@@ -219,3 +219,11 @@ def test_a_block_has_parts_by_its_own_size_which_grow_with_it(spark):
     assert sketches._parts([rows]) == {"en": sketches.SPREAD, "sv": sketches.SPREAD, "da": 2}
     more = rows.crossJoin(spark.range(20).select())
     assert sketches._parts([more]) == {"en": 11, "sv": 9, "da": sketches.SPREAD}  # twenty times the bytes, not twenty times the parts
+
+
+def test_pairs_and_keys_are_settled_before_words_and_texts_are_joined(spark):
+    from fennmark.queries import QUERIES
+
+    parity, quotes = (plan(QUERIES[name](spark, "/root/testdata/sf0.001")) for name in ("parity_best_match", "quote_dup"))
+    assert "words#" in parity and not re.search(r"\bword#", parity)  # words meet pairs that are left, not all that share a rare word
+    assert "Join" in quotes and "regexp_replace(" not in quotes  # or a key would be made for each use
